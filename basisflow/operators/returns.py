@@ -63,7 +63,8 @@ def rolling_pair_stats(df: DataFrame, a: str, b: str, w, window: int, prefix: st
     f = w.rowsBetween(-(window - 1), 0)
     return df.withColumns({
         f"{prefix}_n": F.count(x).over(f),
-        f"{prefix}_corr": F.corr(x, y).over(f)})
+        f"{prefix}_corr": F.try_divide(F.covar_pop(x, y).over(f),
+                                       F.stddev_pop(x).over(f) * F.stddev_pop(y).over(f))})
 
 
 def rolling_corr(df: DataFrame, a: str, b: str, w, window: int, out: str) -> DataFrame:

@@ -2,5 +2,5 @@
 
 import importlib
 
-for _module in ("core",):
+for _module in ("core", "cleaning", "risk"):
     importlib.import_module(f"basisflow.queries.{_module}")

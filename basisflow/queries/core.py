@@ -25,8 +25,8 @@ def _(spark, sf):
 
 
 @query("A8_trade_summary",
-       "scenario_id:s exposure_id:s strategy:s n_days:i spot_pnl_total:m fut_pnl_total:m cost_trade_total:f4 "
-       "cost_roll_total:f4 net_pnl_total:m turnover_contracts:f4 turnover_h:f6 roll_contracts:f4 "
-       "max_abs_contracts:i mdd_equity:m", "SELECT * FROM results", "results")
+       "scenario_id:s exposure_id:s strategy:s n_days:i spot_pnl_total:f4 fut_pnl_total:f4 cost_trade_total:f4 "
+       "cost_roll_total:f4 net_pnl_total:f4 turnover_contracts:f4 turnover_h:f6 roll_contracts:f4 "
+       "max_abs_contracts:i mdd_equity:f4", "SELECT * FROM results", "results")
 def _(spark, sf):
     return base.results_plan(spark, sf)

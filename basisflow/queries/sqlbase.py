@@ -9,12 +9,12 @@ EXPOSURES = "('N', '1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW')
 CTES: dict[str, str] = {
     "panel": """
         SELECT l_returnflag AS series_id, CAST(l_shipdate AS DATE) AS d,
-               CAST(CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) * 100
+               CAST(CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT)
                     // CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS DOUBLE) / 10000.0::DOUBLE AS price
         FROM lineitem GROUP BY 1, 2
         UNION ALL
         SELECT o_orderpriority, CAST(o_orderdate AS DATE),
-               CAST(CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) // (count(*) * 10) AS DOUBLE)
+               CAST(CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) // (count(*) * 100) AS DOUBLE)
                / 10000.0::DOUBLE
         FROM orders GROUP BY 1, 2""",
     "raw": """

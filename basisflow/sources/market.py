@@ -24,16 +24,16 @@ def cents(c: str) -> Column:
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(series_id, d, price): volume-weighted unit price per return flag, mean order value in
-    thousands per priority, both cut to four decimals with whole-number arithmetic."""
+    """(series_id, d, price): volume-weighted unit price per return flag in hundreds, mean order
+    value per priority in ten thousands, both cut to four decimals with whole-number arithmetic."""
     lots = (table(spark, sf_dir, "lineitem")
             .groupBy(F.col("l_returnflag").alias("series_id"), F.to_date("l_shipdate").alias("d"))
             .agg(F.sum(cents("l_extendedprice")).alias("c"), F.sum(F.col("l_quantity").cast("long")).alias("q"))
-            .select("series_id", "d", (F.expr("(c * 100) div q") / F.lit(10000.0)).alias("price")))
+            .select("series_id", "d", (F.expr("c div q") / F.lit(10000.0)).alias("price")))
     tickets = (table(spark, sf_dir, "orders")
                .groupBy(F.col("o_orderpriority").alias("series_id"), F.to_date("o_orderdate").alias("d"))
                .agg(F.sum(cents("o_totalprice")).alias("c"), F.count("*").alias("q"))
-               .select("series_id", "d", (F.expr("c div (q * 10)") / F.lit(10000.0)).alias("price")))
+               .select("series_id", "d", (F.expr("c div (q * 100)") / F.lit(10000.0)).alias("price")))
     return lots.unionByName(tickets)
 
 
