@@ -3,7 +3,7 @@
 The shape is one string such as ``"exposure_id:s d:d n:i net:f4 var:g"``. It fixes names, types and
 rounding on both sides, so that a Spark result and a SQL result compare by value:
 s text, d day as text, i whole number, fN rounded to N decimals, g rounded to 9 significant digits,
-m the same for money, where less than a cent is zero.
+r to 6 (long running sums).
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from basisflow.queries.sqlbase import with_
 
-_SNAP = {"g": 1e-11, "m": 0.01}
+_SNAP = {"g": 1e-11, "r": 1e-9}
+_DIGITS = {"g": 8, "r": 5}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,7 +34,7 @@ def _spark_col(name: str, kind: str) -> Column:
         return c.cast("long").alias(name)
     x = c.cast("double")
     if kind in _SNAP:
-        text = F.format_string("%.8e", x)
+        text = F.format_string(f"%.{_DIGITS[kind]}e", x)
         return (F.when(x.isNull() | F.isnan(x), None).when(F.abs(x) < _SNAP[kind], 0.0)
                 .otherwise(text.cast("double"))).alias(name)
     return F.when(~F.isnan(x), F.round(x, int(kind[1:])) + F.lit(0.0)).alias(name)
@@ -47,7 +48,7 @@ def _sql_col(name: str, kind: str) -> str:
     x = f'CAST("{name}" AS DOUBLE)'
     if kind in _SNAP:
         return (f"CASE WHEN {x} IS NULL OR isnan({x}) THEN NULL WHEN abs({x}) < {_SNAP[kind]} THEN 0.0 "
-                f"ELSE CAST(printf('%.8e', {x}) AS DOUBLE) END AS \"{name}\"")
+                f"ELSE CAST(printf('%.{_DIGITS[kind]}e', {x}) AS DOUBLE) END AS \"{name}\"")
     return f'CASE WHEN isnan({x}) THEN NULL ELSE round({x}, {int(kind[1:])}) + 0.0 END AS "{name}"'
 
 

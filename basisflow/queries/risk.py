@@ -205,21 +205,20 @@ def _(spark, sf):
     return metrics.histogram(r, ["series_id"], "r", 80)
 
 
-@query("W47_running_lpm", "strategy:s end_date:d scenario_id:s cum_lpm:g cum_root_lpm:g", f"""
+@query("W47_running_lpm", "strategy:s end_date:d scenario_id:s cum_lpm:r cum_root_lpm:r", f"""
     SELECT strategy, end_date, scenario_id, c AS cum_lpm, sqrt(c) AS cum_root_lpm FROM (
       SELECT *, sum(greatest(-{X}, 0) ** 2) OVER (PARTITION BY strategy ORDER BY end_date, scenario_id
-             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM results WHERE exposure_id = '5-LOW')""", "results")
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM results)""", "results")
 def _(spark, sf):
-    r = base.results(spark, sf).where(F.col("exposure_id") == "5-LOW")
-    return metrics.running_lpm(r, ["strategy"], "end_date", "scenario_id", X)
+    return metrics.running_lpm(base.results(spark, sf), ["strategy"], "end_date", "scenario_id", X)
 
 
 @query("W35_drawdown_forms", "scenario_id:s strategy:s mdd_peak_first:f4 mdd_peak_zero:f4", """
     SELECT scenario_id, strategy, min(equity - pk) AS mdd_peak_first, max(greatest(pk, 0) - equity) AS mdd_peak_zero
     FROM (SELECT *, max(equity) OVER (PARTITION BY scenario_id, strategy ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING
-                 AND CURRENT ROW) AS pk FROM tdays WHERE exposure_id = '2-HIGH') GROUP BY 1, 2""", "tdays")
+                 AND CURRENT ROW) AS pk FROM tdays) GROUP BY 1, 2""", "tdays")
 def _(spark, sf):
-    d = base.daily(spark, sf).where(F.col("exposure_id") == "2-HIGH")
+    d = base.daily(spark, sf)
     w = Window.partitionBy("scenario_id", "strategy").orderBy("pos")
     d = d.withColumns({"a": pnl.drawdown(F.col("equity"), w), "b": pnl.drawdown(F.col("equity"), w, 0.0)})
     return d.groupBy("scenario_id", "strategy").agg(F.min("a").alias("mdd_peak_first"), (-F.min("b")).alias("mdd_peak_zero"))
