@@ -90,7 +90,7 @@ def trade_days(trades: DataFrame, cal: DataFrame, days: DataFrame, strategies: l
     b = _placed(trades, cal, days, strategies, cfg)
     # a fixed count: each narrow partition unfolds to many times its size
     b = b.repartition(int(b.sparkSession.conf.get("spark.sql.shuffle.partitions")), "scenario_id")
-    rows = unfold(b, days, ["spot", "fut", *cols])
+    rows = unfold(b, days, list(dict.fromkeys(["spot", "fut", "pnl_1c", *cols])))
 
     first = F.col("pos") == F.col("pos0")
     move = cols[1]

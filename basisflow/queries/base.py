@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basisflow.operators import clean, hedge, pnl, roll, windows
@@ -103,6 +103,16 @@ def daily(spark, sf_dir, cfg=pnl.PnlConfig()):
     return pnl.daily_paths(trade_days(spark, sf_dir, cfg), STRATEGIES)
 
 
+def step_log(spark, sf_dir):
+    """Daily rows of every trade and strategy with notionals: the step log of the episode analytics."""
+    d = pnl.daily_paths(trade_days(spark, sf_dir), STRATEGIES, ["pnl_1c", "scenario_kind"])
+    first = F.col("pos") == F.col("pos0")
+    d = d.withColumns({"pnl_1c": F.when(first, 0.0).otherwise(F.coalesce("pnl_1c", F.lit(0.0))),
+                       "notional": F.abs(F.col("spot") * F.col("volume_bbl"))})
+    return d.withColumn("notional0", F.first("notional").over(
+        Window.partitionBy("scenario_id", "strategy").orderBy("pos")))
+
+
 def results_plan(spark, sf_dir, cfg=pnl.PnlConfig()):
     out = pnl.summaries(trade_days(spark, sf_dir, cfg), STRATEGIES, TRADE_KEYS, cfg)
     return out.withColumn("volume_bbl", F.col("volume_bbl").cast("double"))
