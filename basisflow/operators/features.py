@@ -114,3 +114,12 @@ def coverage_filter(cov: DataFrame, min_coverage: float, keep: list[str], patter
     if pattern:
         ok = ok | F.col(key).rlike(f"^({pattern})$")
     return cov.where(ok).select(key)
+
+
+def feature_pack(df: DataFrame, selected: list[str] | None, forced: list[str], default: list[str], teachers: list[str]) -> DataFrame:
+    """Day, teacher column and features: the selected list (else the default one) plus the forced
+    basics, and the first teacher candidate that exists, renamed."""
+    feats = list(dict.fromkeys([*(selected or default), *forced]))
+    teacher = next((t for t in teachers if t in df.columns), None)
+    cols = [F.col("d")] + ([F.col(teacher).alias("teacher")] if teacher else [])
+    return df.select(*cols, *[F.col(f"`{c}`") for c in feats if c in df.columns])

@@ -46,7 +46,7 @@ def expanding_index_windows(n: DataFrame, count: str, first: float, val: float,
     """Index windows by fractions of the row count: train from 0 and growing, then validation, then test."""
     k = F.explode(F.sequence(F.lit(0), F.lit(int((1.0 - first - val - test) / step + 1e-9))))
     cut = lambda f: F.floor(F.col(count) * (f + F.col("k") * step) + 1e-9).cast("long")
-    return n.select(count, k.alias("k")).select((F.col("k") + 1).alias("window_id"), F.lit(0).cast("long").alias("train_start"),
+    return n.select("*", k.alias("k")).select(*n.columns, (F.col("k") + 1).alias("window_id"), F.lit(0).cast("long").alias("train_start"),
                                                 cut(first).alias("val_start"), cut(first + val).alias("test_start"),
                                                 cut(first + val + test).alias("test_end"))
 

@@ -55,7 +55,7 @@ def _(spark, sf):
     return r.groupBy("scenario_id", "strategy").agg(F.sum("roll_var").alias("var_sum"), F.sum("step_lpm").alias("lpm_sum"))
 
 
-@query("W40_path_signals", "scenario_id:s strategy:s n_negative:i n_convex:i recent_last:f4 z_max:f6", f"""
+@query("W40_path_signals", "scenario_id:s strategy:s n_negative:i n_convex:i recent_last:f4 z_max:f1", f"""
     SELECT scenario_id, strategy, sum(an) AS n_negative, sum(cv) AS n_convex, arg_max(rs, pos) AS recent_last, max(z) AS z_max FROM (
       SELECT *, CASE WHEN count(p) OVER f >= 3 AND max(p) OVER f < 0 THEN 1 ELSE 0 END AS an, sum(p) OVER f AS rs,
              CASE WHEN count(p) OVER f >= 3 AND min(st) OVER g > 0 AND st >= avg(st) OVER g THEN 1 ELSE 0 END AS cv,
@@ -342,8 +342,7 @@ def _(spark, sf):
 def _(spark, sf):
     n = base.calendar(spark, sf).groupBy("exposure_id").agg(F.count("*").alias("n"))
     w = splits.expanding_index_windows(n, "n", 0.5, 0.1, 0.1, 0.1)
-    each = n.select("exposure_id", F.col("n").alias("_n"))
-    return w.join(each, w["n"] == each["_n"]).dropDuplicates(["exposure_id", "window_id"])
+    return w
 
 
 @query("J18_segment_rows", "window_id:i segment:s exposure_id:s n:i", """
