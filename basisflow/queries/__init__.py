@@ -2,5 +2,5 @@
 
 import importlib
 
-for _module in ("core", "cleaning", "risk", "trades", "reporting", "volatility", "episodes", "files"):
+for _module in ("core", "cleaning", "risk", "trades", "reporting", "volatility", "episodes", "files", "scalars"):
     importlib.import_module(f"basisflow.queries.{_module}")
