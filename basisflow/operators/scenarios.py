@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from basisflow.functions.core import month_key, short_sha1, uniform_int
 from basisflow.operators.windows import bounds, realise_end, unfold
+from basisflow.plans.lineage import broadcast_checked, written
 
 # ---- fixed values ----
 BASELINE_DAYS, BASELINE_BBL = 20, 1_000_000
@@ -63,19 +64,24 @@ def company_trades(companies: DataFrame, starts: DataFrame, days: DataFrame, see
 
     A company (company_id, company_size, exposure_id) meets the short list of valid days of each month
     by equi-join on its exposure and picks its days by hash order inside that list, so the number of
-    companies only adds rows, never group size.
+    companies only adds rows, never group size. The outer explode keeps Catalyst from computing the
+    pick a second time as a filter; a pick is never empty.
     """
     months = starts.groupBy("exposure_id", month_key(F.col("d")).alias("month")).agg(
         F.array_sort(F.collect_list("d")).alias("days"))
-    t = companies.join(months, "exposure_id")
+    months = broadcast_checked(written(months, "month_days"), 200_000)
+    parts = int(companies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = companies.repartition(parts, "company_id").join(months, "exposure_id")
     pick = F.lit(None).cast("long")
     for size, (lo, hi) in TRADES_PER_MONTH.items():
         pick = F.when(F.col("company_size") == size,
                       uniform_int(lo, hi, F.lit(seed), F.col("company_id"), F.col("month"), F.lit("N"))).otherwise(pick)
-    key = lambda d: F.md5(F.concat_ws("|", F.lit(seed), F.col("company_id"), d.cast("string")).cast("binary"))
-    ordered = F.array_sort(F.transform("days", lambda d: F.struct(key(d).alias("h"), d.alias("d"))))
+    # one digest per company and month holds four hex digits for each of up to 31 days
+    text = lambda n: F.sha2(F.concat_ws("|", F.lit(seed), F.col("company_id"), F.col("month"), F.lit(n)).cast("binary"), 256)
+    t = t.withColumn("digest", F.concat(text("1"), text("2")))
+    ordered = F.array_sort(F.transform("days", lambda d, i: F.struct(F.substring(F.col("digest"), i * 4 + 1, 4).alias("h"), d.alias("d"))))
     t = t.withColumn("chosen", F.slice(ordered, F.lit(1), F.least(pick, F.size("days")).cast("int")))
-    t = t.select("exposure_id", "company_id", "company_size", "month", F.explode("chosen").alias("c"))
+    t = t.select("exposure_id", "company_id", "company_size", "month", F.explode_outer("chosen").alias("c"))
     t = t.select("exposure_id", "company_id", "company_size", "month", F.col("c.d").alias("start_date"))
     k = [F.lit(seed), F.col("company_id"), F.col("start_date")]
     t = t.withColumns({"horizon_days_target": uniform_int(*HORIZON, *k, F.lit("H")).cast("int"),

@@ -8,6 +8,7 @@ result does not depend on the quality of the sketch: a poor cut only means a lar
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -41,8 +42,13 @@ def quantile_table(df: DataFrame, keys: Sequence[str], value: str, probs: Sequen
         tagged = x.join(c, cond).drop(*[f"_c_{k}" for k in keys])
     else:
         tagged = x.withColumn("_cuts", cuts.select("_cuts").scalar())
-    bucket = sum(((F.col("_v") > F.element_at("_cuts", i + 1)).cast("int") for i in range(len(around))), F.lit(0))
-    tagged = tagged.withColumn("_b", bucket).drop("_cuts")
+    # number of cuts below the value, found in two steps of about sqrt(len(cuts)) comparisons
+    m, v = len(around), F.col("_v")
+    step = max(1, math.isqrt(m))
+    above = lambda i: F.coalesce((v > F.get("_cuts", i)).cast("int"), F.lit(0))
+    tagged = tagged.withColumn("_k", sum((above(F.lit(i - 1)) for i in range(step, m + 1, step)), F.lit(0)) * step)
+    tagged = tagged.withColumn("_b", sum((above(F.col("_k") + (i - 1)) for i in range(1, step)), F.col("_k")))
+    tagged = tagged.drop("_cuts", "_k")
 
     # equal values collapse before any ordering
     by_bucket = tagged.groupBy(*keys, "_b").agg(F.count("*").alias("_n"), F.sum("_v").alias("_s"))

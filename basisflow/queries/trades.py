@@ -77,11 +77,12 @@ add_cte("gcomp", "SELECT *, " + _sid("company", company="company_id") + " AS sce
     SELECT exposure_id, company_id, company_size, month, start_date, CAST({_u(20, 40, *_ck, "'H'")} AS INT) AS horizon_days_target,
            {_u(500000, 1500000, *_ck, "'Q'")} AS volume_bbl
     FROM (SELECT c.*, v.month, v.d AS start_date, row_number() OVER (PARTITION BY c.company_id, v.month
-                 ORDER BY md5('c3|' || c.company_id || '|' || v.d)) AS rn,
+                 ORDER BY substr(sha256('c3|' || c.company_id || '|' || v.month || '|1') || sha256('c3|' || c.company_id || '|' || v.month || '|2'), 4 * v.i + 1, 4), v.d) AS rn,
                  CASE company_size WHEN 'SMALL' THEN {_u(1, 3, "'c3'", "company_id", "month", "'N'")}
                       WHEN 'MEDIUM' THEN {_u(4, 8, "'c3'", "company_id", "month", "'N'")}
                       ELSE {_u(9, 15, "'c3'", "company_id", "month", "'N'")} END AS n
-          FROM companies c JOIN (SELECT exposure_id, d, strftime(d, '%Y-%m') AS month FROM cal WHERE valid = 1) v USING (exposure_id))
+          FROM companies c JOIN (SELECT exposure_id, d, strftime(d, '%Y-%m') AS month,
+               row_number() OVER (PARTITION BY exposure_id, strftime(d, '%Y-%m') ORDER BY d) - 1 AS i FROM cal WHERE valid = 1) v USING (exposure_id))
     WHERE rn <= n""") + ")")
 
 
