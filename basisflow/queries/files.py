@@ -71,7 +71,7 @@ def _(spark, sf):
     return s.groupBy("scenario_kind", "scenario_file").agg(F.count("*").alias("n"), F.sum("volume_bbl").alias("volume"))
 
 
-@query("S7_S8_partitioned_results", "exposure_id:s scenario_kind:s n:i net:f2 from_bucket:i", """
+@query("S7_S8_partitioned_results", "exposure_id:s scenario_kind:s n:i net:f4 from_bucket:i", """
     SELECT exposure_id, scenario_kind, count(*) AS n, sum(net_pnl_total) AS net, count(*) AS from_bucket FROM results GROUP BY 1, 2""", "results")
 def _(spark, sf):
     path = _folder(spark, "final")

@@ -17,6 +17,8 @@ from basisflow.queries.sqlbase import with_
 
 _SNAP = {"g": 1e-11, "r": 1e-9}
 _DIGITS = {"g": 8, "r": 5}
+# moves exact decimal ties off the tie, since the two engines break them differently
+_NUDGE = 1.000000000002
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,7 +36,7 @@ def _spark_col(name: str, kind: str) -> Column:
         return c.cast("long").alias(name)
     x = c.cast("double")
     if kind in _SNAP:
-        text = F.format_string(f"%.{_DIGITS[kind]}e", x)
+        text = F.format_string(f"%.{_DIGITS[kind]}e", x * _NUDGE)
         return (F.when(x.isNull() | F.isnan(x), None).when(F.abs(x) < _SNAP[kind], 0.0)
                 .otherwise(text.cast("double"))).alias(name)
     return F.when(~F.isnan(x), F.round(x, int(kind[1:])) + F.lit(0.0)).alias(name)
@@ -48,7 +50,7 @@ def _sql_col(name: str, kind: str) -> str:
     x = f'CAST("{name}" AS DOUBLE)'
     if kind in _SNAP:
         return (f"CASE WHEN {x} IS NULL OR isnan({x}) THEN NULL WHEN abs({x}) < {_SNAP[kind]} THEN 0.0 "
-                f"ELSE CAST(printf('%.{_DIGITS[kind]}e', {x}) AS DOUBLE) END AS \"{name}\"")
+                f"ELSE CAST(printf('%.{_DIGITS[kind]}e', {x} * {_NUDGE}::DOUBLE) AS DOUBLE) END AS \"{name}\"")
     return f'CASE WHEN isnan({x}) THEN NULL ELSE round({x}, {int(kind[1:])}) + 0.0 END AS "{name}"'
 
 

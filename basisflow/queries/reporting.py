@@ -268,7 +268,7 @@ def _(spark, sf):
     return report.restrict_to_reference(base.results(spark, sf), ref)
 
 
-@query("J13_common_scenarios", "exposure_id:s scenario_kind:s strategy:s n:i net:f2", """
+@query("J13_common_scenarios", "exposure_id:s scenario_kind:s strategy:s n:i net:f4", """
     WITH r AS (SELECT * FROM results WHERE NOT (strategy = 'ols_roll' AND company_size = 'SMALL') AND NOT (exposure_id = '5-LOW' AND
                  (strategy <> 'naive')) AND NOT (exposure_id = '2-HIGH' AND (strategy = 'naive') = (company_size = 'LARGE'))),
          c AS (SELECT exposure_id, scenario_kind, scenario_id FROM r GROUP BY 1, 2, 3 HAVING count(DISTINCT strategy) =

@@ -49,7 +49,7 @@ add_cte("lin", f"""
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS dcc_cov_sf_lag1 FROM momi JOIN seed USING (exposure_id)""")
 
 
-@query("W25_W28_volatility_features", "exposure_id:s d:d " + " ".join(f"{c}:f8" for c in recursion.VOL_COLS), """
+@query("W25_W28_volatility_features", "exposure_id:s d:d " + " ".join(f"{c}:f6" for c in recursion.VOL_COLS), """
     SELECT l.*, garch_spot_vol_lag1 - garch_fut_vol_lag1 AS garch_vol_spread_lag1, egarch_spot_vol_lag1, egarch_fut_vol_lag1,
       egarch_spot_vol_lag1 - egarch_fut_vol_lag1 AS egarch_vol_spread_lag1,
       greatest(-0.999, least(0.999, dcc_cov_sf_lag1 / sqrt(vs * vf))) AS dcc_corr_sf_lag1, dcc_cov_sf_lag1 / garch_fut_vol_lag1 ** 2 AS dcc_hr_lag1
