@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basisflow.llm import ann, bpe, embed_dedup, mixing, quality, secrets
+from basisflow.llm import ann, bpe, embed_dedup, line_dedup, lm_score, mixing, quality, secrets
 from basisflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,17 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query("op1_line_dedup", line_dedup.oracle())
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.summary(table(spark, sf_dir, "documents"))
+
+
+@query("op3_lm_score")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_score.score(docs, lm_score.train(docs)).drop("text")
+
+
 @query("op4_secret_scan", secrets.oracle())
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.summary(table(spark, sf_dir, "documents"))
