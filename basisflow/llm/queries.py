@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basisflow.llm import ann, bpe, embed_dedup, line_dedup, lm_score, mixing, quality, secrets
+from basisflow.llm import ann, bpe, embed_dedup, line_dedup, lm_score, mixing, quality, secrets, suffix_dedup
 from basisflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, TARGETS).select("doc_id", "source", "lang", "topic", "tokens", "factor", "keep_probability", "kept")
 
 
+@query("op7_suffix_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), digests=True)
+
+
 @query("op8_quality_classifier")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
