@@ -136,7 +136,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
     groups = components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")).unionByName(_repeats(good, member_key)))
     counted = found.groupBy("rep").agg(F.sum("n").alias("n"))
     of_class = classes.join(counted, "rep", "left").select(*member_key, "rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"))
-    linked = good.join(of_class, member_key).groupBy("id").agg(F.sum("n").alias("n"), F.min("rep").alias("rep"))
+    linked = good.join(of_class, member_key).select("id", "rep", "n").distinct().groupBy("id").agg(F.sum("n").alias("n"), F.min("rep").alias("rep"))
     every = rows.select("id").distinct()
     out = every.join(linked, "id", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "id")
