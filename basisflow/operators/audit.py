@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from basisflow.operators.metrics import sample_kurtosis, sample_skew
 
 WARN, HIGH = 0.05, 0.20
-OUTLIER_Z, OUTLIER_ROWS = 6.0, 200
+OUTLIER_Z = 6.0
 QS = {"q01": 0.01, "q05": 0.05, "q50": 0.5, "q95": 0.95, "q99": 0.99}
 
 
@@ -46,15 +46,16 @@ def trading_days(flags: DataFrame, tradable: str, key: str) -> DataFrame:
         F.count_if(off & ~weekend).alias("non_tradable_weekday"), (F.count_if(off) / n).alias("non_tradable_pct"))
 
 
-def outliers(df: DataFrame, value: str, key: str = "series_id") -> DataFrame:
-    """First 200 days per series whose z-score reaches 6."""
+def outliers(df: DataFrame, value: str, key: str = "series_id", limit: int | None = None) -> DataFrame:
+    """Days whose z-score within the series reaches 6; ``limit`` keeps the first so many of each series."""
     w = Window.partitionBy(key)
     sd = F.stddev_samp(value).over(w)
     z = df.where(F.col(value).isNotNull()).withColumn(
         "zscore", F.when(sd > 0, (F.col(value) - F.avg(value).over(w)) / sd))
     hit = z.where(F.abs("zscore") >= OUTLIER_Z)
-    return hit.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy("d"))).where(
-        F.col("_rn") <= OUTLIER_ROWS).drop("_rn")
+    if limit is None:
+        return hit
+    return hit.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy("d"))).where(F.col("_rn") <= limit).drop("_rn")
 
 
 def acf(df: DataFrame, value: str, nlags: int, key: str = "series_id") -> DataFrame:

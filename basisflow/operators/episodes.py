@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basisflow.operators.metrics import _join_keys
 from basisflow.plans.quantiles import exact_quantiles
 
 EP = ["scenario_id", "strategy"]
+LEAST_NOTIONAL = 1.0
 
 
 def _w(keys=EP, order="pos"):
@@ -41,9 +43,9 @@ def risk_attribution(log: DataFrame, target: float = 0.0, order: int = 2, weight
     w = _w()
     run = _upto(w)
     d = log.withColumns({
-        "portfolio_return": F.col("pnl") / F.col("notional"),
-        "cum_return": F.sum("pnl").over(run) / F.col("notional0"),
-        "cum_cost": F.sum("decision_cost").over(run) / F.col("notional0")})
+        "portfolio_return": F.col("pnl") / F.greatest("notional", F.lit(LEAST_NOTIONAL)),
+        "cum_return": F.sum("pnl").over(run) / F.greatest("notional0", F.lit(LEAST_NOTIONAL)),
+        "cum_cost": F.sum("decision_cost").over(run) / F.greatest("notional0", F.lit(LEAST_NOTIONAL))})
     short = F.greatest(F.lit(float(target)) - F.col("cum_return"), F.lit(0.0))
     d = d.withColumn("episode_lpm", short if order <= 1 else F.pow(short, F.lit(order)))
     d = d.withColumns({"delta_lpm": F.col("episode_lpm") - F.coalesce(F.lag("episode_lpm").over(w), F.lit(0.0)),
@@ -125,7 +127,7 @@ def versus_naive(eps: DataFrame, keys: list[str]) -> DataFrame:
         F.count("*").alias("n_scenarios"), F.avg("total_pnl").alias("mean_pnl"), F.avg("naive_pnl").alias("naive_mean_pnl"),
         F.var_samp("total_pnl").alias("_v"), F.var_samp("naive_pnl").alias("_vn"), F.var_samp("no_hedge_pnl").alias("_v0"),
         F.avg("mean_h").alias("mean_h"), F.avg("turnover_h").alias("turnover_h"))
-    m = m.join(es("total_pnl"), keys).join(es("naive_pnl"), keys).withColumnsRenamed({"es_total_pnl": "es95", "es_naive_pnl": "naive_es95"})
+    m = _join_keys(_join_keys(m, es("total_pnl"), keys), es("naive_pnl"), keys).withColumnsRenamed({"es_total_pnl": "es95", "es_naive_pnl": "naive_es95"})
     he = lambda v: F.when(F.col("_v0") > 0, 1 - F.col(v) / F.col("_v0"))
     m = m.withColumns({"he": he("_v"), "naive_he": he("_vn")}).drop("_v", "_vn", "_v0")
     pairs = {"mean_pnl": ("mean_pnl", "naive_mean_pnl"), "es95": ("es95", "naive_es95"), "he": ("he", "naive_he")}
@@ -137,8 +139,8 @@ def versus_naive(eps: DataFrame, keys: list[str]) -> DataFrame:
 def action_entropy(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
     """Entropy of action counts, also divided by its maximum, and the number of actions."""
     total = counts.groupBy(*keys).agg(F.sum(n).alias("_t"), F.count("*").alias("unique_actions"))
-    j = counts.join(total, keys)
-    p = F.col(n) / F.col("_t")
+    j = _join_keys(counts, total, keys)
+    p = F.coalesce(F.try_divide(F.col(n), F.col("_t")), F.lit(0.0))  # no action at all: entropy 0
     e = j.groupBy(*keys, "unique_actions").agg((-F.sum(p * F.log(p + 1e-12))).alias("entropy"))
     return e.withColumn("entropy_norm", F.when(F.col("unique_actions") > 1, F.col("entropy") / F.log(F.col("unique_actions").cast("double"))).otherwise(0.0))
 
@@ -171,10 +173,10 @@ def validation_score(eps: DataFrame, keys: list[str]) -> DataFrame:
     """Outside score: mean P&L less drawdown, tail loss and boundary share, in millions."""
     q = exact_quantiles(eps, keys, "total_pnl", {"_q": 0.05}, {"cvar": (0.05, "below")}).drop("_q")
     top = eps.groupBy(*keys).agg(F.max("h_abs_mean").alias("_mx"), F.avg("total_pnl").alias("pnl_mean"), F.avg(F.abs("mdd")).alias("mdd_abs"))
-    j = eps.join(top, keys)
+    j = _join_keys(eps, top, keys)
     b = j.groupBy(*keys).agg(F.first("pnl_mean").alias("pnl_mean"), F.first("mdd_abs").alias("mdd_abs"), F.coalesce(
         F.avg(F.when(F.col("_mx") > 0, (F.col("h_abs_mean") > 0.95 * F.col("_mx")).cast("double"))), F.lit(0.0)).alias("boundary"))
-    m = b.join(q, keys)
+    m = _join_keys(b, q, keys)
     score = (F.col("pnl_mean") / 1e6 - 0.45 * F.col("mdd_abs") / 1e6 - 0.40 * F.greatest(F.lit(0.0), -F.col("cvar")) / 1e6
              - 0.20 * F.col("boundary"))
     return m.withColumn("score", score)

@@ -71,19 +71,21 @@ def tail_metrics(df: DataFrame, keys: list[str], value: str, convention: str = "
 
 
 def _order_tail(df: DataFrame, keys: list[str], value: str, p: float) -> DataFrame:
-    """Mean of the k smallest values. The bound comes from the exact quantile, so only values below it
-    are summed; ties at the bound count as often as needed to reach k."""
-    q = exact_quantiles(df, keys, value, {"_q": p})
+    """The k-th smallest value and the mean of the k smallest, k = floor(p * n), one at least.
+
+    The largest value v up to the exact p-quantile has k or fewer values below it and k or more up to it, so the values beyond the
+    k-th in the sum up to v are all v itself. Everything is a sum per group; no group is ordered.
+    """
+    x = df.select(*keys, F.col(value).alias("_v"))
     n = df.groupBy(*keys).agg(F.count(value).alias("_n"))
-    base = _join_keys(q, n, keys).withColumn("_k", F.greatest(F.lit(1), F.floor(F.col("_n") * p)))
-    j = _join_keys(df.select(*keys, F.col(value).alias("_v")), base, keys, "inner").where(F.col("_v") <= F.col("_q"))
-    c = j.groupBy(*keys, "_v").agg(F.count("*").alias("_m"), F.first("_k").alias("_k"))
-    w = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("_before", F.coalesce(F.sum("_m").over(w), F.lit(0)))
-    use = F.greatest(F.lit(0), F.least(F.col("_m"), F.col("_k") - F.col("_before")))
-    return c.groupBy(*keys).agg(
-        F.max(F.when(use > 0, F.col("_v"))).alias("var"),
-        (F.sum(use * F.col("_v")) / F.max("_k")).alias("es"))
+    q = _join_keys(exact_quantiles(df, keys, value, {"_q": p}), n, keys).withColumn("_k", F.greatest(F.lit(1), F.floor(F.col("_n") * p)))
+    upto = _join_keys(x, q, keys, "inner").where(F.col("_v") <= F.col("_q")).groupBy(*keys).agg(
+        F.count("*").alias("_c"), F.sum("_v").alias("_s"), F.max("_v").alias("_top"), F.max("_k").alias("_k"))
+    under = _join_keys(x, upto.select(*keys, "_top"), keys, "inner").where(F.col("_v") < F.col("_top")).groupBy(*keys).agg(
+        F.count("*").alias("_less"), F.max("_v").alias("_next"))
+    out = _join_keys(upto, under, keys)
+    return out.select(*keys, F.when(F.col("_k") > F.coalesce("_less", F.lit(0)), F.col("_top")).otherwise(F.col("_next")).alias("var"),
+                      ((F.col("_s") - (F.col("_c") - F.col("_k")) * F.col("_top")) / F.col("_k")).alias("es"))
 
 
 MEANS = {"mean_spot": "spot_pnl_total", "mean_fut": "fut_pnl_total", "mean_cost_trade": "cost_trade_total",
@@ -210,12 +212,18 @@ def pooled(m: DataFrame, keys: list[str], cols: list[str], labels: list[str]) ->
 
 def histogram(df: DataFrame, keys: list[str], value: str, bins: int, lo: float | None = None,
               hi: float | None = None, range_keys: list[str] | None = None) -> DataFrame:
-    """Density per bin between two quantiles (or min and max) of the bucket given by ``range_keys``."""
+    """Density per bin between two quantiles (or min and max) of the bucket given by ``range_keys``.
+
+    Where the two quantiles are one value, the range is the bucket's min to max, and +-1 around it if that is one value, too.
+    """
     rk = range_keys if range_keys is not None else keys
+    rng = df.groupBy(*rk).agg(F.min(value).alias("_min"), F.max(value).alias("_max"))
     if lo is not None:
-        rng = exact_quantiles(df, rk, value, {"lo": lo, "hi": hi})
+        rng = _join_keys(rng, exact_quantiles(df, rk, value, {"lo": lo, "hi": hi}), rk)
+        tied = F.col("lo") == F.col("hi")
+        rng = rng.withColumns({"lo": F.when(tied, F.col("_min")).otherwise(F.col("lo")), "hi": F.when(tied, F.col("_max")).otherwise(F.col("hi"))})
     else:
-        rng = df.groupBy(*rk).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+        rng = rng.withColumnsRenamed({"_min": "lo", "_max": "hi"})
     same = F.col("lo") == F.col("hi")
     rng = rng.select(*rk, F.when(same, F.col("lo") - 1).otherwise(F.col("lo")).alias("lo"),
                      F.when(same, F.col("hi") + 1).otherwise(F.col("hi")).alias("hi"))

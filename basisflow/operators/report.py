@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basisflow.functions.core import null_text
-from basisflow.plans.ordered import keep_first
+from basisflow.plans.ordered import keep_first, keep_last
 
 # ---- fixed values: spellings and patterns that decide how old result files are read ----
 STRATEGY_NAMES = {
@@ -168,9 +168,9 @@ def metadata_probe(df: DataFrame) -> DataFrame:
                   ((known < 0.10) & (lost("mode") > 0.80) & (lost("roll") > 0.80)).cast("int").alias("needs_rebuild"))
 
 
-def enrich(df: DataFrame, meta: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """Fill only missing values from the first metadata row of each id."""
-    m = keep_first(meta.select(key, *cols), [key], cols)
+def enrich(df: DataFrame, meta: DataFrame, key: str, cols: list[str], order: list[str]) -> DataFrame:
+    """Fill only missing values from the first metadata row of each id, first by the columns ``order``."""
+    m = keep_first(meta.select(key, *dict.fromkeys([*cols, *order])), [key], order)
     m = m.select(key, *[F.col(c).alias(f"_m_{c}") for c in cols])
     j = df.join(m, key, "left")
     text = dict(df.dtypes)
@@ -187,11 +187,13 @@ def fill_ids(df: DataFrame, known: DataFrame, keys: list[str], order: list[str])
     return df.join(first, keys, "left").withColumn("scenario_id", F.coalesce("scenario_id", "_id")).drop("_id")
 
 
-def split_by_label(df: DataFrame, labels: DataFrame) -> DataFrame:
-    """Split kind oracle_all by the label of the trade, looked up by (exposure, id)."""
-    last = labels.where(F.col("oracle_series").isNotNull()).groupBy("exposure_id", "scenario_id").agg(
-        F.max("oracle_series").alias("_o"))
+def split_by_label(df: DataFrame, labels: DataFrame, order: list[str]) -> DataFrame:
+    """Split kind oracle_all by the row's own label, else by the last label of its (exposure, id) in ``order``."""
+    known = labels.where(F.col("oracle_series") != "")
+    last = keep_last(known, ["exposure_id", "scenario_id"], order).select("exposure_id", "scenario_id", F.col("oracle_series").alias("_o"))
     j = df.join(last, ["exposure_id", "scenario_id"], "left")
+    if "oracle_series" in df.columns:
+        j = j.withColumn("_o", F.coalesce(F.nullif(F.col("oracle_series"), F.lit("")), "_o"))
     return j.withColumn("scenario_kind", F.when(F.col("scenario_kind") == "oracle_all",
                         F.coalesce(oracle_kind(F.col("_o")), F.col("scenario_kind"))).otherwise(F.col("scenario_kind"))).drop("_o")
 

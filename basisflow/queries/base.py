@@ -104,11 +104,11 @@ def daily(spark, sf_dir, cfg=pnl.PnlConfig()):
 
 
 def step_log(spark, sf_dir):
-    """Daily rows of every trade and strategy with notionals: the step log of the episode analytics."""
+    """Daily rows of every trade and strategy with the notional of the day before, 1 at least: the step log of the episode analytics."""
     d = pnl.daily_paths(trade_days(spark, sf_dir), STRATEGIES, ["pnl_1c", "scenario_kind"])
     first = F.col("pos") == F.col("pos0")
     d = d.withColumns({"pnl_1c": F.when(first, 0.0).otherwise(F.coalesce("pnl_1c", F.lit(0.0))),
-                       "notional": F.abs(F.col("spot") * F.col("volume_bbl"))})
+                       "notional": F.greatest(F.abs((F.col("spot") - F.coalesce("d_spot", F.lit(0.0))) * F.col("volume_bbl")), F.lit(1.0))})
     return d.withColumn("notional0", F.first("notional").over(
         Window.partitionBy("scenario_id", "strategy").orderBy("pos")))
 

@@ -13,9 +13,9 @@ from basisflow.queries.sqlbase import add_cte
 from basisflow.sources import market
 
 add_cte("slog", """
-    SELECT t.*, d.pnl_1c0, abs(t.spot * t.volume_bbl) AS notional,
+    SELECT t.*, d.pnl_1c0, greatest(abs((t.spot - coalesce(t.d_spot, 0)) * t.volume_bbl), 1.0) AS notional,
            CASE WHEN t.pos = t.pos0 THEN 0 ELSE coalesce(d.pnl_1c0, 0) END AS pnl_1c, b.scenario_kind,
-           first_value(abs(t.spot * t.volume_bbl)) OVER (PARTITION BY t.scenario_id, t.strategy ORDER BY t.pos) AS notional0,
+           first_value(greatest(abs((t.spot - coalesce(t.d_spot, 0)) * t.volume_bbl), 1.0)) OVER (PARTITION BY t.scenario_id, t.strategy ORDER BY t.pos) AS notional0,
            max(equity) OVER (PARTITION BY t.scenario_id, t.strategy ORDER BY t.pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak
     FROM tdays t JOIN (SELECT exposure_id, pos, pnl_1c AS pnl_1c0 FROM vdays) d USING (exposure_id, pos) JOIN trades b USING (scenario_id)""")
 _EP = "PARTITION BY scenario_id, strategy"
@@ -149,8 +149,8 @@ def _(spark, sf):
 def _(spark, sf):
     e, k = _eps(spark, sf), ["scenario_kind", "strategy"]
     m = e.groupBy(*k).agg(F.count("*").alias("n"), F.avg("total_pnl").alias("mean_pnl"), F.avg("mdd").alias("mean_mdd"))
-    return (m.join(exact_quantiles(e, k, "total_pnl", {"median_pnl": 0.5}), k)
-            .join(exact_quantiles(e, k, "turnover_h", {"q95_turnover": 0.95}), k))
+    m = metrics._join_keys(m, exact_quantiles(e, k, "total_pnl", {"median_pnl": 0.5}), k)
+    return metrics._join_keys(m, exact_quantiles(e, k, "turnover_h", {"q95_turnover": 0.95}), k)
 
 
 @query("A22_strategy_columns", "scenario_id:s nohedge:f4 naive:f4 ols_static:f4 ols_roll:f4", """

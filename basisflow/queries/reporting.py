@@ -235,8 +235,10 @@ def _(spark, sf):
     o = market.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("n"), F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("strategy"),
         F.when(k == 0, None).when(k == 1, "Unknown").otherwise("OWN").alias("company_size"))
-    m = market.table(spark, sf, "customer").where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("company_size"))
-    return report.enrich(o, m, "id", ["company_size"])
+    m = market.table(spark, sf, "customer").where("c_custkey % 7 <> 0").select(
+        F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("company_size"), F.lit(1).alias("row_no"))
+    later = m.where("id % 2 = 0").withColumns({"company_size": F.lit("AAA"), "row_no": F.lit(2)})  # smaller in value, later in order
+    return report.enrich(o, m.unionByName(later), "id", ["company_size"], ["row_no"])
 
 
 @query("J9_fill_ids", "trade_no:i scenario_id:s", """
@@ -252,13 +254,16 @@ def _(spark, sf):
 @query("J10_split_by_label", "exposure_id:s scenario_kind:s n:i", """
     SELECT exposure_id, CASE WHEN k = 'oracle_all' AND l IS NOT NULL THEN CASE WHEN contains(lower(l), 'extreme') THEN 'oracle_extreme'
            WHEN contains(lower(l), 'feasible') THEN 'oracle_feasible' ELSE 'oracle_other' END ELSE k END AS scenario_kind, count(*) AS n
-    FROM (SELECT t.exposure_id, CASE WHEN t.trade_no % 4 = 0 THEN 'company' ELSE 'oracle_all' END AS k, CASE WHEN t.trade_no % 3 > 0 THEN f.oracle_series END AS l
+    FROM (SELECT t.exposure_id, CASE WHEN t.trade_no % 4 = 0 THEN 'company' ELSE 'oracle_all' END AS k, CASE WHEN t.trade_no % 7 = 0 THEN 'FEASIBLE' WHEN t.trade_no % 3 > 0 AND t.trade_no % 5 = 0 THEN 'EXTREME' WHEN t.trade_no % 3 > 0 THEN f.oracle_series END AS l
           FROM trades t JOIN files f ON f.n = t.trade_no) GROUP BY 1, 2""".replace("l IS NOT NULL", "l IS NOT NULL AND l <> ''"), "trades files")
 def _(spark, sf):
     t = base.trades(spark, sf).select("trade_no", "exposure_id", "scenario_id",
                                       F.when(F.col("trade_no") % 4 == 0, "company").otherwise("oracle_all").alias("scenario_kind"))
-    lab = t.join(_files(spark, sf).withColumnRenamed("n", "trade_no"), "trade_no").where("trade_no % 3 > 0").select("exposure_id", "scenario_id", "oracle_series")
-    return report.split_by_label(t, lab).groupBy("exposure_id", "scenario_kind").agg(F.count("*").alias("n"))
+    lab = t.join(_files(spark, sf).withColumnRenamed("n", "trade_no"), "trade_no").where("trade_no % 3 > 0").select(
+        "exposure_id", "scenario_id", "oracle_series", F.lit(1).alias("entry"), "trade_no")
+    later = lab.where("trade_no % 5 = 0").withColumns({"oracle_series": F.lit("EXTREME"), "entry": F.lit(2)})
+    own = t.withColumn("oracle_series", F.when(F.col("trade_no") % 7 == 0, "FEASIBLE"))
+    return report.split_by_label(own, lab.unionByName(later), ["entry"]).groupBy("exposure_id", "scenario_kind").agg(F.count("*").alias("n"))
 
 
 @query("J12_restrict_to_reference", "scenario_id:s strategy:s net_pnl_total:f4",

@@ -280,7 +280,7 @@ def _(spark, sf):
 @query("W42_outliers", "series_id:s d:d used:f9 zscore:f6", """
     SELECT series_id, d, used, z AS zscore FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY d) AS rn FROM (
       SELECT *, (used - avg(used) OVER w) / nullif(stddev_samp(used) OVER w, 0) AS z FROM hyb WHERE used IS NOT NULL
-      WINDOW w AS (PARTITION BY series_id)) WHERE abs(z) >= 6) WHERE rn <= 200""", "hyb")
+      WINDOW w AS (PARTITION BY series_id)) WHERE abs(z) >= 6)""", "hyb")
 def _(spark, sf):
     w = Window.partitionBy("series_id").orderBy("d")
     r = base.filled(spark, sf).withColumn("used", returns.hybrid_return(F.col("value"), w)[0])
@@ -305,7 +305,13 @@ def _(spark, sf):
     return _acf(spark, sf)
 
 
-@query("W41_pacf", "series_id:s lag:i pacf:f7")
+@query("W41_pacf", "series_id:s lag:i pacf:f7", """
+    WITH RECURSIVE r AS (SELECT series_id, list(acf ORDER BY lag) AS r FROM acfs GROUP BY 1),
+    p AS (SELECT series_id, r, 1 AS k, [r[1]] AS phi, r[1] AS a FROM r UNION ALL
+          SELECT series_id, r, k + 1, list_append(list_transform(range(1, k + 1), lambda j: phi[j] - b * phi[k + 1 - j]), b), b FROM (
+            SELECT *, (r[k + 1] - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 1 - j])))
+                      / (1 - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[j]))) AS b FROM p WHERE k < len(r)))
+    SELECT series_id, k AS lag, a AS pacf FROM p""", "acfs")
 def _(spark, sf):
     return audit.pacf(_acf(spark, sf))
 

@@ -120,7 +120,16 @@ def _(spark, sf):
     return recursion.grid_choice(z, "exposure_id", "pos", [0.005, 0.01, 0.02], [0.95, 0.97, 0.98])
 
 
-@query("W31_grid_fitted_volatility", "series_id:s d:d sigma:f8")
+@query("W31_grid_fitted_volatility", "series_id:s d:d sigma:f8", """
+    WITH x AS (SELECT series_id, d, simple * 100 AS x, row_number() OVER (PARTITION BY series_id ORDER BY d) - 1 AS i FROM rets WHERE simple IS NOT NULL),
+    m AS (SELECT series_id, var_pop(x) AS level FROM x GROUP BY 1 HAVING count(*) >= 750),
+    g AS (SELECT a, b FROM (SELECT unnest([0.03, 0.05, 0.08, 0.12])::DOUBLE AS a), (SELECT unnest([0.80, 0.85, 0.90, 0.94])::DOUBLE AS b) WHERE a + b < 0.999),
+    v AS (SELECT series_id, d, x, a, b, b ** i * (level + coalesce(sum((level * (1 - a - b) + a * x ** 2) * b ** (-(i + 1))) OVER
+            (PARTITION BY series_id, a, b ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS v FROM x JOIN m USING (series_id), g),
+    best AS (SELECT series_id, arg_max({'a': a, 'b': b}, l) AS p FROM (SELECT series_id, a, b, -0.5 * sum(ln(2 * pi() * v) + x ** 2 / v) AS l FROM v GROUP BY 1, 2, 3)
+             GROUP BY 1)
+    SELECT r.series_id, r.d, sqrt(v.v) / 100 AS sigma FROM rets r LEFT JOIN (SELECT v.* FROM v JOIN best USING (series_id) WHERE v.a = p.a AND v.b = p.b) v
+    USING (series_id, d)""", "rets")
 def _(spark, sf):
     r = base.filled(spark, sf).withColumn("r", returns.simple_return(F.col("value"), W()))
     return recursion.per_series(r, "series_id", "d", ["r"], lambda x: {"sigma": recursion.garch_grid_fit(x["r"])}, ["sigma"])

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from basisflow.functions.core import null_text, to_day
-from basisflow.operators.report import strategy_name, window_of
+from basisflow.operators.report import oracle_kind, strategy_name, window_of
 from basisflow.plans.ordered import keep_first, keep_last
 
 # ---- fixed values: file and column names in use ----
@@ -59,8 +60,9 @@ def _csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with header as text columns; falls back to latin-1 when UTF-8 leaves broken characters."""
     read = lambda enc: spark.read.option("header", True).option("encoding", enc).csv(path)
     df = read("UTF-8")
-    broken = F.concat_ws("", *[F.col(f"`{c}`") for c in df.columns]).contains("�")
-    if "�" in "".join(df.columns) or not df.where(broken).isEmpty():
+    lines = spark.read.text(path).select(F.col("value").cast("binary").alias("raw"))
+    # bytes that are no UTF-8, not the sign that stands for them: a valid file may hold that sign
+    if not lines.where(~F.is_valid_utf8("raw")).isEmpty():
         df = read("ISO-8859-1")
     return df.withColumnsRenamed({c: c.lstrip("﻿").replace("ï»¿", "") for c in df.columns})
 
@@ -69,13 +71,32 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return _csv(spark, path) if ".csv" in path.lower() else spark.read.option("mergeSchema", True).parquet(path)
 
 
+def _files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(path, size, modification time) of the files at a path, through the file system that serves it; [] if there is none."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    found, files = [], fs.listFiles(at, True)
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(found)
+
+
 def csv_to_parquet(spark: SparkSession, path: str, out: str) -> DataFrame:
-    """Convert a CSV once and read the Parquet copy from then on."""
-    try:
-        return spark.read.parquet(out)
-    except AnalysisException:
-        _csv(spark, path).write.mode("errorifexists").parquet(out)
-        return spark.read.parquet(out)
+    """Convert a CSV once and read the Parquet copy until the CSV changes.
+
+    The copy lies under a name made from paths, sizes and times of the CSV's files, and counts only once its writer has finished.
+    """
+    source = _files(spark, path)
+    if not source:
+        raise FileNotFoundError(path)
+    copy = f"{out}/{hashlib.sha256(repr(source).encode()).hexdigest()[:32]}"
+    if not _files(spark, f"{copy}/_SUCCESS"):
+        _csv(spark, path).write.mode("overwrite").parquet(copy)
+    return spark.read.parquet(copy)
 
 
 def normalise_dates(df: DataFrame, col: str | None = None, out: str = "d") -> DataFrame:
@@ -114,18 +135,24 @@ def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_scenario_root(spark: SparkSession, root: str, exposure: str, kinds: list[str]) -> DataFrame:
-    """Scenario files of an exposure by kind: first existing name, defaults filled, first copy of an id wins."""
+    """Scenario files of an exposure by kind: first existing name, defaults filled, first copy of an id wins.
+
+    A file that exists but cannot be read is an error. Rows of the labelled file take their kind from their label.
+    """
     frames = []
     for order, kind in enumerate(kinds):
         for name in SCENARIO_FILES[kind]:
-            try:
-                df = spark.read.parquet(f"{root}/{exposure}/{name}")
-            except AnalysisException:
+            path = f"{root}/{exposure}/{name}"
+            if not _files(spark, path):
                 continue
+            df = spark.read.parquet(path)
             df = clean_scenarios(df if "volume_bbl" in df.columns else df.withColumn("volume_bbl", F.lit(DEFAULT_VOLUME)))
             own = lambda c, v: F.coalesce(F.col(c), F.lit(v)) if c in df.columns else F.lit(v)
+            labelled = F.lit(kind)
+            if kind == "oracle_all" and "oracle_series" in df.columns:
+                labelled = F.coalesce(oracle_kind(F.col("oracle_series")), labelled)
             frames.append(df.withColumns({
-                "scenario_kind": own("scenario_kind", kind), "exposure_id": own("exposure_id", exposure),
+                "scenario_kind": F.coalesce(F.col("scenario_kind"), labelled) if "scenario_kind" in df.columns and kind != "oracle_all" else labelled, "exposure_id": own("exposure_id", exposure),
                 "volume_bbl": F.coalesce(F.col("volume_bbl").try_cast("double"), F.lit(DEFAULT_VOLUME)),
                 "scenario_file": F.lit(name), "_o": F.lit(order)}))
             break
@@ -137,9 +164,11 @@ def read_scenario_root(spark: SparkSession, root: str, exposure: str, kinds: lis
     return keep_first(out, ["scenario_id", "exposure_id", "scenario_kind"], ["_o", "start_date", "end_date"]).drop("_o")
 
 
-def read_results(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Result files of one layout with the file each row came from."""
-    df = spark.read.option("mergeSchema", True).parquet(*paths)
+def read_results(spark: SparkSession, paths: list[str], text: tuple[str, ...] = ("exposure_id", "scenario_kind")) -> DataFrame:
+    """Result files of one layout with the file each row came from. Folder names of ``text`` columns are texts, whatever they look like."""
+    found = spark.read.option("mergeSchema", True).parquet(*paths).schema
+    schema = StructType([StructField(f.name, StringType()) if f.name in text else f for f in found.fields])
+    df = spark.read.schema(schema).parquet(*paths)
     return df.withColumn("source_file", F.col("_metadata.file_path"))
 
 

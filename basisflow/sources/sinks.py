@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from basisflow.sources.readers import read_results
+
 
 def align_columns(df: DataFrame, like: DataFrame) -> DataFrame:
     """The columns of ``like`` in its order; missing ones NULL, extra ones dropped."""
@@ -14,22 +16,19 @@ def align_columns(df: DataFrame, like: DataFrame) -> DataFrame:
                        else F.lit(None).cast(f.dataType).alias(f.name) for f in like.schema.fields])
 
 
-def write_results(df: DataFrame, path: str, files_per_bucket: int = 8) -> None:
-    """One table split by (exposure, kind).
-
-    Rows are spread over a few salted tasks per bucket: a bucket with a third of all rows is written by
-    several tasks, and a small one does not leave a file per task.
-    """
-    salt = F.pmod(F.xxhash64("scenario_id"), F.lit(files_per_bucket))
-    (df.repartition("exposure_id", "scenario_kind", salt).write.mode("overwrite")
+def _by_bucket(df: DataFrame, path: str, mode: str) -> None:
+    # the hint gathers small buckets and lets Spark split large ones by size, so tasks follow the data
+    (df.hint("rebalance", "exposure_id", "scenario_kind").write.mode(mode)
      .partitionBy("exposure_id", "scenario_kind").parquet(path))
 
 
-def append_results(df: DataFrame, path: str, files_per_bucket: int = 8) -> None:
-    like = df.sparkSession.read.parquet(path)
-    salt = F.pmod(F.xxhash64("scenario_id"), F.lit(files_per_bucket))
-    (align_columns(df, like).repartition("exposure_id", "scenario_kind", salt).write.mode("append")
-     .partitionBy("exposure_id", "scenario_kind").parquet(path))
+def write_results(df: DataFrame, path: str) -> None:
+    """One table split by (exposure, kind)."""
+    _by_bucket(df, path, "overwrite")
+
+
+def append_results(df: DataFrame, path: str) -> None:
+    _by_bucket(align_columns(df, read_results(df.sparkSession, [path]).drop("source_file")), path, "append")
 
 
 def write_report_csv(df: DataFrame, path: str, order: list[str]) -> None:
