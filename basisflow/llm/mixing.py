@@ -1,13 +1,13 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Token weights of the cells (one per combination of levels of the raked columns) are raked: in turn, the weights
-of each column's levels are scaled to that column's target shares, until all margins fit. A document is kept with
-the probability calibrated to its cell, ``min(1, rate * factor)``, where factor is raked over natural weight and the
-rate is as large as possible: the cell with the largest factor keeps everything. The draw is a hash of the key.
+Token weights of the cells (one per combination of levels of the raked columns) are raked: in turn, the weights of each column's
+levels are scaled to that column's target shares, until all margins fit. The raked weights add up to the share ``keep`` of all tokens and
+none exceeds what its cell has, so raked over natural weight is a probability: a document is kept if its draw, a hash of its key, is
+below that of its cell. A topic or source that has too little for its target is kept whole.
 
 Levels without a target (null included) are pooled into one level "other" that keeps its natural share, so the number of
 cells is bounded by the target tables, not by the data: they fit on the driver. Targets of levels without a document
-are left out and the rest is scaled. Empty texts weigh nothing and take the factor of their cell, or 1 if the cell is empty.
+are left out and the rest is scaled. Empty texts weigh nothing and go by their cell, or by ``keep`` if the cell has no token.
 A null key draws by the text. Repeated rows share their draw. Columns that share a name with an output are replaced.
 """
 
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from basisflow.llm.common import without
 
 OTHER = "other"
+KEEP = 0.5
 _DRAWS = 1 << 40
 
 
@@ -43,30 +44,28 @@ def _level(column: str, targets: dict[str, float]) -> Column:
     return F.when(c.isin(*targets), c).otherwise(F.lit(OTHER))
 
 
-def rake(weights: np.ndarray, levels: list[np.ndarray], targets: list[np.ndarray], rounds: int = 500, precision: float = 1e-10) -> np.ndarray:
-    """Cell weights whose margins, one for each column of levels, are in the shares ``targets``; total as before.
+def rake(natural: np.ndarray, levels: list[np.ndarray], targets: list[np.ndarray], budget: float, rounds: int = 500,
+         precision: float = 1e-9) -> np.ndarray:
+    """Cell weights with a total of ``budget`` whose margins, one for each column of levels, are in the shares ``targets``.
 
-    Structural zeros stay zero; if the targets contradict each other through them, the last round stands.
+    No cell gets more than its natural weight: after each scaling it is cut to that, and the next rounds fill up from the others.
+    Targets that this makes impossible are met as far as the documents go, and the total stays below the budget by as much.
     """
-    total, w = weights.sum(), weights.astype(float).copy()
-    if total <= 0:
-        return w
-    goals = [t / t.sum() * total for t in targets]
+    w = natural.astype(float) * min(1.0, budget / max(natural.sum(), 1e-300))
     for _ in range(rounds):
-        off = 0.0
-        for level, goal in zip(levels, goals, strict=True):
-            have = np.bincount(level, weights=w, minlength=len(goal))
-            off = max(off, np.abs(have - goal).max() / total)
-            w *= np.divide(goal, have, out=np.zeros_like(goal), where=have > 0)[level]
-        if off < precision:
+        before = w.copy()
+        for level, share in zip(levels, targets, strict=True):
+            have, goal = np.bincount(level, weights=w, minlength=len(share)), share * budget
+            w = np.minimum(w * np.divide(goal, have, out=np.zeros_like(goal), where=have > 0)[level], natural)
+        if np.abs(w - before).max(initial=0) <= precision * budget:
             break
     return w
 
 
-def cell_rates(docs: DataFrame, targets: dict[str, dict[str, float]], weight: Column) -> DataFrame:
-    """Raked cells: levels, natural and raked weight, factor, keeping probability. Read once over ``docs``."""
+def cell_rates(docs: DataFrame, targets: dict[str, dict[str, float]], weight: str = "tokens", keep: float = KEEP) -> DataFrame:
+    """Raked cells: levels, natural and raked weight, keeping probability. Read once over ``docs``."""
     names = list(targets)
-    cells = (docs.select(*[_level(c, targets[c]).alias(f"_l{i}") for i, c in enumerate(names)], weight.alias("_w"))
+    cells = (docs.select(*[_level(c, targets[c]).alias(f"_l{i}") for i, c in enumerate(names)], F.col(f"`{weight}`").alias("_w"))
              .groupBy(*[f"_l{i}" for i in range(len(names))]).agg(F.sum("_w").alias("w")).orderBy(*[f"_l{i}" for i in range(len(names))]).collect())
     w = np.array([float(r["w"] or 0) for r in cells])
     index, goals = [], []
@@ -81,12 +80,11 @@ def cell_rates(docs: DataFrame, targets: dict[str, dict[str, float]], weight: Co
         if share:
             wanted[at[OTHER]] = share
         goals.append(wanted)
-    raked = rake(w, index, goals) if len(cells) else w
-    factor = np.divide(raked, w, out=np.ones_like(w), where=w > 0)
-    rate = 1 / factor[w > 0].max() if (w > 0).any() else 1.0
-    rows = [(*[r[f"_l{i}"] for i in range(len(names))], float(a), float(b), float(f), float(min(1.0, rate * f)))
-            for r, a, b, f in zip(cells, w, raked, factor, strict=True)]
-    schema = ", ".join([*[f"_l{i} string" for i in range(len(names))], "_natural double", "_raked double", "_factor double", "_keep double"])
+    raked = rake(w, index, goals, keep * w.sum())
+    rate = np.divide(raked, w, out=np.full_like(w, keep), where=w > 0)
+    rows = [(*[r[f"_l{i}"] for i in range(len(names))], float(a), float(b), float(p))
+            for r, a, b, p in zip(cells, w, raked, rate, strict=True)]
+    schema = ", ".join([*[f"_l{i} string" for i in range(len(names))], "_natural double", "_raked double", "_keep double"])
     return docs.sparkSession.createDataFrame(rows, schema)
 
 
@@ -96,18 +94,24 @@ def draw(key: str = "doc_id", text: str = "text", seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), c), F.lit(_DRAWS)) / F.lit(float(_DRAWS))
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]], key: str = "doc_id", text: str = "text", seed: int = 0) -> DataFrame:
-    """``docs`` with tokens, factor, keep_probability and kept. Raked columns must exist in ``docs``."""
-    kept = without(docs, "tokens", "factor", "keep_probability", "kept")
-    rates = cell_rates(kept, targets, tokens(text))
-    marked = kept.withColumns({f"_l{i}": _level(c, targets[c]) for i, c in enumerate(targets)})
+def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int = 0) -> DataFrame:
+    """``docs`` with tokens and draw."""
+    kept = without(docs, "tokens", "draw")
+    return kept.withColumns({"tokens": tokens(text), "draw": draw(key, text, seed)})
+
+
+def mix(measured: DataFrame, targets: dict[str, dict[str, float]], keep: float = KEEP) -> DataFrame:
+    """A measured table with keep_probability and kept. It is read twice: give it written, or narrow."""
+    rows = without(measured, "keep_probability", "kept")
     # one row per combination of target levels: its size does not depend on the documents
-    joined = marked.join(F.broadcast(rates), [f"_l{i}" for i in range(len(targets))], "left")
-    return joined.select(*[f"`{c}`" for c in kept.columns], tokens(text).alias("tokens"), F.col("_factor").alias("factor"),
-                         F.col("_keep").alias("keep_probability"), (draw(key, text, seed) < F.col("_keep")).alias("kept"))
+    rates = F.broadcast(cell_rates(rows, targets, keep=keep))
+    marked = rows.withColumns({f"_l{i}": _level(c, targets[c]) for i, c in enumerate(targets)})
+    joined = marked.join(rates, [f"_l{i}" for i in range(len(targets))], "left")
+    return joined.select(*[f"`{c}`" for c in rows.columns], F.col("_keep").alias("keep_probability"), (F.col("draw") < F.col("_keep")).alias("kept"))
 
 
-def sample(docs: DataFrame, targets: dict[str, dict[str, float]], key: str = "doc_id", text: str = "text", seed: int = 0) -> DataFrame:
-    """The kept rows of ``docs`` with the columns of ``docs``."""
-    prepared = docs.withColumn("_whole", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    return mix(prepared, targets, key, text, seed).where("kept").select("_whole.*")
+def sample(docs: DataFrame, targets: dict[str, dict[str, float]], key: str = "doc_id", text: str = "text", seed: int = 0, keep: float = KEEP,
+           derived: dict[str, Column] | None = None) -> DataFrame:
+    """The kept rows of ``docs`` with the columns of ``docs``. ``derived``: raked columns that are computed, not in ``docs``."""
+    whole = docs.withColumns(derived or {}).withColumn("_whole", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    return mix(measure(whole, key, text, seed), targets, keep).where("kept").select("_whole.*")

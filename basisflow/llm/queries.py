@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from basisflow.llm import ann, bpe, embed_dedup, line_dedup, lm_score, mixing, ngram_join, quality, secrets, suffix_dedup
 from basisflow.llm.common import table
+from basisflow.plans.lineage import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,8 +60,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_mix_sources")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("topic", mixing.topic())
-    return mixing.mix(docs, TARGETS).select("doc_id", "source", "lang", "topic", "tokens", "factor", "keep_probability", "kept")
+    measured = mixing.measure(table(spark, sf_dir, "documents").withColumn("topic", mixing.topic()))
+    narrow = written(measured.select("doc_id", "source", "lang", "topic", "tokens", "draw"), "measured")
+    return mixing.mix(narrow, TARGETS).drop("draw")
 
 
 @query("op7_suffix_dedup")
