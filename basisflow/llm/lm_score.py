@@ -142,7 +142,7 @@ def examples(docs: DataFrame, text: str = "text", stride: int = STRIDE) -> DataF
 
     def run(batches):
         for batch in batches:
-            for _, _, data, starts in text_blocks(batch.column(0), 16 << 20):
+            for _, _, data, starts in text_blocks(batch.column(0), 4 << 20):
                 x, bounds = masked(data, starts)
                 n = np.diff(bounds)
                 # the offset comes from the row's own first token and length, so it does not depend on the partitioning
