@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basisflow.operators.metrics import _join_keys
+from basisflow.plans.keys import _join_keys
 from basisflow.plans.quantiles import exact_quantiles
 
 EP = ["scenario_id", "strategy"]

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basisflow.plans.keys import _join_keys
 from basisflow.plans.quantiles import exact_quantiles, quantile_table
 
 NO_HEDGE = ("nohedge", "no_hedge", "no-hedge", "no hedge")
@@ -42,16 +43,6 @@ def effectiveness(var: Column, base: Column) -> Column:
     return F.when(base > 0, 1 - var / base)
 
 
-def _join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Join on keys that may be NULL on both sides."""
-    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    cond = None
-    for k in keys:
-        one = left[k].eqNullSafe(r[f"_r_{k}"])
-        cond = one if cond is None else cond & one
-    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
-
-
 def tail_metrics(df: DataFrame, keys: list[str], value: str, convention: str = "signed", alpha: float = 0.95) -> DataFrame:
     """VaR and ES per group.
 
@@ -236,6 +227,24 @@ def histogram(df: DataFrame, keys: list[str], value: str, bins: int, lo: float |
     return c.withColumn("density", F.col("n") / (total * width))
 
 
+def ecdf(df: DataFrame, keys: list[str], value: str, cuts: int = 256) -> DataFrame:
+    """Distinct values with their rank (rows up to the value) and share of the group.
+
+    Cut points split a group into buckets; counts of whole buckets carry over, so only a bucket is ordered in one task.
+    """
+    c = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("value")).agg(F.count("*").alias("_m"))
+    at = c.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("value", [i / cuts for i in range(1, cuts)], 10_000)).alias("_cuts"), F.sum("_m").alias("_n"))
+    d = _join_keys(c, at, keys)
+    d = d.withColumn("_b", F.size(F.filter("_cuts", lambda x: x < F.col("value")))).drop("_cuts")
+    per = d.groupBy(*keys, "_b").agg(F.sum("_m").alias("_t"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per.select(*keys, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_carry"))
+    inside = Window.partitionBy(*keys, "_b").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    d = _join_keys(d.withColumn("_in", F.sum("_m").over(inside)), carry, [*keys, "_b"])
+    rank = F.col("_carry") + F.col("_in")
+    return d.select(*keys, "value", rank.alias("rank"), (rank / F.col("_n")).alias("share"))
+
+
 def running_lpm(df: DataFrame, keys: list[str], at: str, tie: str, value: str, tau: float = 0.0, order: int = 2) -> DataFrame:
     """Cumulative downside over trades ordered by date, and its root.
 

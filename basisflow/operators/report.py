@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basisflow.functions.core import null_text
+from basisflow.plans.keys import _join_keys
 from basisflow.plans.ordered import keep_first, keep_last
 
 # ---- fixed values: spellings and patterns that decide how old result files are read ----
@@ -216,15 +217,14 @@ def common_scenarios(df: DataFrame, bucket: list[str]) -> DataFrame:
     A bucket with one strategy, or with no common trade, stays as it is. Counting strategies per
     trade replaces set intersection; strategies without ids do not count.
     """
-    seen = df.where(F.col("scenario_id").isNotNull()).select(*bucket, "strategy", "scenario_id").distinct()
-    per_trade = seen.groupBy(*bucket, "scenario_id").agg(F.count("*").alias("_n"))
-    need = seen.select(*bucket, "strategy").distinct().groupBy(*bucket).agg(F.count("*").alias("_need"))
-    full = per_trade.join(need, bucket).where(F.col("_n") == F.col("_need")).select(*bucket, "scenario_id")
-    has = full.select(*bucket).distinct().withColumn("_has", F.lit(True))
-    several = df.select(*bucket, "strategy").distinct().groupBy(*bucket).agg((F.count("*") > 1).alias("_many"))
-    tight = several.where("_many").join(has, bucket).select(*bucket)
-    return (df.join(full, [*bucket, "scenario_id"], "left_semi").join(tight, bucket, "left_semi")
-            .unionByName(df.join(tight, bucket, "left_anti")))
+    seen = df.select(*bucket, "strategy", "scenario_id").distinct()
+    known = F.when(F.col("scenario_id").isNotNull(), F.col("strategy"))
+    facts = seen.groupBy(*bucket).agg(F.count_distinct(known).alias("_need"), (F.count_distinct("strategy") > 1).alias("_many"))
+    per_trade = seen.where("scenario_id IS NOT NULL").groupBy(*bucket, "scenario_id").agg(F.count("*").alias("_n"))
+    full = _join_keys(per_trade, facts, bucket, "inner").where("_n = _need AND _many").select(*bucket, "scenario_id", F.lit(True).alias("_in"))
+    tight = full.groupBy(*bucket).agg(F.lit(True).alias("_tight"))
+    flagged = _join_keys(_join_keys(df, full, [*bucket, "scenario_id"]), tight, bucket)
+    return flagged.where("_tight IS NULL OR _in").drop("_in", "_tight")
 
 
 def run_grid(exposures: DataFrame, kinds: list[str], windowed: dict[str, list[int]], plain: list[str]) -> DataFrame:

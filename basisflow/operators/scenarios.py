@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from basisflow.functions.core import month_key, short_sha1, uniform_int
 from basisflow.operators.windows import bounds, realise_end, unfold
-from basisflow.plans.lineage import broadcast_checked, written
+from basisflow.plans.lineage import written
 
 # ---- fixed values ----
 BASELINE_DAYS, BASELINE_BBL = 20, 1_000_000
@@ -69,7 +69,7 @@ def company_trades(companies: DataFrame, starts: DataFrame, days: DataFrame, see
     """
     months = starts.groupBy("exposure_id", month_key(F.col("d")).alias("month")).agg(
         F.array_sort(F.collect_list("d")).alias("days"))
-    months = broadcast_checked(written(months, "month_days"), 200_000)
+    months = written(months, "month_days")  # Spark broadcasts it or not by its true size
     parts = int(companies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     t = companies.repartition(parts, "company_id").join(months, "exposure_id")
     pick = F.lit(None).cast("long")
@@ -79,6 +79,7 @@ def company_trades(companies: DataFrame, starts: DataFrame, days: DataFrame, see
     # one digest per company and month holds four hex digits for each of up to 31 days
     text = lambda n: F.sha2(F.concat_ws("|", F.lit(seed), F.col("company_id"), F.col("month"), F.lit(n)).cast("binary"), 256)
     t = t.withColumn("digest", F.concat(text("1"), text("2")))
+    t = t.where(F.size("days") <= F.when(F.size("days") > 32, F.raise_error(F.lit("a month with over 32 days: its digest has no draw for all"))).otherwise(32))
     ordered = F.array_sort(F.transform("days", lambda d, i: F.struct(F.substring(F.col("digest"), i * 4 + 1, 4).alias("h"), d.alias("d"))))
     t = t.withColumn("chosen", F.slice(ordered, F.lit(1), F.least(pick, F.size("days")).cast("int")))
     t = t.select("exposure_id", "company_id", "company_size", "month", F.explode_outer("chosen").alias("c"))

@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -43,8 +42,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def broadcast_checked(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint for a written table of at most ``max_rows`` rows (a count of file footers);
-    beyond that the join stays a shuffle join."""
-    return F.broadcast(df) if df.count() <= max_rows else df

@@ -160,12 +160,14 @@ def _(spark, sf):
     return base.results(spark, sf).groupBy("scenario_id").pivot("strategy", ["nohedge", "naive", "ols_static", "ols_roll"]).agg(F.first("net_pnl_total"))
 
 
-@query("A22_median_grid", "exposure_id:s naive:g ols_roll:g", """
-    SELECT exposure_id, median(CASE WHEN strategy = 'naive' THEN net_pnl_total END) AS naive, median(CASE WHEN strategy = 'ols_roll' THEN net_pnl_total END) AS ols_roll
-    FROM results GROUP BY 1""", "results")
+_S4 = ("nohedge", "naive", "ols_static", "ols_roll")
+
+
+@query("A22_median_grid", "exposure_id:s nohedge:g naive:g ols_static:g ols_roll:g", "SELECT exposure_id, " + ", ".join(
+    f"median(CASE WHEN strategy = '{s}' THEN net_pnl_total END) AS {s}" for s in _S4) + " FROM results GROUP BY 1", "results")
 def _(spark, sf):
     q = exact_quantiles(base.results(spark, sf), ["exposure_id", "strategy"], "net_pnl_total", {"m": 0.5})
-    return q.groupBy("exposure_id").pivot("strategy", ["naive", "ols_roll"]).agg(F.first("m"))
+    return q.groupBy("exposure_id").pivot("strategy", list(_S4)).agg(F.first("m"))
 
 
 _VN = ("exposure_id:s strategy:s n_scenarios:i mean_pnl:g naive_mean_pnl:g diff_mean_pnl:g es95:g naive_es95:g diff_es95:g he:f8 naive_he:f8 diff_he:f8 "

@@ -85,14 +85,14 @@ def _(spark, sf):
 
 
 @query("S9_window_union", "window_id:s split:s n:i turnover:f4", """
-    SELECT CASE WHEN strategy = 'naive' THEN 'w1' ELSE 'w2' END AS window_id, 'test' AS split, count(*) AS n,
-           sum(CASE WHEN strategy = 'naive' THEN 0 ELSE turnover_contracts END) AS turnover FROM results WHERE strategy IN ('naive', 'ols_roll') GROUP BY 1""", "results")
+    SELECT strategy AS window_id, 'test' AS split, count(*) AS n, sum(CASE WHEN strategy = 'naive' THEN 0 ELSE turnover_contracts END) AS turnover
+    FROM results GROUP BY 1""", "results")
 def _(spark, sf):
-    r = base.results(spark, sf)
-    a, b = _folder(spark, "w1"), _folder(spark, "w2")
-    r.where("strategy = 'naive'").select("scenario_id", "strategy").write.parquet(a)
-    r.where("strategy = 'ols_roll'").select("scenario_id", "strategy", "turnover_contracts").write.parquet(b)
-    u = readers.union_windows(spark, {"w1": a, "w2": b}, {"split": "test", "turnover_contracts": 0.0})
+    r, parts = base.results(spark, sf), {}
+    for s in ("nohedge", "naive", "ols_static", "ols_roll"):  # one part lacks a column
+        parts[s] = _folder(spark, s)
+        r.where(F.col("strategy") == s).select("scenario_id", "strategy", *([] if s == "naive" else ["turnover_contracts"])).write.parquet(parts[s])
+    u = readers.union_windows(spark, parts, {"split": "test", "turnover_contracts": 0.0})
     return u.groupBy("window_id", "split").agg(F.count("*").alias("n"), F.sum("turnover_contracts").alias("turnover"))
 
 

@@ -134,12 +134,12 @@ def _(spark, sf):
     return report.canonical_oracle(f)
 
 
-@query("P14_report_schema", "scenario_id:s net_pnl_total:f4 gross_pnl_total:f4 total_cost:f4", """
-    SELECT scenario_id, net_pnl_total, spot_pnl_total + fut_pnl_total AS gross_pnl_total, cost_trade_total AS total_cost
-    FROM results WHERE strategy = 'ols_roll'""", "results")
+@query("P14_report_schema", "scenario_id:s strategy:s net_pnl_total:f4 gross_pnl_total:f4 total_cost:f4", """
+    SELECT scenario_id, strategy, net_pnl_total, spot_pnl_total + fut_pnl_total AS gross_pnl_total, cost_trade_total AS total_cost
+    FROM results""", "results")
 def _(spark, sf):
-    r = base.results(spark, sf).where("strategy = 'ols_roll'").select(
-        "scenario_id", F.col("net_pnl_total").alias("pnl_net_sum"), F.col("cost_trade_total").alias("cost_sum"), "spot_pnl_total", "fut_pnl_total")
+    r = base.results(spark, sf).select(
+        "scenario_id", "strategy", F.col("net_pnl_total").alias("pnl_net_sum"), F.col("cost_trade_total").alias("cost_sum"), "spot_pnl_total", "fut_pnl_total")
     return report.report_schema(r)
 
 

@@ -394,3 +394,30 @@ def _(spark, sf):
     raw = base.raw_panel(spark, sf)
     cov = audit.coverage(raw, "price", total=raw.agg(F.count_distinct("d")).scalar())
     return features.coverage_filter(cov, 0.5, ["3-MEDIUM"], "[45]-.*")
+
+
+@query("A13_omega_without_loss", KS + " n:i omega:g", f"""
+    SELECT {KSQL}, count(*) AS n, CASE WHEN sum(greatest(-1e12 - {X}, 0)) > 0 THEN sum(greatest({X} + 1e12, 0)) / sum(greatest(-1e12 - {X}, 0)) ELSE 1e300 END AS omega
+    FROM results GROUP BY ALL""", "results")
+def _(spark, sf):
+    m = base.results(spark, sf).groupBy(*K).agg(F.count("*").alias("n"), metrics.omega(F.col(X), -1e12, float("inf")).alias("omega"))
+    return m.withColumn("omega", F.least("omega", F.lit(1e300)))  # infinity has no digits to compare
+
+
+@query("W35_drawdown_start_equity", "scenario_id:s strategy:s mdd:f4", """
+    SELECT scenario_id, strategy, max(greatest(pk, volume_bbl) - e) AS mdd FROM (
+      SELECT *, max(e) OVER (PARTITION BY scenario_id, strategy ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pk
+      FROM (SELECT *, equity + volume_bbl AS e FROM tdays)) GROUP BY 1, 2""", "tdays")
+def _(spark, sf):
+    w = Window.partitionBy("scenario_id", "strategy").orderBy("pos")
+    d = base.daily(spark, sf).withColumn("e", F.col("equity") + F.col("volume_bbl"))
+    peak = F.greatest(F.max("e").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("volume_bbl"))
+    return d.withColumn("dd", peak - F.col("e")).groupBy("scenario_id", "strategy").agg(F.max("dd").alias("mdd"))
+
+
+@query("A29_ecdf", "exposure_id:s strategy:s rank:i value:f4 share:f9", f"""
+    SELECT exposure_id, strategy, rank, v AS value, rank / n AS share FROM (
+      SELECT exposure_id, strategy, v, sum(c) OVER (PARTITION BY exposure_id, strategy ORDER BY v) AS rank, sum(c) OVER (PARTITION BY exposure_id, strategy) AS n
+      FROM (SELECT exposure_id, strategy, {X} AS v, count(*) AS c FROM results GROUP BY 1, 2, 3))""", "results")
+def _(spark, sf):
+    return metrics.ecdf(base.results(spark, sf), ["exposure_id", "strategy"], X)

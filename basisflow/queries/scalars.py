@@ -58,10 +58,10 @@ def _(spark, sf):
 @query("U1_strategy_registry", "scenario_id:s strategy:s net_pnl_total:f4 fut_pnl_total:f4 cost_roll_total:f4", """
     SELECT scenario_id, strategy, sum(spot_pnl + f - c) AS net_pnl_total, sum(f) AS fut_pnl_total, 0 AS cost_roll_total FROM (
       SELECT t.scenario_id, t.strategy, t.spot_pnl, t.cost_trade AS c, t.n_prev * CASE WHEN t.pos = t.pos0 THEN 0 ELSE coalesce(d.pnl_1c, 0) END AS f
-      FROM tdays t JOIN vdays d USING (exposure_id, pos) WHERE strategy IN ('naive', 'ols_roll')) GROUP BY 1, 2""", "tdays vdays")
+      FROM tdays t JOIN vdays d USING (exposure_id, pos)) GROUP BY 1, 2""", "tdays vdays")
 def _(spark, sf):
     cfg = pnl.PnlConfig(fut_pnl="pnl_1c", roll_costs=False)
-    chosen = [hedge.make_strategy("Naive"), hedge.make_strategy("rolling_ols", window=120)]
+    chosen = [hedge.make_strategy("nohedge"), hedge.make_strategy("Naive"), hedge.make_strategy("ols_static"), hedge.make_strategy("rolling_ols", window=120)]
     rows = pnl.trade_days(base.trades(spark, sf), base.calendar(spark, sf), base.days(spark, sf), chosen, cfg)
     return pnl.summaries(rows, chosen, base.TRADE_KEYS, cfg)
 

@@ -199,13 +199,15 @@ _T = " VaR_1:r ES_1:r VaR_5:r ES_5:r"
 
 
 @query("A17_dataset_kpis", "dataset:s n:i shortened_pct:f8 h_target_mean:g h_real_mean:g vol_mean:g pnl_mean:g pnl_std:g pnl_p50:g pnl_p95:g "
-       "hit_ratio:f8 ret_mean:g mdd_abs_mean:g mdd_pct_mean:g mae_abs_mean:g missed_upside_mean:g spot_range_mean:g" + _T, f"""
+       "hit_ratio:f8 ret_mean:g mdd_abs_mean:g mdd_pct_mean:g mae_abs_mean:g missed_upside_mean:g spot_range_mean:g real_min:g real_max:g vol_min:g vol_max:g pnl_min:g pnl_max:g ret_std:g mdd_abs_min:g mdd_pct_min:g pnl_p01:g pnl_p05:g pnl_p99:g ret_p05:g ret_p50:g ret_p95:g mdd_abs_p95:g" + _T, f"""
     SELECT * FROM (SELECT dataset, count(*) AS n, avg(CAST(data_coverage_flag = 'SHORTENED' AS INT)) AS shortened_pct,
       avg(horizon_days_target) AS h_target_mean, avg(horizon_days_realized) AS h_real_mean, avg(volume_bbl) AS vol_mean,
       avg(pnl_physical) AS pnl_mean, stddev_samp(pnl_physical) AS pnl_std, quantile_cont(pnl_physical, 0.5) AS pnl_p50,
       quantile_cont(pnl_physical, 0.95) AS pnl_p95, avg(CAST(pnl_physical > 0 AS INT)) AS hit_ratio, avg(return_simple) AS ret_mean,
       avg(mdd_abs_usd) AS mdd_abs_mean, avg(mdd_pct) AS mdd_pct_mean, avg(mae_abs_usd) AS mae_abs_mean,
-      avg(missed_upside_usd) AS missed_upside_mean, avg(spot_high - spot_low) AS spot_range_mean FROM kpi GROUP BY 1)
+      avg(missed_upside_usd) AS missed_upside_mean, avg(spot_high - spot_low) AS spot_range_mean,
+      min(horizon_days_realized) AS real_min, max(horizon_days_realized) AS real_max, min(volume_bbl) AS vol_min, max(volume_bbl) AS vol_max, min(pnl_physical) AS pnl_min, max(pnl_physical) AS pnl_max, stddev_samp(return_simple) AS ret_std, min(mdd_abs_usd) AS mdd_abs_min, min(mdd_pct) AS mdd_pct_min,
+      quantile_cont(pnl_physical, 0.01) AS pnl_p01, quantile_cont(pnl_physical, 0.05) AS pnl_p05, quantile_cont(pnl_physical, 0.99) AS pnl_p99, quantile_cont(return_simple, 0.05) AS ret_p05, quantile_cont(return_simple, 0.5) AS ret_p50, quantile_cont(return_simple, 0.95) AS ret_p95, quantile_cont(mdd_abs_usd, 0.95) AS mdd_abs_p95 FROM kpi GROUP BY 1)
     JOIN ({_tail_sql('dataset')}) USING (dataset)""", "kpi")
 def _(spark, sf):
     k = _kpi(spark, sf)
@@ -216,8 +218,19 @@ def _(spark, sf):
         a("pnl_physical", "pnl_mean"), F.stddev_samp("pnl_physical").alias("pnl_std"),
         F.avg((F.col("pnl_physical") > 0).cast("double")).alias("hit_ratio"), a("return_simple", "ret_mean"),
         a("mdd_abs_usd", "mdd_abs_mean"), a("mdd_pct", "mdd_pct_mean"), a("mae_abs_usd", "mae_abs_mean"),
-        a("missed_upside_usd", "missed_upside_mean"), F.avg(F.col("spot_high") - F.col("spot_low")).alias("spot_range_mean"))
-    return m.join(_tails(k, ["dataset"], {"pnl_p50": 0.5, "pnl_p95": 0.95}), "dataset")
+        a("missed_upside_usd", "missed_upside_mean"), F.avg(F.col("spot_high") - F.col("spot_low")).alias("spot_range_mean"),
+        F.min("horizon_days_realized").alias("real_min"),
+        F.max("horizon_days_realized").alias("real_max"),
+        F.min("volume_bbl").alias("vol_min"),
+        F.max("volume_bbl").alias("vol_max"),
+        F.min("pnl_physical").alias("pnl_min"),
+        F.max("pnl_physical").alias("pnl_max"),
+        F.stddev_samp("return_simple").alias("ret_std"),
+        F.min("mdd_abs_usd").alias("mdd_abs_min"),
+        F.min("mdd_pct").alias("mdd_pct_min"))
+    for c, named in (("return_simple", {"ret_p05": 0.05, "ret_p50": 0.5, "ret_p95": 0.95}), ("mdd_abs_usd", {"mdd_abs_p95": 0.95})):
+        m = m.join(exact_quantiles(k, ["dataset"], c, named), "dataset")
+    return m.join(_tails(k, ["dataset"], {"pnl_p50": 0.5, "pnl_p95": 0.95, "pnl_p01": 0.01, "pnl_p05": 0.05, "pnl_p99": 0.99}), "dataset")
 
 
 def _profile(keys, spark, sf):
