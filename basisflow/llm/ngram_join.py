@@ -12,7 +12,9 @@ one set are one class, named by its smallest key; classes are what is joined.
   the overlap of all pairs below; pairs of points that survive are verified on the sets themselves, made again from the texts.
 
 Groups of copies are not expanded: neighbours within a cell and the cell's first member are verified first and give components; the
-trees then look only for pairs that join different components. A cell with more than ``CELL`` members is cut into blocks, and every
+trees then look only for pairs that join different components. Members that have such pairs are put into clusters of pairs that may link;
+each set goes to its cluster once, and the links that join components come back: a few rows for a member, never all pairs. A cell or
+cluster with more than ``CELL`` members is cut into blocks, and every
 pair of blocks is a task of its own, so no task grows with a token's frequency.
 
 Null, empty or blank text: an empty set, linked with nothing. Rows that share a key are one document linked by any of its texts. A
@@ -28,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basisflow.llm.common import Words, mix, packed_rows, packed_schema, partitions, text_blocks, to_partitions
-from basisflow.llm.graph import components
+from basisflow.llm.common import Words, mix, packed_rows, packed_schema, partitions, text_blocks, to_partitions, unpack
+from basisflow.llm.graph import components, local_components
 from basisflow.plans.lineage import written
 
-WORDS, CELL, LEAF, FAN, GROUPS = 5, 4096, 32, 8, 32
+WORDS, CELL, LEAF, FAN, GROUPS, PER_GROUP = 5, 4096, 32, 8, 32, 4
 _odd = np.random.default_rng(77).integers(0, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 Share = tuple[int, int]  # threshold as a fraction, numerator and denominator
 
@@ -63,17 +65,21 @@ def digest(tokens: np.ndarray) -> bytes:
 
 
 def groups_for(n: np.ndarray | int) -> np.ndarray | int:
-    """Groups of a set of n tokens: 16 tokens to a group on average, at most."""
-    return GROUPS << np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / (16 * GROUPS)))).astype(int)
+    """Groups of a set of n tokens: ``PER_GROUP`` tokens to a group on average, at most."""
+    return GROUPS << np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / (PER_GROUP * GROUPS)))).astype(int)
 
 
 def point(tokens: np.ndarray) -> np.ndarray:
     g = int(groups_for(len(tokens)))
-    return np.bincount((tokens & np.uint64(g - 1)).astype(np.int64), minlength=g).astype(np.uint16)
+    counts = np.bincount((tokens & np.uint64(g - 1)).astype(np.int64), minlength=g)
+    if counts.max(initial=0) > 255:
+        raise ValueError("a group of hashed tokens has over 255 where 4 are expected")
+    return counts.astype(np.uint8)
 
 
 def folded(points: np.ndarray, groups: int) -> np.ndarray:
     """Counts over fewer groups."""
+    points = points.astype(np.uint16) if points.shape[1] > groups else points
     while points.shape[1] > groups:
         half = points.shape[1] // 2
         points = points[:, :half] + points[:, half:]
@@ -188,8 +194,6 @@ def _postings(words: int, share: Share, n_parts: int):
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(kind 0, id, token, members) of tokens with several members, and (kind 1, id, id, 0) of neighbours and of first members."""
-    from basisflow.llm.common import unpack
-
     token, owner = unpack(batches, "<u8", "<i8")
     if not len(token):
         return
@@ -220,18 +224,10 @@ def _cells(n_parts: int):
             lists = batch.column("cells")
             inner, bounds = lists.flatten(), np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
             row = np.repeat(np.arange(len(batch)), np.diff(bounds))
-            token, blocks = inner.field("token").to_numpy().view(np.uint64), -(-inner.field("members").to_numpy() // CELL)
             ids = batch.column("id").to_numpy()
-            own = (mix(ids[row].view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
-            # a member of block i goes to the pairs {i, j} of all j
-            copy = np.repeat(np.arange(len(row)), blocks)
-            j = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            i, row, token = own[copy], row[copy], token[copy]
-            low, high = np.minimum(i, j), np.maximum(i, j)
-            cell = mix(token + mix((low << 32 | high).view(np.uint64)))
-            side = np.where(low == high, 0, np.where(i == low, 1, 2)).astype(np.uint8)
+            at, cell, side = _block_pairs(ids[row], inner.field("members").to_numpy(), inner.field("token").to_numpy().view(np.uint64))
+            row = row[at]
             n = batch.column("n").to_numpy()[row]
-            groups = groups_for(n)
             part = (cell % np.uint64(n_parts)).astype(np.int64)
             points = np.array(batch.column("point").to_pylist(), object)
             order = np.argsort(part, kind="stable")
@@ -247,38 +243,100 @@ def _cells(n_parts: int):
     return run
 
 
-def _pairs_of_cells(share: Share):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from basisflow.llm.common import unpack
+def _cells_of(cell: np.ndarray, *then: np.ndarray) -> Iterator[np.ndarray]:
+    """Positions of each cell with two members at least."""
+    order = np.lexsort([*then, cell])
+    head = np.flatnonzero(np.concatenate([[True], cell[order][1:] != cell[order][:-1]]))
+    for lo, hi in zip(head, np.append(head[1:], len(order)), strict=True):
+        if hi - lo > 1:
+            yield order[lo:hi]
 
-        cell, ids, component, n, side, counts = unpack(batches, "<u8", "<i8", "<i8", "<i8", "u1", "<u2")
+
+def _survivors(share: Share):
+    """(a, b): members that some tree pairs with a member of another component, hung on the first of those they hang together with."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, ids, component, n, side, counts = unpack(batches, "<u8", "<i8", "<i8", "<i8", "u1", "u1")
         if not len(cell):
             return
         groups = groups_for(n)
-        at = np.cumsum(groups) - groups
-        order = np.lexsort([ids, groups, side, cell])
-        cell_o = cell[order]
-        head = np.flatnonzero(np.concatenate([[True], cell_o[1:] != cell_o[:-1]]))
-        found, held = [], 0
-        for lo, hi in zip(head, np.append(head[1:], len(order)), strict=True):
-            o = order[lo:hi]
-            if hi - lo < 2 or (component[o] == component[o[0]]).all():
-                continue
-            for a, b in _cell_join(o, side[o], groups, at, n, counts, share):
-                apart = component[a] != component[b]
-                a, b = ids[a[apart]], ids[b[apart]]
-                if len(a):
-                    found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
-                    held += len(a)
-            if held > 1 << 20:
-                found = [np.unique(np.concatenate(found), axis=0)]
-                held = 0
+        at, low, found = np.cumsum(groups) - groups, np.zeros(len(cell), np.int64), []
+        for o in _cells_of(cell, ids, groups, side):
+            if (component[o] != component[o[0]]).any():
+                low[o] = np.arange(len(o))
+                for a, b in _cell_join(o, side[o], groups, at, n, counts, share):
+                    apart = (component[a] != component[b]) & (low[a] != low[b])
+                    if apart.any():
+                        low[o] = local_components(len(o), low[a[apart]], low[b[apart]])[low[o]]
+                hung = low[o] != np.arange(len(o))
+                found.append(np.stack([ids[o[hung]], ids[o[low[o[hung]]]]], 1))
         if found:
             pairs = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
     return run
 
 
+def _block_pairs(ids: np.ndarray, members: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For members of groups: (position, cell, side) of every pair of blocks that a member belongs to. A group of up to CELL is one block."""
+    blocks = -(-members // CELL)
+    own = (mix(ids.view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+    at = np.repeat(np.arange(len(ids)), blocks)
+    j = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    i = own[at]
+    low, high = np.minimum(i, j), np.maximum(i, j)
+    return at, mix(name[at] + mix((low << 32 | high).view(np.uint64))), np.where(low == high, 0, np.where(i == low, 1, 2)).astype(np.uint8)
+
+
+def _with_sets(words: int, n_parts: int):
+    """Sets on their way to the blocks of their cluster."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, component = batch.column("id").to_numpy(), batch.column("component").to_numpy()
+            at, cell, side = _block_pairs(ids, batch.column("members").to_numpy(), batch.column("cluster").to_numpy().view(np.uint64))
+            bounds, lines = np.searchsorted(at, np.arange(len(ids) + 1)), []
+            for lo, _, data, starts in text_blocks(batch.column("text")):
+                for r, tokens in enumerate(ngram_sets(data, starts, words), lo):
+                    for k in range(bounds[r], bounds[r + 1]):
+                        fields = cell[k:k + 1], ids[r:r + 1], component[r:r + 1], np.array([len(tokens)]), side[k:k + 1], tokens
+                        lines.append((int(cell[k] % np.uint64(n_parts)), *[f.tobytes() for f in fields]))
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*lines, strict=True))],
+                                                 ["part", *[f"c{k}" for k in range(6)]])
+    return run
+
+
+def _linked_in_cells(share: Share):
+    """Verified links of each cell, no more than it takes to join its components."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, ids, component, n, side, tokens = unpack(batches, "<u8", "<i8", "<i8", "<i8", "u1", "<u8")
+        begin, groups, links = np.cumsum(n) - n, groups_for(n), []
+        sets = [tokens[b:b + k] for b, k in zip(begin, n, strict=True)]
+        place, low = np.zeros(len(cell), np.int64), np.zeros(len(cell), np.int64)
+        for o in _cells_of(cell, ids, groups, side):
+            counts = np.zeros(groups[o].sum(), np.uint8)
+            place[o] = np.cumsum(groups[o]) - groups[o]
+            for k in o:
+                counts[place[k]:place[k] + groups[k]] = point(sets[k])
+            low[o] = np.unique(component[o], return_inverse=True)[1]
+            for a, b in _cell_join(o, side[o], groups, place, n, counts, share):
+                for lo in range(0, len(a), 512):
+                    x, y = a[lo:lo + 512], b[lo:lo + 512]
+                    apart = low[x] != low[y]
+                    found = [(i, j) for i, j in zip(x[apart], y[apart], strict=True) if linked(sets[i], sets[j], share)]
+                    if found:
+                        i, j = np.array(found).T
+                        links.append(np.stack([ids[i], ids[j]], 1))
+                        low[o] = local_components(len(o), low[i], low[j])[low[o]]
+        if links:
+            pairs = np.unique(np.sort(np.concatenate(links), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+    return run
+
+
+def linked(x: np.ndarray, y: np.ndarray, share: Share) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True)) if len(x) and len(y) else 0
+    return both > 0 and share[1] * both >= share[0] * (len(x) + len(y) - both)
+
+
 def _cell_join(o, side, groups, at, n, counts, share):
     """Index pairs of one cell, by one tree for each side and number of groups."""
     trees = {}
@@ -308,7 +366,7 @@ def _bounded(share: Share):
             fits = (na * share[0] <= nb * share[1]) & (nb * share[0] <= na * share[1])
             pa_, pb_ = batch.column("pa"), batch.column("pb")
             for i in np.flatnonzero(fits):
-                x, y = (np.frombuffer(p[i].as_buffer(), "<u2")[None, :] for p in (pa_, pb_))
+                x, y = (np.frombuffer(p[i].as_buffer(), "u1")[None, :] for p in (pa_, pb_))
                 g = min(x.shape[1], y.shape[1])
                 keep[i] = reachable(np.minimum(folded(x, g), folded(y, g)).sum(1), na[i:i + 1], nb[i:i + 1], share)[0]
             yield batch.filter(pa.array(keep)).select(["a", "b"])
@@ -317,15 +375,10 @@ def _bounded(share: Share):
 
 def _verified(words: int, share: Share):
     """Keeps (a, b) of rows with both texts whose sets link."""
-    top, bottom = share
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [[s for _, _, data, starts in text_blocks(batch.column(c)) for s in ngram_sets(data, starts, words)] for c in ("ta", "tb")]
-            keep = []
-            for x, y in zip(*sets, strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True)) if len(x) and len(y) else 0
-                keep.append(both > 0 and bottom * both >= top * (len(x) + len(y) - both))
+            keep = [linked(x, y, share) for x, y in zip(*sets, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
     return run
 
@@ -365,12 +418,17 @@ def join(docs: DataFrame, words: int = WORDS, share: Share = (80, 100), key: str
     first = verified(renamed(buckets.where("kind = 1").select("a", "b")).transform(with_points).mapInArrow(_bounded(share), "a bigint, b bigint"))
     groups = written(components(first), "groups")
     cells = (buckets.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("token"), "members").join(names, "id")
-             .groupBy("rep", "token").agg(F.max("members").alias("members"))
-             .groupBy("rep").agg(F.collect_list(F.struct("token", "members")).alias("cells")))
-    placed = (points.join(cells.withColumnRenamed("rep", "id"), "id").join(groups.withColumnRenamed("node", "id"), "id", "left")
-              .select("id", "n", "point", "cells", F.coalesce("component", "id").alias("component")))
+             .groupBy("rep", "token").agg(F.max("members").alias("members")).withColumnRenamed("rep", "id")
+             .join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+    mixed = cells.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+    placed = (cells.join(mixed, "token").groupBy("id", "component").agg(F.collect_list(F.struct("token", "members")).alias("cells"))
+              .join(points, "id").select("id", "n", "point", "cells", "component"))
     crowded = to_partitions(placed.mapInArrow(_cells(n_parts), packed_schema(6)), n_parts)
-    second = verified(crowded.mapInArrow(_pairs_of_cells(share), "a bigint, b bigint").distinct())
+    clusters = components(crowded.mapInArrow(_survivors(share), "a bigint, b bigint"))
+    alive = (clusters.join(clusters.groupBy("component").agg(F.count("*").alias("members")), "component").withColumnsRenamed({"component": "cluster", "node": "id"})
+             .join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+    again = to_partitions(rows.join(written(alive, "alive"), "id").mapInArrow(_with_sets(words, n_parts), packed_schema(6)), n_parts)
+    second = written(again.mapInArrow(_linked_in_cells(share), "a bigint, b bigint"), "links")
     # a key with several texts ties their classes together
     several = names.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").join(names, "id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     whole = components(first.unionByName(second).unionByName(several.where("a <> b")))
@@ -378,3 +436,17 @@ def join(docs: DataFrame, words: int = WORDS, share: Share = (80, 100), key: str
     out = signed.select("id", "n").join(names.groupBy("id").agg(F.min("rep").alias("rep")), "id", "left")
     out = out.join(whole.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
+
+
+def oracle(name: str = "documents") -> str:
+    """The join as DuckDB SQL: all pairs that share a shingle, counted."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM {name}),
+    s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {WORDS} THEN [array_to_string(w, ' ')]
+          ELSE list_distinct(list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' '))) END AS s FROM w),
+    u AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
+    l AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS c FROM u x JOIN u y ON x.t = y.t AND x.doc_id <> y.doc_id
+          GROUP BY 1, 2) WHERE 100 * c >= 80 * (na + nb - c)),
+    r AS (SELECT doc_id AS n, doc_id AS c FROM {name} UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.n)
+    SELECT doc_id, len(s) AS n_shingles, component_id FROM s JOIN (SELECT n AS doc_id, min(c) AS component_id FROM r GROUP BY 1) USING (doc_id)"""
