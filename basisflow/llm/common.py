@@ -145,3 +145,16 @@ def unpack(batches: Iterator[pa.RecordBatch], *types: str) -> list[np.ndarray]:
             for value in batch.column(i + 1):
                 parts[i].append(np.frombuffer(value.as_buffer(), kind))
     return [np.concatenate(p) if p else np.zeros(0, kind) for p, kind in zip(parts, types, strict=True)]
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    """Numbers for the wire: bytes of equal weight side by side, then zstd, behind the size."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: pa.Buffer | bytes, kind: str) -> np.ndarray:
+    data = memoryview(data)
+    size = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)

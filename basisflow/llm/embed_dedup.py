@@ -149,3 +149,16 @@ def _repeats(good: DataFrame, member_key: list[str]) -> DataFrame:
     reps = good.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").drop("n").join(good, "id")
     classes = good.groupBy(*member_key).agg(F.min("id").alias("rep"))
     return reps.join(classes, member_key).select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b")
+
+
+def oracle(name: str = "embeddings", threshold: float = 0.93) -> str:
+    """The same as DuckDB SQL over all pairs of a label."""
+    return f"""
+    WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM {name}),
+    ok AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+           AND len(list_filter(e, lambda x: x <> 0)) > 0),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+          WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= {threshold}),
+    r AS (SELECT vec_id AS n, vec_id AS c FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.n)
+    SELECT vec_id, coalesce(k, 0) AS n_links, component_id, vec_id = component_id AS kept FROM (SELECT n AS vec_id, min(c) AS component_id FROM r GROUP BY 1)
+    LEFT JOIN (SELECT a AS vec_id, count(DISTINCT b) AS k FROM l GROUP BY 1) USING (vec_id)"""

@@ -37,7 +37,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.summary(table(spark, sf_dir, "documents"))
 
 
-@query("op2_ngram_jaccard_join")
+@query("op2_ngram_jaccard_join", ngram_join.oracle())
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
@@ -78,7 +78,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"), F.col("score_passages").alias("n_passages"))
 
 
-@query("op9_embedding_near_dedup")
+@query("op9_embedding_near_dedup", embed_dedup.oracle())
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
