@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basisflow.plans.keys import _join_keys
+from basisflow.plans.ordered import sub_buckets
 from basisflow.plans.quantiles import exact_quantiles
 
 EP = ["scenario_id", "strategy"]
@@ -212,14 +213,15 @@ def seeded_sample(df: DataFrame, n: int, seed: str, name: str) -> DataFrame:
 def numbered(df: DataFrame, coarse: str, fine: list[str], out: str = "position") -> DataFrame:
     """Position of each row in the order (coarse, fine), from 0, without sorting everything in one task.
 
-    Counts per coarse value (a date) carry over; inside one value rows are numbered on their own.
+    Counts per coarse value (a date) and piece of it carry over; inside a piece rows are numbered on their own.
     """
-    per = df.groupBy(coarse).agg(F.count("*").alias("_n"))
-    before = Window.orderBy(coarse).rowsBetween(Window.unboundedPreceding, -1)
-    carry = per.select(coarse, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    w = Window.partitionBy(coarse).orderBy(*fine)
-    d = df.withColumn("_in", F.row_number().over(w) - 1).join(carry, coarse)
-    return d.withColumn(out, F.col("_before") + F.col("_in")).drop("_in", "_before")
+    pieces = sub_buckets(df, [coarse], fine[0])
+    per = pieces.groupBy(coarse, "_b").agg(F.count("*").alias("_n"))
+    before = Window.orderBy(coarse, "_b").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as dates times pieces
+    carry = per.select(coarse, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    w = Window.partitionBy(coarse, "_b").orderBy(*fine)
+    d = _join_keys(pieces.withColumn("_in", F.row_number().over(w) - 1), carry, [coarse, "_b"])
+    return d.withColumn(out, F.col("_before") + F.col("_in")).drop("_in", "_before", "_b")
 
 
 def spread_pick(df: DataFrame, coarse: str, fine: list[str], share: float) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basisflow.plans.keys import _join_keys
+from basisflow.plans.ordered import sub_buckets
 from basisflow.plans.quantiles import exact_quantiles, quantile_table
 
 NO_HEDGE = ("nohedge", "no_hedge", "no-hedge", "no hedge")
@@ -248,14 +249,14 @@ def ecdf(df: DataFrame, keys: list[str], value: str, cuts: int = 256) -> DataFra
 def running_lpm(df: DataFrame, keys: list[str], at: str, tie: str, value: str, tau: float = 0.0, order: int = 2) -> DataFrame:
     """Cumulative downside over trades ordered by date, and its root.
 
-    Two levels: totals per (key, date) carry over dates, which the calendar bounds; inside a date
-    the rows of that date are summed in their own order.
+    Totals per (key, date, piece of the date) carry over; only the rows of one piece are summed in their own order.
     """
     d = df.select(*keys, at, tie, F.pow(F.greatest(tau - F.col(value), F.lit(0.0)), F.lit(order)).alias("_d"))
-    per_day = d.groupBy(*keys, at).agg(F.sum("_d").alias("_day"))
-    wd = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_day.withColumn("_carry", F.coalesce(F.sum("_day").over(wd), F.lit(0.0))).drop("_day")
-    inside = Window.partitionBy(*keys, at).orderBy(tie).rowsBetween(Window.unboundedPreceding, 0)
-    out = d.withColumn("_in", F.sum("_d").over(inside)).join(carry, [*keys, at])
+    d = sub_buckets(d, [*keys, at], tie)
+    per = d.groupBy(*keys, at, "_b").agg(F.sum("_d").alias("_t"))
+    before = Window.partitionBy(*keys).orderBy(at, "_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per.withColumn("_carry", F.coalesce(F.sum("_t").over(before), F.lit(0.0))).drop("_t")
+    inside = Window.partitionBy(*keys, at, "_b").orderBy(tie).rowsBetween(Window.unboundedPreceding, 0)
+    out = _join_keys(d.withColumn("_in", F.sum("_d").over(inside)), carry, [*keys, at, "_b"])
     cum = F.col("_carry") + F.col("_in")
     return out.select(*keys, at, tie, cum.alias("cum_lpm"), F.pow(cum, F.lit(1.0 / order)).alias("cum_root_lpm"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basisflow.plans.keys import _join_keys
+
 
 def _pick(df: DataFrame, keys: list[str], order: list[str | Column], last: bool) -> DataFrame:
     by = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order])
@@ -24,3 +26,17 @@ def keep_last(df: DataFrame, keys: list[str], order: list[str | Column]) -> Data
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     return _pick(df, keys, order, last=False)
+
+
+def sub_buckets(df: DataFrame, groups: list[str], order: str, out: str = "_b", cuts: int = 64) -> DataFrame:
+    """Bucket numbers that rise with ``order`` inside each group, so that a large group can be ordered piece by piece.
+
+    Cut points are approximate quantiles of the order column, of its first seven bytes if it is text. Equal values share a bucket.
+    """
+    if dict(df.dtypes)[order] == "string":
+        at = F.conv(F.rpad(F.hex(F.substring(F.col(order).cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("double")
+    else:
+        at = F.col(order).cast("double")
+    d = df.withColumn("_at", F.coalesce(at, F.lit(float("-inf"))))
+    points = d.groupBy(*groups).agg(F.array_distinct(F.percentile_approx("_at", [i / cuts for i in range(1, cuts)], 1000)).alias("_points"))
+    return _join_keys(d, points, groups).withColumn(out, F.size(F.filter("_points", lambda p: p < F.col("_at")))).drop("_at", "_points")

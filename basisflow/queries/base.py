@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basisflow.operators import clean, hedge, pnl, roll, windows
-from basisflow.plans.lineage import written
+from basisflow.plans.lineage import listing, written
 from basisflow.sources import market
 
 _KEPT: dict[tuple, DataFrame] = {}
 
 
 def _once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """Build a table once per session; tables of an earlier session are not reused."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """Build a table once per session and state of the input's files; tables of an earlier session are not reused."""
+    key = (spark.sparkContext.applicationId, sf_dir, hash(tuple(listing(spark, sf_dir))), name)
     if key not in _KEPT:
         _KEPT[key] = written(build(), name)
     return _KEPT[key]

@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from basisflow.functions.core import null_text, to_day
 from basisflow.operators.report import oracle_kind, strategy_name, window_of
+from basisflow.plans.lineage import listing
 from basisflow.plans.ordered import keep_first, keep_last
 
 # ---- fixed values: file and column names in use ----
@@ -71,30 +72,16 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return _csv(spark, path) if ".csv" in path.lower() else spark.read.option("mergeSchema", True).parquet(path)
 
 
-def _files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
-    """(path, size, modification time) of the files at a path, through the file system that serves it; [] if there is none."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(at):
-        return []
-    found, files = [], fs.listFiles(at, True)
-    while files.hasNext():
-        f = files.next()
-        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
-    return sorted(found)
-
-
 def csv_to_parquet(spark: SparkSession, path: str, out: str) -> DataFrame:
     """Convert a CSV once and read the Parquet copy until the CSV changes.
 
     The copy lies under a name made from paths, sizes and times of the CSV's files, and counts only once its writer has finished.
     """
-    source = _files(spark, path)
+    source = listing(spark, path)
     if not source:
         raise FileNotFoundError(path)
     copy = f"{out}/{hashlib.sha256(repr(source).encode()).hexdigest()[:32]}"
-    if not _files(spark, f"{copy}/_SUCCESS"):
+    if not listing(spark, f"{copy}/_SUCCESS"):
         _csv(spark, path).write.mode("overwrite").parquet(copy)
     return spark.read.parquet(copy)
 
@@ -143,7 +130,7 @@ def read_scenario_root(spark: SparkSession, root: str, exposure: str, kinds: lis
     for order, kind in enumerate(kinds):
         for name in SCENARIO_FILES[kind]:
             path = f"{root}/{exposure}/{name}"
-            if not _files(spark, path):
+            if not listing(spark, path):
                 continue
             df = spark.read.parquet(path)
             df = clean_scenarios(df if "volume_bbl" in df.columns else df.withColumn("volume_bbl", F.lit(DEFAULT_VOLUME)))
