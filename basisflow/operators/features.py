@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,6 @@ def feature_pairs(long: DataFrame, key: str = "series_id", value: str = "value")
 
 
 def pearson(pairs: DataFrame, min_pairs: int = MIN_PAIRS) -> DataFrame:
-    ok = (F.count("*") >= min_pairs) & (F.var_pop("a") > 0) & (F.var_pop("b") > 0)
     g = pairs.groupBy("feature_i", "feature_j").agg(
         F.count("*").alias("n"), F.covar_pop("a", "b").alias("_c"), F.stddev_pop("a").alias("_a"),
         F.stddev_pop("b").alias("_b"))
@@ -34,6 +35,39 @@ def pearson(pairs: DataFrame, min_pairs: int = MIN_PAIRS) -> DataFrame:
         F.col("n") >= min_pairs, F.try_divide("_c", F.col("_a") * F.col("_b"))).alias("corr"))
 
 
+def pearson_panel(long: DataFrame, key: str = "series_id", value: str = "value", min_pairs: int = MIN_PAIRS) -> DataFrame:
+    """The same correlations straight from the long panel, without a row for each pair and day.
+
+    Every batch of days is a matrix (days x features, mean-centred, holes as zero); products of it and of its mask give the sums of all
+    pairs at once, and only these partial sums, one row per pair and batch, are shuffled.
+    """
+    x = long.where(F.col(value).isNotNull()).select(F.col(key).cast("string").alias("f"), "d", F.col(value).cast("double").alias("v"))
+    means = x.groupBy("f").agg(F.avg("v").alias("m"))
+    days = x.join(means, "f").groupBy("d").agg(F.collect_list(F.struct("f", (F.col("v") - F.col("m")).alias("v"))).alias("fs")).select("fs")
+    sums = days.mapInArrow(_pair_sums, "feature_i string, feature_j string, n bigint, sx double, sy double, sxx double, syy double, sxy double")
+    g = sums.groupBy("feature_i", "feature_j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    c = F.col
+    both = F.sqrt(c("n") * c("sxx") - c("sx") ** 2) * F.sqrt(c("n") * c("syy") - c("sy") ** 2)
+    return g.select("feature_i", "feature_j", "n", F.when(c("n") >= min_pairs, F.try_divide(c("n") * c("sxy") - c("sx") * c("sy"), both)).alias("corr"))
+
+
+def _pair_sums(batches):
+    for batch in batches:
+        inner = batch.column("fs").flatten()
+        if not len(inner):
+            continue
+        names, column = np.unique(inner.field("f").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+        day = np.repeat(np.arange(len(batch)), np.diff(batch.column("fs").offsets.to_numpy()))
+        x, there = np.zeros((len(batch), len(names))), np.zeros((len(batch), len(names)))
+        x[day, column], there[day, column] = inner.field("v").to_numpy(), 1.0
+        n, sx, sxx, sxy = there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x
+        i, j = np.nonzero(np.triu(n, 1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names[i].tolist(), pa.string()), pa.array(names[j].tolist(), pa.string()), pa.array(n[i, j].astype(np.int64)),
+             *[pa.array(v) for v in (sx[i, j], sx[j, i], sxx[i, j], sxx[j, i], sxy[i, j])]],
+            ["feature_i", "feature_j", "n", "sx", "sy", "sxx", "syy", "sxy"])
+
+
 def spearman(pairs: DataFrame, min_pairs: int = MIN_PAIRS) -> DataFrame:
     """Pearson of the average ranks, ranked anew on the complete rows of each pair (bounded by days)."""
     keys = ["feature_i", "feature_j"]

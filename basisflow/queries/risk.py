@@ -328,9 +328,14 @@ def _pairs(spark, sf):
     return features.feature_pairs(f.select("series_id", "d", F.col("r").alias("value")))
 
 
+def _corr(spark, sf):
+    w = Window.partitionBy("series_id").orderBy("d")
+    return features.pearson_panel(base.filled(spark, sf).withColumn("r", returns.log_return(F.col("value"), w)), value="r")
+
+
 @query("A6_pearson", "feature_i:s feature_j:s n:i corr:f8", "SELECT * FROM pcorr", "pcorr")
 def _(spark, sf):
-    return features.pearson(_pairs(spark, sf))
+    return _corr(spark, sf)
 
 
 @query("A7_spearman", "feature_i:s feature_j:s n:i corr:f8", """
@@ -353,7 +358,7 @@ _THR = 0.01  # a level that links some of the nearly independent fixture series
 @query("D3_top_pairs", "feature_i:s feature_j:s corr:f8 abs_corr:f8",
        f"SELECT *, abs(corr) AS abs_corr FROM pcorr WHERE abs(corr) >= {_THR} ORDER BY abs(corr) DESC, feature_i, feature_j LIMIT 10", "pcorr")
 def _(spark, sf):
-    return features.top_pairs(features.pearson(_pairs(spark, sf)), 10, _THR)
+    return features.top_pairs(_corr(spark, sf), 10, _THR)
 
 
 add_cte("edge", f"""SELECT feature_i, feature_j, corr FROM pcorr WHERE abs(corr) >= {_THR} UNION ALL
@@ -368,7 +373,7 @@ add_cte("edge", f"""SELECT feature_i, feature_j, corr FROM pcorr WHERE abs(corr)
     SELECT s.group_size, s.group_id, l.f AS feature FROM lab l JOIN (SELECT *, row_number() OVER (ORDER BY group_size DESC, label)
         AS group_id FROM sz) s USING (label)""", "edge")
 def _(spark, sf):
-    return features.connected_groups(features.edges(features.pearson(_pairs(spark, sf)), _THR))
+    return features.connected_groups(features.edges(_corr(spark, sf), _THR))
 
 
 @query("D4_greedy_prune", "feature:s kept_feature:s corr:f8 abs_corr:f8", """
@@ -384,7 +389,7 @@ def _(spark, sf):
       WHERE NOT list_contains(kept, p.f) AND list_contains(kept, e.feature_j)) WHERE rn = 1""", "edge raw")
 def _(spark, sf):
     pri = base.raw_panel(spark, sf).groupBy(F.col("series_id").alias("feature")).agg(F.count("price").alias("priority"))
-    return features.greedy_prune(features.edges(features.pearson(_pairs(spark, sf)), _THR), pri)[1]
+    return features.greedy_prune(features.edges(_corr(spark, sf), _THR), pri)[1]
 
 
 @query("P7_coverage_filter", "series_id:s", """
