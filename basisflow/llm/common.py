@@ -149,7 +149,7 @@ def unpack(batches: Iterator[pa.RecordBatch], *types: str) -> list[np.ndarray]:
 
 def squeezed(values: np.ndarray) -> bytes:
     """Numbers for the wire: bytes of equal weight side by side, then zstd, behind the size."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
     return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from basisflow.llm import bpe, line_dedup, lm_score, mixing, ngram_join, quality, secrets, suffix_dedup
-from basisflow.llm.common import Words, text_blocks
+from basisflow.llm.common import Words, squeezed, text_blocks, unsqueezed
 from basisflow.llm.queries import RANKS
 from tests.llm.samples import documents, empty, groups, rows, shingles
 
@@ -35,6 +35,13 @@ def test_words_of_blocks_are_those_of_the_rows():
     assert h[1] == h[4] and len(set(h.tolist())) == len(h) - 1
 
 
+@pytest.mark.parametrize("kind", ["u1", "<i4", "<i8", "<u8"])
+def test_squeezed_numbers_come_back(kind):
+    for n in (0, 1, 1000):
+        x = np.random.default_rng(n).integers(0, 200, n).astype(kind)
+        assert (unsqueezed(squeezed(x), kind) == x).all() and len(unsqueezed(pa.py_buffer(squeezed(x)), kind)) == n
+
+
 # line dedup
 
 def plain_chunks(text):
