@@ -49,20 +49,26 @@ def contract_notes(d: DataFrame) -> DataFrame:
 
 
 def _table(counts: DataFrame, checks: list[str]) -> DataFrame:
-    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("long").alias("n_bad"))
+    """Rows (check, ok, n_bad, sample) of a one-row frame with a count and, under ``_<check>``, an offending key for each check."""
+    sample = lambda c: F.col(f"`_{c}`") if f"_{c}" in counts.columns else F.lit(None).cast("string")
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("long").alias("n_bad"), sample(c).alias("sample"))
                                for c in checks]))
-    return counts.select(rows.alias("r")).select("r.check", (F.col("r.n_bad") == 0).cast("int").alias("ok"), "r.n_bad")
+    return counts.select(rows.alias("r")).select("r.check", (F.col("r.n_bad") == 0).cast("int").alias("ok"), "r.n_bad", "r.sample")
 
 
 def duplicates(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Number of rows on keys that occur more than once; per-key counts combine before the shuffle."""
     g = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    bad = g.agg(F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).alias(name))
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    bad = g.agg(F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).alias(name), F.min(F.when(F.col("_n") > 1, text)).alias(f"_{name}"))
     return _table(bad, [name])
 
 
 def scenario_checks(df: DataFrame, exposure: str | None = None) -> DataFrame:
-    """(check, ok, n_bad) of the row rules, unique ids and, for labelled trades, unique labels."""
+    """(check, ok, n_bad, sample) of the row rules, unique ids and, for labelled trades, unique labels and record ids.
+
+    The sample is the smallest offending id.
+    """
     need = ["scenario_id", "exposure_id", "start_date", "end_date", "volume_bbl", "scenario_kind"]
     c = F.col
     rules: dict[str, Column] = {f"{k}_present": c(k).isNull() for k in need}
@@ -75,7 +81,13 @@ def scenario_checks(df: DataFrame, exposure: str | None = None) -> DataFrame:
         rules["exposure_matches"] = c("exposure_id") != exposure
     if "oracle_series" in df.columns:
         rules["label_present"] = (c("scenario_kind") == "oracle_all") & (F.trim(F.coalesce(c("oracle_series"), F.lit(""))) == "")
-    out = _table(df.agg(*[F.count_if(v).alias(k) for k, v in rules.items()]), list(rules))
+    if "scenario_record_id" in df.columns:
+        rules["record_id_present"] = (c("scenario_kind") == "oracle_all") & (F.trim(F.coalesce(c("scenario_record_id"), F.lit(""))) == "")
+    out = _table(df.agg(*[F.count_if(v).alias(k) for k, v in rules.items()],
+                        *[F.min(F.when(v, c("scenario_id").cast("string"))).alias(f"_{k}") for k, v in rules.items()]), list(rules))
+    if "scenario_record_id" in df.columns:
+        known = df.where((c("scenario_kind") == "oracle_all") & c("scenario_record_id").isNotNull())
+        out = out.unionByName(duplicates(known, ["scenario_record_id"], "record_id_unique"))
     if "oracle_series" in df.columns:
         lab = df.where(c("scenario_kind") == "oracle_all")
         out = out.unionByName(duplicates(lab, ["scenario_id", "oracle_series"], "label_unique"))
@@ -93,7 +105,7 @@ def result_checks(res: DataFrame, universe: DataFrame) -> DataFrame:
     uneven = per.groupBy("exposure_id", "scenario_kind").agg((F.min("n") != F.max("n")).alias("bad"))
     even = _table(uneven.agg(F.count_if(F.col("bad")).alias("strategies_even")), ["strategies_even"])
     var = res.where(F.col("strategy") == "nohedge").groupBy("exposure_id", "scenario_kind").agg(F.var_pop("net_pnl_total").alias("v"))
-    flat = _table(var.agg(F.count_if(~(F.col("v") > 0)).alias("nohedge_varies")), ["nohedge_varies"])
+    flat = _table(var.agg(F.count_if(~F.coalesce(F.col("v") > 0, F.lit(False))).alias("nohedge_varies")), ["nohedge_varies"])
     return reduce(DataFrame.unionByName, [kinds, ids, even, flat])
 
 

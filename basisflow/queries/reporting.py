@@ -144,43 +144,72 @@ def _(spark, sf):
 
 
 @query("P13_contract", "n_rows:i identity_violations:i oracle_rows_without_record_id:i splits:s windows:s", """
-    SELECT count(*) AS n_rows, count(*) FILTER (off <> 0) AS identity_violations, 0 AS oracle_rows_without_record_id, 'NA' AS splits, 'full' AS windows
-    FROM (SELECT CASE WHEN n_days % 4 = 0 THEN 1 ELSE 0 END AS off FROM results)""", "results")
+    SELECT count(*) AS n_rows, count(*) FILTER (off <> 0) AS identity_violations, count(*) FILTER (kind = 'oracle_all') AS oracle_rows_without_record_id, 'NA' AS splits, 'full' AS windows
+    FROM (SELECT CASE WHEN n_days % 4 = 0 THEN 1 ELSE 0 END AS off, CASE WHEN n_days % 5 = 0 THEN 'oracle_all' ELSE scenario_kind END AS kind FROM results)""", "results")
 def _(spark, sf):
     r = base.results(spark, sf)
     bent = r.withColumn("net_pnl_total", F.when(F.col("n_days") % 4 == 0, F.col("net_pnl_total") + 1).otherwise(
         F.col("spot_pnl_total") + F.col("fut_pnl_total") - F.col("cost_trade_total") - F.col("cost_roll_total")))
+    bent = bent.withColumn("scenario_kind", F.when(F.col("n_days") % 5 == 0, "oracle_all").otherwise(F.col("scenario_kind")))
     d, _ = validate.conform(bent.withColumnsRenamed({"scenario_kind": "kind", "strategy": "model", "net_pnl_total": "pnl_total"}))
     names = d.agg(F.max("split").alias("splits"), F.max("window_id").alias("windows"))
     return validate.contract_notes(d).withColumns({"splits": names.select("splits").scalar(), "windows": names.select("windows").scalar()})
 
 
-@query("P25_scenario_checks", "check:s ok:i n_bad:i", """
-    SELECT c AS "check", CAST(b = 0 AS INT) AS ok, b AS n_bad FROM (
-      SELECT unnest(['scenario_id_present', 'exposure_id_present', 'start_date_present', 'end_date_present', 'volume_bbl_present',
-                     'scenario_kind_present', 'kind_allowed', 'end_not_before_start', 'realized_within_target', 'realized_within_span',
-                     'exposure_matches', 'id_unique']) AS c,
-             unnest([0, 0, 0, 0, 0, 0, x, 0, 0, 0, e, d]) AS b
-      FROM (SELECT count(*) FILTER (kind = 'odd') AS x, count(*) FILTER (exposure_id <> 'N') AS e,
-                   (SELECT coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM trades GROUP BY company_id, start_date HAVING count(*) > 1)) AS d
-            FROM (SELECT *, CASE WHEN trade_no % 50 = 0 THEN 'odd' ELSE scenario_kind END AS kind FROM trades)))""", "trades")
+#: faults laid into the trades: every rule of the checks meets some
+_FAULTS = {
+    "scenario_kind": "CASE WHEN trade_no % 50 = 0 THEN 'odd' WHEN trade_no % 51 = 0 THEN NULL WHEN trade_no % 7 = 0 THEN 'oracle_all' ELSE scenario_kind END",
+    "volume_bbl": "CASE WHEN trade_no % 56 = 0 THEN NULL ELSE volume_bbl END",
+    "horizon_days_realized": "CASE WHEN trade_no % 54 = 0 THEN horizon_days_target + 1 WHEN trade_no % 55 = 0 THEN 1000 ELSE horizon_days_realized END",
+    "end_date": "CASE WHEN trade_no % 53 = 0 THEN start_date - INTERVAL 1 DAY WHEN trade_no % 59 = 0 THEN NULL ELSE end_date END",
+    "oracle_series": "CASE WHEN trade_no % 7 = 0 THEN CASE WHEN trade_no % 21 = 0 THEN '' ELSE 'EXTREME' END END",
+    "scenario_record_id": "CASE WHEN trade_no % 14 = 0 THEN 'R' || (trade_no % 1400) WHEN trade_no % 35 = 0 THEN '' END",
+    "scenario_id": "concat_ws('|', company_id, start_date)",
+    "start_date": "CASE WHEN trade_no % 57 = 0 THEN NULL ELSE start_date END",
+}
+_RULES = {
+    **{f"{k}_present": f"{k} IS NULL" for k in ("scenario_id", "exposure_id", "start_date", "end_date", "volume_bbl", "scenario_kind")},
+    "kind_allowed": "scenario_kind NOT IN (" + ", ".join(f"'{k}'" for k in validate.SCENARIO_KINDS) + ")",
+    "end_not_before_start": "end_date < start_date", "realized_within_target": "horizon_days_realized > horizon_days_target",
+    "realized_within_span": "horizon_days_realized > CAST(end_date AS DATE) - CAST(start_date AS DATE) + 5", "exposure_matches": "exposure_id <> 'N'",
+    "label_present": "scenario_kind = 'oracle_all' AND trim(coalesce(oracle_series, '')) = ''",
+    "record_id_present": "scenario_kind = 'oracle_all' AND trim(coalesce(scenario_record_id, '')) = ''",
+}
+add_cte("faulty", "SELECT exposure_id, horizon_days_target, company_id, trade_no, " + ", ".join(f"{e} AS {c}" for c, e in _FAULTS.items()) + " FROM trades")
+
+
+def _twice(name, keys, where):
+    key = f"concat_ws('|', {keys})"
+    return (f"SELECT '{name}', coalesce(sum(n), 0), min(k) FROM (SELECT count(*) AS n, {key} AS k FROM faulty WHERE {where} GROUP BY {keys} HAVING count(*) > 1)")
+
+
+@query("P25_scenario_checks", "check:s ok:i n_bad:i sample:s", "SELECT c AS \"check\", CAST(b = 0 AS INT) AS ok, b AS n_bad, k AS sample FROM (" + " UNION ALL ".join(
+    [f"SELECT '{n}' AS c, count(*) FILTER ({e}) AS b, min(CASE WHEN {e} THEN scenario_id END) AS k FROM faulty" for n, e in _RULES.items()]
+    + [_twice("record_id_unique", "scenario_record_id", "scenario_kind = 'oracle_all' AND scenario_record_id IS NOT NULL"),
+       _twice("label_unique", "scenario_id, oracle_series", "scenario_kind = 'oracle_all'"), _twice("id_unique", "scenario_id", "scenario_kind <> 'oracle_all'")]) + ")", "faulty")
 def _(spark, sf):
-    t = base.trades(spark, sf).withColumns({
-        "scenario_kind": F.when(F.col("trade_no") % 50 == 0, "odd").otherwise(F.col("scenario_kind")),
-        "scenario_id": F.concat_ws("|", "company_id", "start_date")})
-    return validate.scenario_checks(t, "N")
-
-
-@query("P26_result_checks", "check:s ok:i n_bad:i", """
-    SELECT unnest(['kinds_allowed', 'ids_known', 'strategies_even', 'nohedge_varies']) AS "check",
-           unnest([1, CAST(u = 0 AS INT), CAST(e = 0 AS INT), 1]) AS ok, unnest([0, u, e, 0]) AS n_bad
-    FROM (SELECT (SELECT count(*) FROM results WHERE substr(scenario_id, 2)::BIGINT % 10 = 0) AS u,
-                 (SELECT count(*) FROM (SELECT exposure_id, scenario_kind FROM (SELECT exposure_id, scenario_kind, strategy,
-                    count(*) FILTER (NOT (strategy = 'naive' AND company_size = 'SMALL')) AS n FROM results GROUP BY 1, 2, 3) GROUP BY 1, 2 HAVING min(n) <> max(n))) AS e,
-                 0)""".replace(" AS e,\n                 0)", " AS e)").replace(
-    "WHERE substr(scenario_id, 2)::BIGINT % 10 = 0", "WHERE substr(scenario_id, 2)::BIGINT % 10 = 0 AND NOT (strategy = 'naive' AND company_size = 'SMALL')"), "results")
+    t = base.trades(spark, sf)
+    return validate.scenario_checks(t.select("exposure_id", "horizon_days_target", "company_id", "trade_no", *[F.expr(e).alias(c) for c, e in _FAULTS.items()]), "N")
+
+
+_BENT = """SELECT * REPLACE (CASE WHEN substr(scenario_id, 2)::BIGINT % 13 = 0 THEN 'odd' ELSE scenario_kind END AS scenario_kind,
+    CASE WHEN strategy = 'nohedge' AND exposure_id = '5-LOW' THEN 0 ELSE net_pnl_total END AS net_pnl_total)
+    FROM results WHERE NOT (strategy = 'naive' AND company_size = 'SMALL')"""
+
+
+@query("P26_result_checks", "check:s ok:i n_bad:i", f"""
+    WITH b AS ({_BENT}), c AS (
+      SELECT 'kinds_allowed' AS c, count(*) FILTER (scenario_kind = 'odd') AS n FROM b
+      UNION ALL SELECT 'ids_known', count(*) FROM b WHERE substr(scenario_id, 2)::BIGINT % 10 = 0
+      UNION ALL SELECT 'strategies_even', count(*) FROM (SELECT exposure_id, scenario_kind FROM (SELECT exposure_id, scenario_kind, strategy, count(DISTINCT scenario_id) AS n
+        FROM b GROUP BY 1, 2, 3) GROUP BY 1, 2 HAVING min(n) <> max(n))
+      UNION ALL SELECT 'nohedge_varies', count(*) FROM (SELECT exposure_id, scenario_kind FROM b WHERE strategy = 'nohedge' GROUP BY 1, 2
+        HAVING NOT coalesce(var_pop(net_pnl_total) > 0, false)))
+    SELECT c AS "check", CAST(n = 0 AS INT) AS ok, n AS n_bad FROM c""", "results")
 def _(spark, sf):
     r = base.results(spark, sf).where("NOT (strategy = 'naive' AND company_size = 'SMALL')")
+    r = r.withColumns({"scenario_kind": F.when(F.substring("scenario_id", 2, 20).cast("long") % 13 == 0, "odd").otherwise(F.col("scenario_kind")),
+                       "net_pnl_total": F.when((F.col("strategy") == "nohedge") & (F.col("exposure_id") == "5-LOW"), 0.0).otherwise(F.col("net_pnl_total"))})
     known = base.trades(spark, sf).where("trade_no % 10 <> 0")
     return validate.result_checks(r, known)
 
