@@ -103,7 +103,7 @@ def episode_summary(log: DataFrame, keys: list[str]) -> DataFrame:
         F.avg((F.col("net_pnl") > F.col("spot_pnl") + naive_fut).cast("double")).alias("win_vs_naive"))
 
 
-def policy_evaluation(days: DataFrame, keys: list[str]) -> DataFrame:
+def policy_evaluation(days: DataFrame, keys: list[str], target: float = 0.0) -> DataFrame:
     """Fast evaluation with contract-correct futures P&L: daily return mean, variance, VaR and ES of losses.
 
     ``days`` has one row per episode day after the first with pnl, cost, dn and notional. An episode is
@@ -115,7 +115,8 @@ def policy_evaluation(days: DataFrame, keys: list[str]) -> DataFrame:
     d = d.withColumn("dd", F.greatest(F.max("eq").over(w), F.lit(0.0)) - F.col("eq"))
     g = d.groupBy(*keys).agg(
         F.sum("pnl").alias("pnl_net_sum"), F.sum("cost").alias("cost_sum"), F.sum("dn").alias("turnover_contract"), F.max("dd").alias("mdd"),
-        F.avg("r").alias("mean_daily_return"), F.var_samp("r").alias("var_daily"), F.percentile(-F.col("r"), 0.95).alias("var95_loss"),
+        F.avg("r").alias("mean_daily_return"), F.var_samp("r").alias("var_daily"),
+        F.sqrt(F.avg(F.pow(F.least(F.col("r") - target, F.lit(0.0)), F.lit(2)))).alias("dd_daily"), F.percentile(-F.col("r"), 0.95).alias("var95_loss"),
         F.collect_list(-F.col("r")).alias("_l"))
     tail = F.filter("_l", lambda x: x >= F.col("var95_loss"))
     return g.withColumn("es95_loss", F.aggregate(tail, F.lit(0.0), lambda a, x: a + x) / F.size(tail)).drop("_l")

@@ -31,6 +31,9 @@ KIND_RULES = (
 NET_COLUMNS = ("net_pnl_total", "pnl_net_sum", "pnl_net_total", "pnl_net", "net_pnl", "net_pnl_sum", "pnl_sum")
 COST_COLUMNS = ("cost_trade_total", "cost_sum", "cost_total", "cost", "cost_trade")
 FREQUENCIES = ("DAILY", "WEEKLY", "MONTHLY", "QUARTERLY")
+ROLL_WORDS = ("1", "1.0", "true", "t", "yes", "y", "roll")
+NOROLL_WORDS = ("0", "0.0", "false", "f", "no", "n", "noroll", "no-roll")
+PATH_ASSETS = (("OPEC", "OPEC_BASKET"), ("BRENT", "BRENT_SPOT"), ("WTI", "WTI_SPOT"))
 # ---- end of fixed values ----
 
 
@@ -62,12 +65,16 @@ def mode_of(text: Column, dynamic: Column | None = None) -> Column:
     return F.when(dynamic.isNotNull(), F.when(dynamic != 0, "dynamic").otherwise("static")).otherwise(parsed)
 
 
+def roll_flag(c: Column) -> Column:
+    """roll / noroll of an explicit flag, a number or a word; NULL if it says neither."""
+    t = F.regexp_replace(F.lower(F.trim(c.cast("string"))), "_", "-")
+    return F.when(t.isin(*ROLL_WORDS), "roll").when(t.isin(*NOROLL_WORDS), "noroll")
+
+
 def roll_of(text: Column, flag: Column | None = None) -> Column:
     t = F.regexp_replace(F.lower(_capture(text, ROLL_PATTERN)), "_", "-")
     parsed = F.when(t == "roll", "roll").when(t.isNotNull(), "noroll")
-    if flag is None:
-        return parsed
-    return F.when(flag == 1, "roll").when(flag == 0, "noroll").otherwise(parsed)
+    return parsed if flag is None else F.coalesce(roll_flag(flag), parsed)
 
 
 def kind_of(text: Column) -> Column:
@@ -78,6 +85,14 @@ def kind_of(text: Column) -> Column:
     return out.otherwise("unknown")
 
 
+def exposure_of(path: Column) -> Column:
+    """Exposure named anywhere in a path, the first of the list that occurs, else "unknown"."""
+    out = F
+    for word, exposure in PATH_ASSETS:
+        out = out.when(F.contains(F.upper(path), F.lit(word)), exposure)
+    return out.otherwise("unknown")
+
+
 def asset_of(path: Column, assets: list[str]) -> Column:
     """The first path part that is a known asset."""
     hits = F.filter(F.split(path, "/"), lambda p: p.isin(*assets))

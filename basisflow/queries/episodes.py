@@ -111,7 +111,7 @@ add_cte("evald", """SELECT *, spot_pnl + np * pnl_1c - cost AS pnl FROM (SELECT
     abs((spot - d_spot) * volume_bbl) AS notional FROM slog WHERE pos > pos0))""")
 add_cte("evals", """
     SELECT scenario_id, strategy, sum(pnl) AS pnl_net_sum, sum(cost) AS cost_sum, sum(dn) AS turnover_contract, max(dd) AS mdd, avg(r) AS mean_daily_return,
-      var_samp(r) AS var_daily, any_value(v) AS var95_loss, avg(-r) FILTER (-r >= v) AS es95_loss
+      var_samp(r) AS var_daily, sqrt(avg(least(r, 0) ** 2)) AS dd_daily, any_value(v) AS var95_loss, avg(-r) FILTER (-r >= v) AS es95_loss
     FROM (SELECT *, quantile_cont(-r, 0.95) OVER (PARTITION BY scenario_id, strategy) AS v, greatest(max(eq) OVER (PARTITION BY scenario_id, strategy ORDER BY pos
             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) - eq AS dd
           FROM (SELECT *, pnl / greatest(notional, 1e-9) AS r, sum(pnl) OVER (PARTITION BY scenario_id, strategy ORDER BY pos
@@ -122,7 +122,7 @@ def _evals(spark, sf):
     return base._once(spark, sf, "evaluations", lambda: episodes.policy_evaluation(_evaluated(spark, sf), ["scenario_id", "strategy"]))
 
 
-@query("A10_policy_evaluation", "scenario_id:s strategy:s pnl_net_sum:f4 cost_sum:f4 turnover_contract:f4 mdd:f4 mean_daily_return:f8 var_daily:f8 "
+@query("A10_policy_evaluation", "scenario_id:s strategy:s pnl_net_sum:f4 cost_sum:f4 turnover_contract:f4 mdd:f4 mean_daily_return:f8 var_daily:f8 dd_daily:f8 "
        "var95_loss:f8 es95_loss:f8", "SELECT * FROM evals", "evals")
 def _(spark, sf):
     return episodes.policy_evaluation(_evaluated(spark, sf), ["scenario_id", "strategy"])

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from basisflow.operators import audit
+from basisflow.operators import audit, report
 from basisflow.plans.lineage import checkpoint_folder
 from basisflow.queries import base, risk
 from basisflow.queries.reporting import _parsed
@@ -155,3 +155,47 @@ def _(spark, sf):
     h = base.strategy_days(spark, sf).where("exposure_id = 'N'").select("d", F.col("h_ols_roll_120").alias("y_h_dcc_120"))
     from basisflow.operators.features import feature_pack
     return feature_pack(f.join(h, "d"), None, ["A"], ["A", "R"], ["teacher_h", "y_h_dcc_120"])
+
+
+@query("S13_best_worst", "exposure_id:s side:s place:i strategy:s scenario_kind:s mean_net:g", " UNION ALL ".join(f"""
+    SELECT * FROM (SELECT exposure_id, '{side}' AS side, row_number() OVER (PARTITION BY exposure_id ORDER BY mean_net {order}, strategy || scenario_kind) AS place,
+           strategy, scenario_kind, mean_net FROM gm) WHERE place <= 3""" for side, order in (("best", "DESC"), ("worst", "ASC"))), "gm")
+def _(spark, sf):
+    m = risk._metrics(spark, sf).withColumn("tie", F.concat("strategy", "scenario_kind"))
+    return sinks.best_and_worst(m, ["exposure_id"], "mean_net", "tie", 3)
+
+
+@query("S13_raw_sample", "exposure_id:s place:i scenario_id:s strategy:s net_pnl_total:f4", """
+    SELECT * FROM (SELECT exposure_id, row_number() OVER (PARTITION BY exposure_id ORDER BY md5('raw|' || scenario_id || '|' || strategy), scenario_id, strategy) AS place,
+           scenario_id, strategy, net_pnl_total FROM results) WHERE place <= 200""", "results")
+def _(spark, sf):
+    return sinks.raw_sample(base.results(spark, sf), ["exposure_id"], ["scenario_id", "strategy"], 200, "raw")
+
+
+@query("S12_safe_parquet", "d:d A_px:f4 R_px:f4 N_px:f4", f"SELECT d, {_WIDE.replace(' AS "A"', ' AS A_px').replace(' AS "R"', ' AS R_px').replace(' AS "N"', ' AS N_px')} FROM panel GROUP BY 1", "panel")
+def _(spark, sf):
+    path = _folder(spark, "safe")
+    w = base.panel(spark, sf).groupBy(F.col("d").alias("Date")).pivot("series_id", ["A", "R", "N"]).agg(F.max("price"))
+    sinks.write_safe_parquet(w.select("Date", *[F.col(c).alias(f"{c} (px)") for c in "ARN"]), path)
+    return spark.read.parquet(path).withColumnRenamed("Date", "d")
+
+
+@query("S10_exposure_from_path", "exposure_id:s n:i", """
+    SELECT CASE o_orderkey % 4 WHEN 0 THEN 'OPEC_BASKET' WHEN 1 THEN 'BRENT_SPOT' WHEN 2 THEN 'WTI_SPOT' ELSE 'unknown' END AS exposure_id, count(*) AS n FROM orders GROUP BY 1""")
+def _(spark, sf):
+    k = F.col("o_orderkey") % 4
+    o = market.table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("scenario_id"), F.col("o_totalprice").alias("episode_pnl"), F.lit(1).alias("row_no"),
+        F.concat(F.lit("out/"), F.when(k == 0, "opec_wti").when(k == 1, "Brent").when(k == 2, "wti").otherwise("other"), F.lit("/test.parquet")).alias("source_file"))
+    return readers.ingest_policy(o, ["row_no"]).groupBy("exposure_id").agg(F.count("*").alias("n"))
+
+
+@query("P16_roll_flags", "flag:s roll:s n:i", """
+    SELECT flag, CASE WHEN flag IN ('TRUE', ' yes', '1', 'Roll', '1.0') THEN 'roll' WHEN flag IN ('no_roll', 'No-Roll', '0', 'f') THEN 'noroll'
+           WHEN odd = 1 THEN 'noroll' END AS roll, count(*) AS n FROM (
+      SELECT ['TRUE', ' yes', '1', 'Roll', '1.0', 'no_roll', 'No-Roll', '0', 'f', 'maybe', '', NULL][o_orderkey % 12 + 1] AS flag, o_custkey % 2 AS odd FROM orders) GROUP BY 1, 2""")
+def _(spark, sf):
+    words = F.array(*[F.lit(w) for w in ("TRUE", " yes", "1", "Roll", "1.0", "no_roll", "No-Roll", "0", "f", "maybe", "", None)])
+    o = market.table(spark, sf, "orders").select(F.get(words, (F.col("o_orderkey") % 12).cast("int")).alias("flag"),
+                                                 F.when(F.col("o_custkey") % 2 == 1, "x__noroll__y").otherwise("x").alias("path"))
+    return o.withColumn("roll", report.roll_of(F.col("path"), F.col("flag"))).groupBy("flag", "roll").agg(F.count("*").alias("n"))

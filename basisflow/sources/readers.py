@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from basisflow.functions.core import null_text, to_day
-from basisflow.operators.report import oracle_kind, strategy_name, window_of
+from basisflow.operators.report import exposure_of, oracle_kind, strategy_name, window_of
 from basisflow.plans.lineage import listing
 from basisflow.plans.ordered import keep_first, keep_last
 
@@ -188,6 +188,8 @@ def ingest_policy(df: DataFrame, order: list[str], default_window: Column | None
     text = lambda c, v: F.coalesce(null_text(F.col(c)), F.lit(v)) if c in have else F.lit(v)
     window = F.col("window").try_cast("int") if "window" in have else (
         default_window if default_window is not None else (window_of(F.col("source_file")) if "source_file" in have else F.lit(None).cast("int")))
+    if "exposure_id" not in have:
+        d = d.withColumn("exposure_id", exposure_of(F.col("source_file")) if "source_file" in have else F.lit("unknown"))
     d = d.withColumns({
         "scenario_kind": dataset_kind(kind),
         "strategy": F.coalesce(strategy_name(F.col("strategy")), F.lit(POLICY)) if "strategy" in have else F.lit(POLICY),

@@ -54,6 +54,27 @@ def with_safe_names(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.toDF(*names.values()), table
 
 
+def write_safe_parquet(df: DataFrame, path: str) -> None:
+    """A wide table as Parquet with safe column names, and the names it had as ``<path>_names``."""
+    renamed, names = with_safe_names(df)
+    renamed.write.mode("overwrite").parquet(path)
+    names.write.mode("overwrite").parquet(f"{path}_names")
+
+
+def best_and_worst(m: DataFrame, bucket: list[str], by: str, tie: str, n: int = 10) -> DataFrame:
+    """The first and the last n rows of each bucket by a metric, NULL left out; both sides are ranked filters that limit map tasks."""
+    there = m.where(F.col(by).isNotNull())
+    sides = [there.withColumns({"side": F.lit(side), "place": F.row_number().over(Window.partitionBy(*bucket).orderBy(order, tie))}).where(F.col("place") <= n)
+             for side, order in (("best", F.desc(by)), ("worst", F.asc(by)))]
+    return sides[0].unionByName(sides[1])
+
+
+def raw_sample(df: DataFrame, bucket: list[str], name: list[str], n: int, seed: str) -> DataFrame:
+    """n rows of each bucket in hash order of their name: the same rows whatever the partitioning."""
+    h = F.md5(F.concat_ws("|", F.lit(seed), *name).cast("binary"))
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*bucket).orderBy(h, *name))).where(F.col("place") <= n)
+
+
 def top_slices(m: DataFrame, bucket: list[str], by: str, n: int = 15, ascending: bool = False) -> DataFrame:
     """First n rows per bucket by a metric; Spark limits each map task before the shuffle."""
     order = F.asc_nulls_last(by) if ascending else F.desc_nulls_last(by)
