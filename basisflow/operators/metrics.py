@@ -148,6 +148,8 @@ def quick_score(m: DataFrame, bucket: list[str]) -> DataFrame:
     def z(c: str) -> Column:
         sd = F.stddev_samp(c).over(w)
         return F.when(sd > 0, (F.col(c) - F.avg(c).over(w)) / sd)
+    if "mdd_equity_mean" not in m.columns:
+        return m.withColumn("score_quick", 0.45 * z("he_net_vs_nohedge") - 0.30 * z("es95") + 0.25 * z("mean_net"))
     return m.withColumn("score_quick", 0.35 * z("he_net_vs_nohedge") - 0.25 * z("es95")
                         - 0.25 * z("mdd_equity_mean") + 0.15 * z("mean_net"))
 

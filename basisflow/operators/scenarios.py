@@ -59,6 +59,25 @@ def universe(starts: DataFrame, days: DataFrame, seed: str, per_day: int = CANDI
     return with_ids(ok, "oracle_universe", pool="UNIVERSE")
 
 
+def exact_end(days: DataFrame, start: str, end: str, hold: Column, volume: Column, stride: int = 1) -> DataFrame:
+    """Trades from every ``stride``-th calendar day of a range that is a day of the exposure, kept if the day ``hold`` later is one, too.
+
+    Start and end are looked up by equi-join; nothing is shortened.
+    """
+    d = days.select("exposure_id", "d").where(F.col("d").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    on_grid = F.pmod(F.datediff("d", F.lit(start).cast("date")), F.lit(max(stride, 1))) == 0
+    t = d.where(on_grid).withColumnRenamed("d", "start_date").withColumn("hold", hold.cast("int"))
+    t = t.withColumns({"end_date": F.date_add("start_date", F.col("hold")), "volume_bbl": volume.cast("double")})
+    return t.join(d.withColumnRenamed("d", "end_date"), ["exposure_id", "end_date"], "left_semi")
+
+
+def randomised(days: DataFrame, start: str, end: str, seed: str, hold: tuple[int, int] = (20, 40), volume: tuple[int, int] = (1_000_000, 2_000_000),
+               stride: int = 1) -> DataFrame:
+    """``exact_end`` with holding days and volume drawn from hashes of (seed, exposure, start)."""
+    key = [F.lit(seed), F.col("exposure_id"), F.col("start_date")]
+    return exact_end(days, start, end, uniform_int(*hold, *key, F.lit("H")), uniform_int(*volume, *key, F.lit("Q")), stride)
+
+
 def company_trades(companies: DataFrame, starts: DataFrame, days: DataFrame, seed: str) -> DataFrame:
     """Trades per company and month on distinct start days.
 

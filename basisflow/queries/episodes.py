@@ -153,6 +153,13 @@ def _(spark, sf):
     return metrics._join_keys(m, exact_quantiles(e, k, "turnover_h", {"q95_turnover": 0.95}), k)
 
 
+@query("A21_overall_means", "n:i mean_pnl:g mean_mdd:g mean_turnover_h:g mean_h:g", """
+    SELECT count(*) AS n, avg(total_pnl) AS mean_pnl, avg(mdd) AS mean_mdd, avg(turnover_h) AS mean_turnover_h, avg(mean_h) AS mean_h FROM eps""", "eps")
+def _(spark, sf):
+    return _eps(spark, sf).agg(F.count("*").alias("n"), F.avg("total_pnl").alias("mean_pnl"), F.avg("mdd").alias("mean_mdd"),
+                               F.avg("turnover_h").alias("mean_turnover_h"), F.avg("mean_h").alias("mean_h"))
+
+
 @query("A22_strategy_columns", "scenario_id:s nohedge:f4 naive:f4 ols_static:f4 ols_roll:f4", """
     SELECT scenario_id, """ + ", ".join(f"max(CASE WHEN strategy = '{s}' THEN net_pnl_total END) AS {s}" for s in ("nohedge", "naive", "ols_static", "ols_roll")) +
        " FROM results GROUP BY 1", "results")

@@ -141,6 +141,15 @@ def _(spark, sf):
     return metrics.quick_score(_metrics(spark, sf), ["exposure_id", "scenario_kind"])
 
 
+@query("W45_score_without_drawdown", KS + " score_quick:f6", """
+    SELECT *, 0.45 * z1 - 0.30 * z2 + 0.25 * z3 AS score_quick FROM (
+      SELECT *, """ + ", ".join(f"({c} - avg({c}) OVER w) / nullif(stddev_samp({c}) OVER w, 0) AS z{i}" for i, c in
+                                enumerate(("he_net_vs_nohedge", "es95", "mean_net"), 1)) +
+       " FROM gmhe WINDOW w AS (PARTITION BY exposure_id, scenario_kind))", "gmhe")
+def _(spark, sf):
+    return metrics.quick_score(_metrics(spark, sf).drop("mdd_equity_mean"), ["exposure_id", "scenario_kind"])
+
+
 @query("W44_average_rank", KS + " rank_es:f2 rank_he:f2 rank_sum:f2", """
     SELECT *, rank_es + rank_he AS rank_sum FROM (
       SELECT *, rank() OVER (PARTITION BY exposure_id ORDER BY round(es95 / 1e6) DESC)

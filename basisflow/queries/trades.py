@@ -55,6 +55,30 @@ def _(spark, sf):
     return scenarios.baseline(_starts(spark, sf), base.day_map(spark, sf))
 
 
+_RANGE = ("1996-01-01", "2000-12-31")
+
+
+def _exact_sql(hold, volume, stride):
+    inside = f"d BETWEEN DATE '{_RANGE[0]}' AND DATE '{_RANGE[1]}'"
+    return f"""SELECT exposure_id, start_date, start_date + CAST(hold AS INT) AS end_date, hold, volume_bbl FROM (
+        SELECT exposure_id, start_date, {hold} AS hold, {volume} AS volume_bbl FROM (SELECT exposure_id, CAST(d AS DATE) AS start_date FROM cal
+        WHERE {inside} AND date_diff('day', DATE '{_RANGE[0]}', d) % {stride} = 0)) t
+        WHERE EXISTS (SELECT 1 FROM cal c WHERE c.exposure_id = t.exposure_id AND CAST(c.d AS DATE) = t.start_date + CAST(t.hold AS INT) AND c.{inside})"""
+
+
+@query("G1_exact_end", "exposure_id:s start_date:d end_date:d hold:i volume_bbl:f2", _exact_sql("20", "1000000", 3), "cal")
+def _(spark, sf):
+    return scenarios.exact_end(base.calendar(spark, sf), *_RANGE, F.lit(20), F.lit(1_000_000), 3)
+
+
+_rk = ("'r5'", "exposure_id", "start_date")
+
+
+@query("G3_randomised", "exposure_id:s start_date:d end_date:d hold:i volume_bbl:f2", _exact_sql(_u(20, 40, *_rk, "'H'"), _u(1000000, 2000000, *_rk, "'Q'"), 1), "cal")
+def _(spark, sf):
+    return scenarios.randomised(base.calendar(spark, sf), *_RANGE, "r5")
+
+
 def _uni(spark, sf):
     def build():
         u = scenarios.universe(_starts(spark, sf), base.day_map(spark, sf), "u7")
