@@ -36,6 +36,7 @@ from basisflow.plans.lineage import written
 
 WORDS, CELL, LEAF, FAN, GROUPS, PER_GROUP = 5, 4096, 32, 8, 32, 4
 _odd = np.random.default_rng(77).integers(0, 2**63, 64, dtype=np.uint64) | np.uint64(1)
+_BYTES = 4 << 20  # counts compared at a time
 Share = tuple[int, int]  # threshold as a fraction, numerator and denominator
 
 
@@ -121,14 +122,16 @@ def tree_join(a: CountTree, b: CountTree, share: Share) -> Iterator[tuple[np.nda
         # a lower tree waits with its root for the other
         (ua, la, ha, fa, ea), (ub, lb, hb, fb, eb) = a.levels[min(depth, len(a.levels) - 1)], b.levels[min(depth, len(b.levels) - 1)]
         if depth == 0:
-            for lo in range(0, len(u), 16):
-                yield from _leaf_pairs(a, b, fa, ea, fb, eb, u[lo:lo + 16], v[lo:lo + 16], same, share)
+            step = max(1, _BYTES // (LEAF * LEAF * ua.shape[1]))
+            for lo in range(0, len(u), step):
+                yield from _leaf_pairs(a, b, fa, ea, fb, eb, u[lo:lo + step], v[lo:lo + step], same, share)
             return
         next_u, next_v = [], []
         ca = a.levels[min(depth - 1, len(a.levels) - 1)]
         cb = b.levels[min(depth - 1, len(b.levels) - 1)]
-        for lo in range(0, len(u), 256):
-            x, y = _crossed(u[lo:lo + 256], v[lo:lo + 256], (fa, ea) if depth < len(a.levels) else None, (fb, eb) if depth < len(b.levels) else None)
+        step = max(1, _BYTES // (FAN * FAN * ua.shape[1]))
+        for lo in range(0, len(u), step):
+            x, y = _crossed(u[lo:lo + step], v[lo:lo + step], (fa, ea) if depth < len(a.levels) else None, (fb, eb) if depth < len(b.levels) else None)
             if same:
                 x, y = x[x <= y], y[x <= y]
             fits = (ca[1][x] * share[0] <= cb[2][y] * share[1]) & (cb[1][y] * share[0] <= ca[2][x] * share[1])
@@ -376,7 +379,7 @@ def _bounded(share: Share):
 def _verified(words: int, share: Share):
     """Keeps (a, b) of rows with both texts whose sets link."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(lo, 512) for whole in batches for lo in range(0, len(whole), 512)):
             sets = [[s for _, _, data, starts in text_blocks(batch.column(c)) for s in ngram_sets(data, starts, words)] for c in ("ta", "tb")]
             keep = [linked(x, y, share) for x, y in zip(*sets, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
