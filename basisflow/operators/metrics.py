@@ -155,9 +155,12 @@ def quick_score(m: DataFrame, bucket: list[str]) -> DataFrame:
 
 
 def metric_ranks(m: DataFrame, bucket: list[str]) -> DataFrame:
-    """Dense ranks, best first; NULL metrics stay unranked."""
+    """Dense ranks, best first; NULL metrics stay unranked.
+
+    Values that agree to twelve digits share a rank: further digits depend on the order in which a sum was taken.
+    """
     def rank(c: str) -> Column:
-        w = Window.partitionBy(*bucket, F.col(c).isNull()).orderBy(F.desc(c))
+        w = Window.partitionBy(*bucket, F.col(c).isNull()).orderBy(F.format_string("%.11e", F.col(c)).try_cast("double").desc())
         return F.when(F.col(c).isNotNull(), F.dense_rank().over(w))
     return m.withColumns({"rank_by_he": rank("he_net_vs_nohedge"), "rank_by_es": rank("es95"),
                           "rank_by_mdd": rank("mdd_equity_mean")})

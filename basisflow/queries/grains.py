@@ -78,7 +78,7 @@ def _shape(keys: list[str], more: str = "") -> str:
 
 def _ranked(sql: str) -> str:
     bucket = "PARTITION BY exposure_id, scenario_kind, oracle_series, label"
-    rank = lambda c: f"CASE WHEN {c} IS NOT NULL THEN dense_rank() OVER ({bucket}, {c} IS NULL ORDER BY {c} DESC) END"
+    rank = lambda c: f"CASE WHEN {c} IS NOT NULL THEN dense_rank() OVER ({bucket}, {c} IS NULL ORDER BY CAST(printf('%.11e', {c}) AS DOUBLE) DESC) END"
     return f"SELECT *, {rank('he_net_vs_nohedge')} AS rank_by_he, {rank('es95')} AS rank_by_es, {rank('mdd_equity_mean')} AS rank_by_mdd FROM ({sql})"
 
 

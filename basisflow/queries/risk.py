@@ -125,9 +125,9 @@ def _(spark, sf):
 
 
 @query("A16_ranked_metrics", KS + " he_net_vs_nohedge:f8 es95:g mdd_equity_mean:g rank_by_he:i rank_by_es:i rank_by_mdd:i", """
-    SELECT *, dense_rank() OVER (PARTITION BY exposure_id, scenario_kind ORDER BY he_net_vs_nohedge DESC) AS rank_by_he,
-           dense_rank() OVER (PARTITION BY exposure_id, scenario_kind ORDER BY es95 DESC) AS rank_by_es,
-           dense_rank() OVER (PARTITION BY exposure_id, scenario_kind ORDER BY mdd_equity_mean DESC) AS rank_by_mdd FROM gmhe""", "gmhe")
+    SELECT *, dense_rank() OVER (PARTITION BY exposure_id, scenario_kind ORDER BY CAST(printf('%.11e', he_net_vs_nohedge) AS DOUBLE) DESC) AS rank_by_he,
+           dense_rank() OVER (PARTITION BY exposure_id, scenario_kind ORDER BY CAST(printf('%.11e', es95) AS DOUBLE) DESC) AS rank_by_es,
+           dense_rank() OVER (PARTITION BY exposure_id, scenario_kind ORDER BY CAST(printf('%.11e', mdd_equity_mean) AS DOUBLE) DESC) AS rank_by_mdd FROM gmhe""", "gmhe")
 def _(spark, sf):
     return metrics.metric_ranks(_metrics(spark, sf), ["exposure_id", "scenario_kind"])
 
