@@ -5,32 +5,34 @@ side (a padding id beyond the ends of the text):
 
     h = tanh(A[l2] + B[l1] + C[r1] + D[r2] + b)        p(token) = softmax(h K + k)[class] * softmax(h W[class] + w[class])[within]
 
-and the score of a document is the sum of ``log p`` over all its tokens. The network is trained in NumPy on all documents: each gives
-one masked position in ``STRIDE``, from a hashed offset, to a table of examples that is dealt over the partitions at random. In each round
-every partition trains on its own examples and the parameters are averaged by number of examples, chunk by chunk in Spark, so
-what comes to the driver has the size of the model alone.
+and the score of a document is the sum of ``log p`` over all its tokens. The network is trained in NumPy on every token of all documents:
+their ids are written once, a block of texts in a row. In each round every partition streams its own blocks, masks each token in turn and
+trains on the examples of one block at a time; the parameters are averaged by number of examples, chunk by chunk in Spark, so
+what comes to the driver has the size of the model alone. Steps grow with the block, from ``_STEP`` to ``_MOST`` examples; there are
+at most as many learners as the corpus has runs of ``_LEARNER`` tokens.
 
 Null or blank text: no tokens, sum 0, mean null. Without any token in the corpus the initial parameters score (nothing).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from basisflow.llm.bpe import _ddl
-from basisflow.llm.common import Words, packed_rows, packed_schema, partitions, text_blocks, to_partitions, without
+from basisflow.llm.common import Words, text_blocks, without
 from basisflow.plans.lineage import written
 
-CLASSES, WITHIN, WIDTH, STRIDE, ROUNDS = 32, 32, 16, 16, 3
+CLASSES, WITHIN, WIDTH, ROUNDS = 32, 32, 16, 3
 VOCAB = CLASSES * WITHIN
 PAD = VOCAB
-_STEP, _CHUNKS = 512, 16
+_STEP, _MOST, _LEARNER, _CHUNKS = 512, 8192, 1 << 20, 16
 _SHAPES = {"context": (4, VOCAB + 1, WIDTH), "b": (WIDTH,), "K": (WIDTH, CLASSES), "k": (CLASSES,),
            "W": (CLASSES, WIDTH, WITHIN), "w": (CLASSES, WITHIN)}
 SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
@@ -53,28 +55,49 @@ def initial(seed: int = 11) -> np.ndarray:
     return flat
 
 
-def masked(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(l2, l1, r1, r2, token) of every token of a block, and the first token of each row (plus the end)."""
-    words = Words(data, starts)
-    ids = (words.hash >> np.uint64(54)).astype(np.uint16)
-    n, row = len(ids), words.row
+def encoded(words: Words) -> np.ndarray:
+    """The id of each word."""
+    return (words.hash >> np.uint64(54)).astype(np.uint16)
+
+
+def masked(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """(l2, l1, r1, r2, token) of every token of a block; row r of the block has the ids ``bounds[r]:bounds[r + 1]``."""
+    n = len(ids)
     out = np.full((n, 5), PAD, np.uint16)
-    for column, shift in enumerate((-2, -1, 1, 2)):
-        at = np.arange(n) + shift
-        ok = (at >= words.bounds[row]) & (at < words.bounds[row + 1])
-        out[ok, column] = ids[at[ok]]
-    out[:, 4] = ids
-    return out, words.bounds
+    out[2:, 0], out[1:, 1], out[:-1, 2], out[:-2, 3], out[:, 4] = ids[:-2], ids[:-1], ids[1:], ids[2:], ids
+    first, end = bounds[:-1][np.diff(bounds) > 0], bounds[1:][np.diff(bounds) > 0]
+    out[first, :2] = out[end - 1, 2:4] = PAD
+    several = end - first > 1
+    out[first[several] + 1, 0] = out[end[several] - 2, 3] = PAD
+    return out
 
 
 def _hidden(p, x):
+    """One column for each row of ``x``."""
     e = p["context"]
-    return np.tanh(e[0][x[:, 0]] + e[1][x[:, 1]] + e[2][x[:, 2]] + e[3][x[:, 3]] + p["b"])
+    h = e[0].take(x[:, 0], axis=0)
+    for column in (1, 2, 3):
+        h += e[column].take(x[:, column], axis=0)
+    h += p["b"]
+    return np.tanh(np.ascontiguousarray(h.T))
+
+
+def _logits(weights, bias, h):
+    z = weights.T @ h
+    z += bias[:, None]
+    z -= z.max(0)
+    return z
+
+
+def _softmax(z):
+    np.exp(z, out=z)
+    z /= z.sum(0)
+    return z
 
 
-def _log_softmax(z):
-    z -= z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+def _log_p(z, at):
+    """log softmax(z) of one row number for each column."""
+    return z[at, np.arange(z.shape[1])] - np.log(np.exp(z).sum(0))
 
 
 def log_probabilities(flat: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -86,12 +109,12 @@ def log_probabilities(flat: np.ndarray, x: np.ndarray) -> np.ndarray:
         part = part[order]
         kind, inside = part[:, 4] // WITHIN, part[:, 4] % WITHIN
         h = _hidden(p, part)
-        logp = _log_softmax(h @ p["K"] + p["k"])[np.arange(len(part)), kind].astype(float)
+        logp = _log_p(_logits(p["K"], p["k"], h), kind).astype(float)
         cuts = np.searchsorted(kind, np.arange(CLASSES + 1))
         for c in range(CLASSES):
             a, b = cuts[c], cuts[c + 1]
             if a < b:
-                logp[a:b] += _log_softmax(h[a:b] @ p["W"][c] + p["w"][c])[np.arange(b - a), inside[a:b]]
+                logp[a:b] += _log_p(_logits(p["W"][c], p["w"][c], h[:, a:b]), inside[a:b])
         out[lo + order] = logp
     return out
 
@@ -101,79 +124,84 @@ def _gradient(p, x) -> np.ndarray:
     flat = np.zeros(SIZE, np.float32)
     g, n = views(flat), np.float32(len(x))
     kind, inside, rows = x[:, 4] // WITHIN, x[:, 4] % WITHIN, np.arange(len(x))
-    h = _hidden(p, x)
-    d = np.exp(_log_softmax(h @ p["K"] + p["k"]))
-    d[rows, kind] -= 1
+    h = _hidden(p, x).astype(np.float32)
+    d = _softmax(_logits(p["K"], p["k"], h))
+    d[kind, rows] -= 1
     d /= n
-    g["K"][...], g["k"][...], dh = h.T @ d, d.sum(0), d @ p["K"].T
+    g["K"][...], g["k"][...], dh = h @ d.T, d.sum(1), p["K"] @ d
     cuts = np.searchsorted(kind, np.arange(CLASSES + 1))
     for c in range(CLASSES):
         a, b = cuts[c], cuts[c + 1]
         if a < b:
-            d = np.exp(_log_softmax(h[a:b] @ p["W"][c] + p["w"][c]))
-            d[np.arange(b - a), inside[a:b]] -= 1
+            d = _softmax(_logits(p["W"][c], p["w"][c], h[:, a:b]))
+            d[inside[a:b], rows[:b - a]] -= 1
             d /= n
-            g["W"][c], g["w"][c] = h[a:b].T @ d, d.sum(0)
-            dh[a:b] += d @ p["W"][c].T
+            g["W"][c], g["w"][c] = h[:, a:b] @ d.T, d.sum(1)
+            dh[:, a:b] += p["W"][c] @ d
     dh *= 1 - h * h
-    g["b"][...] = dh.sum(0)
+    g["b"][...] = dh.sum(1)
+    dh = np.ascontiguousarray(dh.T)
     for column in range(4):
-        at = (x[:, column].astype(np.int64)[:, None] * WIDTH + np.arange(WIDTH)).ravel()
-        g["context"][column] = np.bincount(at, weights=dh.ravel(), minlength=(VOCAB + 1) * WIDTH).reshape(-1, WIDTH)
+        order = np.argsort(x[:, column], kind="stable")
+        ids = x[order, column]
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        g["context"][column][ids[first]] = np.add.reduceat(dh.take(order, axis=0), first, axis=0)
     return flat
 
 
-def train_local(flat: np.ndarray, x: np.ndarray, rate: float, seed: int) -> np.ndarray:
-    """One Adam pass over the examples in random order."""
-    flat, order = flat.copy(), np.random.default_rng(seed).permutation(len(x))
+def train_local(flat: np.ndarray, blocks: Iterable[np.ndarray], rate: float, seed: int) -> tuple[np.ndarray, int]:
+    """One Adam pass over the examples of all blocks, each in random order; and how many there were."""
+    flat, rng, step, n = flat.copy(), np.random.default_rng(seed), 0, 0
     m, v = np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32)
-    for step, lo in enumerate(range(0, len(x), _STEP), 1):
-        part = x[order[lo:lo + _STEP]]
-        grad = _gradient(views(flat), part[np.argsort(part[:, 4], kind="stable")])
-        m += 0.1 * (grad - m)
-        v += 0.01 * (grad * grad - v)
-        flat -= rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
-    return flat
-
-
-def examples(docs: DataFrame, text: str = "text", stride: int = STRIDE) -> DataFrame:
-    """Masked positions of all documents, one in ``stride`` of each and one at least, dealt over the partitions by hash."""
-    n_parts = partitions(docs.sparkSession)
+    for x in blocks:
+        order = rng.permutation(len(x))
+        size = min(max(len(x) // 20, _STEP), _MOST)
+        for lo in range(0, len(x), size):
+            step += 1
+            part = x[order[lo:lo + size]]
+            grad = _gradient(views(flat), part[np.argsort(part[:, 4], kind="stable")])
+            m += 0.1 * (grad - m)
+            v += 0.01 * (grad * grad - v)
+            flat -= rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
+        n += len(x)
+    return flat, n
+
+
+def tokens(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Ids of all tokens of all documents: n, ids and lengths of the texts of a block."""
 
     def run(batches):
         for batch in batches:
-            for _, _, data, starts in text_blocks(batch.column(0), 4 << 20):
-                x, bounds = masked(data, starts)
-                n = np.diff(bounds)
-                # the offset comes from the row's own first token and length, so it does not depend on the partitioning
-                head = np.zeros(len(n), np.int64)
-                head[n > 0] = x[bounds[:-1][n > 0], 4]
-                offset = (head * 31 + n) % np.clip(n, 1, stride)
-                row = np.repeat(np.arange(len(n)), n)
-                pick = (np.arange(len(x)) - bounds[row] - offset[row]) % stride == 0
-                chosen = np.ascontiguousarray(x[pick])
-                if len(chosen):
-                    part = (row[pick] * 7919 + np.arange(len(chosen))) % n_parts
-                    yield packed_rows(part, n_parts, chosen)
-
-    return to_partitions(docs.select(docs[text].alias("text")).mapInArrow(run, packed_schema(1)), n_parts)
+            for _, _, data, starts in text_blocks(batch.column(0)):
+                words = Words(data, starts)
+                if len(words.hash):
+                    lengths = np.diff(words.bounds).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([len(words.hash)]), pa.array([encoded(words).tobytes()], pa.binary()),
+                                                      pa.array([lengths[lengths > 0].tobytes()], pa.binary())], ["n", "ids", "lengths"])
+
+    return docs.select(docs[text].alias("text")).mapInArrow(run, "n bigint, ids binary, lengths binary")
+
+
+def _examples(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in batches:
+        for ids, lengths in zip(batch.column("ids"), batch.column("lengths"), strict=True):
+            yield masked(np.frombuffer(ids.as_buffer(), np.uint16), np.concatenate([[0], np.cumsum(np.frombuffer(lengths.as_buffer(), np.int64))]))
 
 
 def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, rate: float = 0.02) -> np.ndarray:
-    """Parameters after ``rounds`` of local passes and averaging."""
-    table = written(examples(docs, text), "masked")
+    """Parameters after ``rounds`` of local passes over every token and averaging."""
+    table = written(tokens(docs, text), "tokens")
+    learners = (table.agg(F.sum("n")).first()[0] or 0) // _LEARNER + 1
     flat = initial()
     for r in range(rounds):
         pace = rate / (1 + r)
 
         def learn(batches: Iterator[pa.RecordBatch], flat=flat, pace=pace, r=r):
-            parts = [np.frombuffer(v.as_buffer(), np.uint16) for b in batches for v in b.column(1)]
-            if parts:
-                x = np.concatenate(parts).reshape(-1, 5)
-                own = np.array_split(train_local(flat, x, pace, r), _CHUNKS)
+            own, n = train_local(flat, _examples(batches), pace, r)
+            if n:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(_CHUNKS, dtype=np.int32)), pa.array(np.full(_CHUNKS, len(x))),
-                     pa.array([c.tobytes() for c in own], pa.binary())], ["chunk", "n", "values"])
+                    [pa.array(np.arange(_CHUNKS, dtype=np.int32)), pa.array(np.full(_CHUNKS, n)),
+                     pa.array([c.tobytes() for c in np.array_split(own, _CHUNKS)], pa.binary())], ["chunk", "n", "values"])
 
         def average(key: tuple[Any, ...], frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total, n = 0.0, 0
@@ -182,7 +210,7 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, rate: float
                     total, n = total + np.frombuffer(values, np.float32).astype(float) * k, n + k
             yield pd.DataFrame({"chunk": [key[0]], "values": [(total / n).astype(np.float32).tobytes()]})
 
-        learned = table.mapInArrow(learn, "chunk int, n bigint, values binary")
+        learned = table.coalesce(learners).mapInArrow(learn, "chunk int, n bigint, values binary")
         chunks = learned.groupBy("chunk").applyInPandas(average, "chunk int, values binary").toArrow().sort_by("chunk")
         if len(chunks):
             flat = np.frombuffer(b"".join(chunks["values"].to_pylist()), np.float32)
@@ -197,8 +225,9 @@ def score(docs: DataFrame, flat: np.ndarray, text: str = "text") -> DataFrame:
         for batch in batches:
             n, total = [np.zeros(0, np.int64)], [np.zeros(0)]
             for _, _, data, starts in text_blocks(batch.column(text)):
-                x, bounds = masked(data, starts)
-                sums = np.concatenate([[0], np.cumsum(log_probabilities(flat, x))])
+                words = Words(data, starts)
+                bounds = words.bounds
+                sums = np.concatenate([[0], np.cumsum(log_probabilities(flat, masked(encoded(words), bounds)))])
                 n.append(np.diff(bounds))
                 total.append(sums[bounds[1:]] - sums[bounds[:-1]])
             n, total = np.concatenate(n), np.concatenate(total)

@@ -169,6 +169,17 @@ def test_lm_learns_and_scores_every_row(spark, docs):
     assert lm_score.score(empty(spark), lm_score.train(empty(spark))).count() == 0
 
 
+def test_lm_trains_on_every_token(spark, docs):
+    seen = [x for x in lm_score._examples(lm_score.tokens(docs).toArrow().to_batches())]
+    n = sum(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t in rows())
+    assert sum(map(len, seen)) == n == lm_score.train_local(lm_score.initial(), seen, 0.02, 0)[1]
+    ids = np.arange(9, dtype=np.uint16)
+    pad = lm_score.PAD
+    assert lm_score.masked(ids, np.array([0, 0, 1, 3, 3, 9])).tolist() == [
+        [pad, pad, pad, pad, 0], [pad, pad, 2, pad, 1], [pad, 1, pad, pad, 2], [pad, pad, 4, 5, 3], [pad, 3, 5, 6, 4],
+        [3, 4, 6, 7, 5], [4, 5, 7, 8, 6], [5, 6, 8, pad, 7], [6, 7, pad, pad, 8]]
+
+
 # secrets
 
 def plain_spans(text):
