@@ -1,7 +1,9 @@
 """Masked pseudo-likelihood of a bidirectional window network.
 
-Tokens are words hashed into ``CLASSES * WITHIN`` ids. Every token is masked in turn and predicted from the two tokens on either
-side (a padding id beyond the ends of the text):
+The words of all documents are counted in Spark and the ``VOCAB - 1`` most frequent get ids of their own, by rank. Every other word
+has the id ``OTHER`` and is spelled besides: ``log p(OTHER)`` plus the sum of ``log p(byte | byte before)`` over its bytes and its end, from
+counts over the spelled words of all documents (add one). So no two words share a probability by accident, and unheard-of
+spellings score low. Every token is masked in turn and predicted from the two on either side (a padding id beyond the ends of the text):
 
     h = tanh(A[l2] + B[l1] + C[r1] + D[r2] + b)        p(token) = softmax(h K + k)[class] * softmax(h W[class] + w[class])[within]
 
@@ -11,12 +13,13 @@ trains on the examples of one block at a time; the parameters are averaged by nu
 what comes to the driver has the size of the model alone. Steps grow with the block, from ``_STEP`` to ``_MOST`` examples; there are
 at most as many learners as the corpus has runs of ``_LEARNER`` tokens.
 
-Null or blank text: no tokens, sum 0, mean null. Without any token in the corpus the initial parameters score (nothing).
+Words are told apart by 64-bit hashes. Null or blank text: no tokens, sum 0, mean null. Without any token in the corpus the initial parameters score (nothing).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
@@ -26,11 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basisflow.llm.bpe import _ddl
-from basisflow.llm.common import Words, text_blocks, without
+from basisflow.llm.common import Words, packed_rows, packed_schema, partitions, text_blocks, to_partitions, unpack, without
 from basisflow.plans.lineage import written
 
-CLASSES, WITHIN, WIDTH, ROUNDS = 32, 32, 16, 3
+CLASSES, WITHIN, WIDTH, ROUNDS = 32, 64, 16, 3
 VOCAB = CLASSES * WITHIN
+OTHER = 0
 PAD = VOCAB
 _STEP, _MOST, _LEARNER, _CHUNKS = 512, 8192, 1 << 20, 16
 _SHAPES = {"context": (4, VOCAB + 1, WIDTH), "b": (WIDTH,), "K": (WIDTH, CLASSES), "k": (CLASSES,),
@@ -55,9 +59,65 @@ def initial(seed: int = 11) -> np.ndarray:
     return flat
 
 
-def encoded(words: Words) -> np.ndarray:
+@dataclass
+class Model:
+    """Network parameters, hashes of the words that have ids (sorted) and the ids, and log p(byte | byte before); 256 is a word's edge."""
+    flat: np.ndarray
+    words: np.ndarray
+    ids: np.ndarray
+    spelling: np.ndarray
+
+
+def untaught(flat: np.ndarray) -> Model:
+    """Without a vocabulary: every word is spelled, all bytes alike."""
+    return Model(flat, np.zeros(0, np.uint64), np.zeros(0, np.uint16), np.full((257, 257), -np.log(257)))
+
+
+def encoded(words: Words, known: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """The id of each word."""
-    return (words.hash >> np.uint64(54)).astype(np.uint16)
+    if not len(known):
+        return np.full(len(words.hash), OTHER, np.uint16)
+    at = np.minimum(np.searchsorted(known, words.hash), len(known) - 1)
+    return np.where(known[at] == words.hash, ids[at], np.uint16(OTHER)).astype(np.uint16)
+
+
+def _letters(words: Words, spelled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte pairs (before * 257 + byte) of the spelled words with both edges, one word after the other, and where each word begins."""
+    first, size = words.first[spelled], (words.end - words.first)[spelled] + 1
+    starts = np.concatenate([[0], np.cumsum(size)])
+    at = np.arange(starts[-1]) + np.repeat(first - starts[:-1], size)
+    now = words.data.take(at, mode="clip").astype(np.int32)
+    now[starts[1:] - 1] = 256
+    before = np.concatenate([np.zeros(1, np.int32), now])[:len(now)]
+    before[starts[:-1]] = 256
+    return before * 257 + now, starts
+
+
+def vocabulary(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the most frequent words of all documents and their ids, 1 for the most frequent."""
+    n_parts = partitions(docs.sparkSession)
+
+    def count(batches):
+        for batch in batches:
+            for _, _, data, starts in text_blocks(batch.column(0), 4 << 20):
+                found, n = np.unique(Words(data, starts).hash, return_counts=True)
+                if len(found):
+                    yield packed_rows((found % np.uint64(n_parts)).astype(np.int64), n_parts, found, n.astype(np.uint32))
+
+    def add(batches):
+        found, n = unpack(batches, "u8", "u4")
+        order = np.argsort(found)
+        found, first = np.unique(found[order], return_index=True)
+        if len(found):
+            n = np.add.reduceat(n[order].astype(np.int64), first)
+            best = np.lexsort([found, -n])[:VOCAB - 1]  # no other can be among the best of all partitions
+            yield pa.RecordBatch.from_arrays([pa.array(found[best].view(np.int64)), pa.array(n[best])], ["word", "n"])
+
+    packed = to_partitions(docs.select(docs[text].alias("text")).mapInArrow(count, packed_schema(2)), n_parts)
+    best = packed.mapInArrow(add, "word bigint, n bigint").orderBy(F.desc("n"), "word").limit(VOCAB - 1).toArrow()
+    words = best["word"].to_numpy().view(np.uint64)
+    order = np.argsort(words)
+    return words[order], (order + 1).astype(np.uint16)
 
 
 def masked(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -167,19 +227,39 @@ def train_local(flat: np.ndarray, blocks: Iterable[np.ndarray], rate: float, see
     return flat, n
 
 
-def tokens(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Ids of all tokens of all documents: n, ids and lengths of the texts of a block."""
+def tokens(docs: DataFrame, known: np.ndarray, ids: np.ndarray, text: str = "text") -> DataFrame:
+    """Ids of all tokens of all documents: n, ids and lengths of the texts of a block, chunk -1; and chunks of counts of spelled byte pairs."""
 
     def run(batches):
+        pairs = np.zeros(257 * 257, np.int64)
         for batch in batches:
             for _, _, data, starts in text_blocks(batch.column(0)):
                 words = Words(data, starts)
                 if len(words.hash):
-                    lengths = np.diff(words.bounds).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([len(words.hash)]), pa.array([encoded(words).tobytes()], pa.binary()),
-                                                      pa.array([lengths[lengths > 0].tobytes()], pa.binary())], ["n", "ids", "lengths"])
+                    own, lengths = encoded(words, known, ids), np.diff(words.bounds).astype(np.int64)
+                    pairs += np.bincount(_letters(words, own == OTHER)[0], minlength=257 * 257)
+                    yield _batch([-1], [len(own)], [own], [lengths[lengths > 0]])
+        if pairs.any():
+            yield _batch(np.arange(_CHUNKS), np.zeros(_CHUNKS), np.array_split(pairs, _CHUNKS), [np.zeros(0)] * _CHUNKS)
+
+    return docs.select(docs[text].alias("text")).mapInArrow(run, "chunk int, n bigint, ids binary, lengths binary")
+
+
+def _batch(chunk, n, ids, lengths) -> pa.RecordBatch:
+    packed = [pa.array([x.tobytes() for x in column], pa.binary()) for column in (ids, lengths)]
+    return pa.RecordBatch.from_arrays([pa.array(np.array(chunk, np.int32)), pa.array(np.array(n, np.int64)), *packed], ["chunk", "n", "ids", "lengths"])
+
 
-    return docs.select(docs[text].alias("text")).mapInArrow(run, "n bigint, ids binary, lengths binary")
+def _spelling(table: DataFrame) -> np.ndarray:
+    """log p(byte | byte before) from the counts of all partitions, added up chunk by chunk in Spark."""
+
+    def add(key: tuple[Any, ...], frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = sum(np.frombuffer(x, np.int64) for f in frames for x in f["ids"])
+        yield pd.DataFrame({"chunk": [key[0]], "values": [total.tobytes()]})
+
+    chunks = table.where("chunk >= 0").select("chunk", "ids").groupBy("chunk").applyInPandas(add, "chunk int, values binary").toArrow().sort_by("chunk")
+    counts = np.zeros((257, 257)) if not len(chunks) else np.frombuffer(b"".join(chunks["values"].to_pylist()), np.int64).reshape(257, 257)
+    return np.log((counts + 1) / (counts + 1).sum(1, keepdims=True))
 
 
 def _examples(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -188,9 +268,11 @@ def _examples(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
             yield masked(np.frombuffer(ids.as_buffer(), np.uint16), np.concatenate([[0], np.cumsum(np.frombuffer(lengths.as_buffer(), np.int64))]))
 
 
-def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, rate: float = 0.02) -> np.ndarray:
-    """Parameters after ``rounds`` of local passes over every token and averaging."""
-    table = written(tokens(docs, text), "tokens")
+def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, rate: float = 0.02) -> Model:
+    """Vocabulary, spelling, and parameters after ``rounds`` of local passes over every token and averaging."""
+    known, ids = vocabulary(docs, text)
+    both = written(tokens(docs, known, ids, text), "tokens")
+    spelling, table = _spelling(both), both.where("chunk < 0")
     learners = (table.agg(F.sum("n")).first()[0] or 0) // _LEARNER + 1
     flat = initial()
     for r in range(rounds):
@@ -214,11 +296,14 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, rate: float
         chunks = learned.groupBy("chunk").applyInPandas(average, "chunk int, values binary").toArrow().sort_by("chunk")
         if len(chunks):
             flat = np.frombuffer(b"".join(chunks["values"].to_pylist()), np.float32)
-    return flat
+    return Model(flat, known, ids, spelling)
+
 
+def score(docs: DataFrame, model: Model | np.ndarray, text: str = "text") -> DataFrame:
+    """``docs`` with n_tokens, log_likelihood (sum) and mean_log_likelihood; columns of those names are replaced.
 
-def score(docs: DataFrame, flat: np.ndarray, text: str = "text") -> DataFrame:
-    """``docs`` with n_tokens, log_likelihood (sum) and mean_log_likelihood; columns of those names are replaced."""
+    Bare network parameters score without a vocabulary."""
+    model = model if isinstance(model, Model) else untaught(model)
     kept = without(docs, "n_tokens", "log_likelihood", "mean_log_likelihood")
 
     def run(batches):
@@ -227,7 +312,12 @@ def score(docs: DataFrame, flat: np.ndarray, text: str = "text") -> DataFrame:
             for _, _, data, starts in text_blocks(batch.column(text)):
                 words = Words(data, starts)
                 bounds = words.bounds
-                sums = np.concatenate([[0], np.cumsum(log_probabilities(flat, masked(encoded(words), bounds)))])
+                ids = encoded(words, model.words, model.ids)
+                logp, spelled = log_probabilities(model.flat, masked(ids, bounds)), np.flatnonzero(ids == OTHER)
+                if len(spelled):
+                    pairs, begins = _letters(words, spelled)
+                    logp[spelled] += np.add.reduceat(model.spelling.ravel().take(pairs), begins[:-1])
+                sums = np.concatenate([[0], np.cumsum(logp)])
                 n.append(np.diff(bounds))
                 total.append(sums[bounds[1:]] - sums[bounds[:-1]])
             n, total = np.concatenate(n), np.concatenate(total)

@@ -1,6 +1,7 @@
 """Text operators against plain Python on a small table with the awkward rows."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -170,7 +171,7 @@ def test_lm_learns_and_scores_every_row(spark, docs):
 
 
 def test_lm_trains_on_every_token(spark, docs):
-    seen = [x for x in lm_score._examples(lm_score.tokens(docs).toArrow().to_batches())]
+    seen = [x for x in lm_score._examples(lm_score.tokens(docs, *lm_score.vocabulary(docs)).where("chunk < 0").toArrow().to_batches())]
     n = sum(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t in rows())
     assert sum(map(len, seen)) == n == lm_score.train_local(lm_score.initial(), seen, 0.02, 0)[1]
     ids = np.arange(9, dtype=np.uint16)
@@ -180,6 +181,37 @@ def test_lm_trains_on_every_token(spark, docs):
         [3, 4, 6, 7, 5], [4, 5, 7, 8, 6], [5, 6, 8, pad, 7], [6, 7, pad, pad, 8]]
 
 
+def test_lm_words_have_ids_by_count_and_the_rest_is_spelled(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "VOCAB", 5)
+    data = [(0, "b b b b a a a c c d d"), (1, "e f\nc a b"), (2, None), (3, "zz é")]
+    frame = documents(spark, data)
+    known, ids = lm_score.vocabulary(frame)
+    one = lambda w: lm_score.Words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))
+    assert [int(lm_score.encoded(one(w), known, ids)[0]) for w in "bacdefz"] == [1, 2, 3, 4, 0, 0, 0]
+    counts = np.ones((257, 257))
+    for w in ("e", "f", "zz", "é"):
+        letters = [256, *w.encode(), 256]
+        np.add.at(counts, (letters[:-1], letters[1:]), 1)
+    table = lm_score.tokens(frame, known, ids)
+    assert np.allclose(lm_score._spelling(table), np.log(counts / counts.sum(1, keepdims=True)))
+
+
+def test_lm_garbage_and_shuffled_text_score_below_clean_text(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "VOCAB", 41)  # of the words that get ids
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    clean = [" ".join(words[(s + k) % 40] for k in range(60)) for s in (r.randrange(40) for _ in range(300))]
+    rare = [" ".join("".join(r.choice("aeinrst") for _ in range(8)) for _ in range(20)) for _ in range(100)]
+    model = lm_score.train(documents(spark, list(enumerate(clean + rare * 3))), rounds=6)
+    shuffled = [" ".join(r.sample(t.split(), 60)) for t in clean[:40]]
+    garbage = [" ".join("".join(chr(r.randrange(33, 127)) for _ in range(8)) for _ in range(20)) for _ in range(40)]
+    unseen = [" ".join("".join(r.choice("aeinrst") for _ in range(8)) for _ in range(20)) for _ in range(40)]
+    groups_of = [clean[:40], shuffled, unseen, garbage]
+    out = {x.doc_id: x.mean_log_likelihood for x in lm_score.score(documents(spark, list(enumerate(sum(groups_of, [])))), model).collect()}
+    mean = [np.mean([out[40 * g + i] for i in range(40)]) for g in range(4)]
+    assert mean[0] > mean[1] + 0.5 and mean[1] > mean[2] > mean[3] + 5
+
+
 # secrets
 
 def plain_spans(text):
