@@ -88,6 +88,15 @@ def test_nearest_neighbours_recall_and_scores(spark):
         assert all(abs(exact[v] - s) < 1e-9 for v, s in near)
 
 
+def test_queries_in_tiny_leaves_find_k(spark):
+    df = spark.createDataFrame([r for r in vectors(600) if r[1] and len(r[1]) == 16], SCHEMA)
+    index = ann.build(df, leaf_rows=8)
+    index.visits = 1
+    assert index.rows.groupBy("leaf").count().agg(F.min("count")).first()[0] < 20
+    out = ann.search(index, df.where("vec_id % 20 = 0"))
+    assert {r["count"] for r in out.groupBy("query_id").count().collect()} == {20}
+
+
 def test_few_or_no_vectors(spark):
     data = [(20, [1.0, 2.0], 0), (21, [1.0, 2.0], 0), (22, [1.0, 2.0], 0), (23, [3.0, 0.0], 0)]
     df = spark.createDataFrame(data, SCHEMA)
