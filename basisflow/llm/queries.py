@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basisflow.llm import ann, bpe, embed_dedup, line_dedup, lm_score, mixing, ngram_join, quality, secrets, suffix_dedup
+from basisflow.llm import ann, bpe, embed_dedup, licenses, line_dedup, lm_score, mixing, ngram_join, prefix_trie, quality, secrets, spelling, suffix_dedup
 from basisflow.llm.common import table
 from basisflow.plans.lineage import written
 
@@ -90,3 +90,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     return ann.search(index, vectors.where("vec_id % 20 = 0"))
+
+
+@query("op11_conversation_trie", prefix_trie.oracle())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_spelling_variants", spelling.oracle())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_license_scan", licenses.oracle())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(table(spark, sf_dir, "documents"))
