@@ -76,9 +76,8 @@ def ols_roll(window: int = 120, min_obs: int = 30, intercept: bool | None = None
     col = f"h_ols_roll_{window}"
 
     def prepare(days: DataFrame) -> DataFrame:
-        w = Window.partitionBy("exposure_id").orderBy("pos")
         use = default_intercept(F.col("exposure_id"), direct) if intercept is None else intercept
-        d = rolling_slope(days, "r_f", "r_s", w, window, min_obs, use, col)
+        d = rolling_slope(days, "r_f", "r_s", "exposure_id", "pos", window, min_obs, use, col)
         return d.withColumn(col, regression_ratio(F.col(col)))
     return by_day("ols_roll", prepare, col)
 

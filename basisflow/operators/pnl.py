@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basisflow.functions.core import clip, half_away, half_even
+from basisflow.operators import paths
 from basisflow.operators.hedge import Strategy
 from basisflow.operators.windows import bounds, unfold
 
@@ -90,7 +91,11 @@ def trade_days(trades: DataFrame, cal: DataFrame, days: DataFrame, strategies: l
     b = _placed(trades, cal, days, strategies, cfg)
     # a fixed count: each narrow partition unfolds to many times its size
     b = b.repartition(int(b.sparkSession.conf.get("spark.sql.shuffle.partitions")), "scenario_id")
-    rows = unfold(b, days, list(dict.fromkeys(["spot", "fut", "pnl_1c", *cols])))
+    seen = [s for s in strategies if getattr(s, "paths", None)]
+    if seen:
+        b = paths.with_paths(b, days, seen)
+    spread = tuple(f"{s.name}__path" for s in seen if cfg.dynamic)
+    rows = unfold(b, days, list(dict.fromkeys(["spot", "fut", "pnl_1c", *cols])), spread)
 
     first = F.col("pos") == F.col("pos0")
     move = cols[1]

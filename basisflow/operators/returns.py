@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basisflow.functions.core import clip, ratio_minus_one
+from basisflow.plans.sliding import correlation, moment_columns, pair_moments, slope_of
 
 
 def diff0(x: Column, w) -> Column:
@@ -52,27 +53,10 @@ def running_totals(terms: dict[str, Column], w) -> dict[str, Column]:
     return {k: F.coalesce(F.sum(v).over(run), F.lit(0.0)) for k, v in terms.items()}
 
 
-def rolling_pair_stats(df: DataFrame, a: str, b: str, w, window: int, prefix: str = "p") -> DataFrame:
-    """Count and sums over the last ``window`` rows of pairs that are complete.
-
-    The frames are short (at most a trading year), so Spark's sliding frames are exact and need no
-    differences of running totals, which would lose digits.
-    """
-    ok = F.col(a).isNotNull() & F.col(b).isNotNull()
-    x, y = F.when(ok, F.col(a)), F.when(ok, F.col(b))
-    f = w.rowsBetween(-(window - 1), 0)
-    return df.withColumns({
-        f"{prefix}_n": F.count(x).over(f),
-        f"{prefix}_corr": F.try_divide(F.covar_pop(x, y).over(f),
-                                       F.stddev_pop(x).over(f) * F.stddev_pop(y).over(f))})
-
-
-def rolling_corr(df: DataFrame, a: str, b: str, w, window: int, out: str) -> DataFrame:
-    """Pearson over the last ``window`` rows, at least max(20, window // 2) complete pairs."""
-    p = f"_{out}"
-    d = rolling_pair_stats(df, a, b, w, window, p)
-    need = max(20, window // 2)
-    return d.withColumn(out, F.when(F.col(f"{p}_n") >= need, F.col(f"{p}_corr"))).drop(f"{p}_n", f"{p}_corr")
+def rolling_corr(df: DataFrame, a: str, b: str, key: str, order: str, window: int, out: str) -> DataFrame:
+    """Pearson over the last ``window`` rows, at least max(20, window // 2) complete pairs; NULL where a side is constant."""
+    d = pair_moments(df, key, order, window, a, b, "_m")
+    return d.withColumn(out, F.when(F.col("_m_n") >= max(20, window // 2), correlation("_m"))).drop(*moment_columns("_m"))
 
 
 def slope(n: Column, sx: Column, sy: Column, sxx: Column, sxy: Column, intercept: Column | bool) -> Column:
@@ -85,16 +69,11 @@ def slope(n: Column, sx: Column, sy: Column, sxx: Column, sxy: Column, intercept
     return F.when(intercept, centred).otherwise(plain)
 
 
-def rolling_slope(df: DataFrame, x: str, y: str, w, window: int, min_obs: int,
+def rolling_slope(df: DataFrame, x: str, y: str, key: str, order: str, window: int, min_obs: int,
                   intercept: Column | bool, out: str) -> DataFrame:
     """Slope over the last ``window`` rows (invalid rows count towards the frame); NULL below min_obs."""
-    ok = F.col(x).isNotNull() & F.col(y).isNotNull()
-    vx, vy = F.when(ok, F.col(x)), F.when(ok, F.col(y))
-    f = w.rowsBetween(-(window - 1), 0)
-    s = {"_sn": F.count(vx), "_sx": F.sum(vx), "_sy": F.sum(vy), "_sxx": F.sum(vx * vx), "_sxy": F.sum(vx * vy)}
-    d = df.withColumns({k: v.over(f) for k, v in s.items()})
-    b = slope(F.col("_sn"), F.col("_sx"), F.col("_sy"), F.col("_sxx"), F.col("_sxy"), intercept)
-    return d.withColumn(out, F.when(F.col("_sn") >= min_obs, b)).drop(*s)
+    d = pair_moments(df, key, order, window, x, y, "_m")
+    return d.withColumn(out, F.when(F.col("_m_n") >= min_obs, slope_of("_m", intercept))).drop(*moment_columns("_m"))
 
 
 def regression_ratio(b: Column) -> Column:

@@ -79,14 +79,16 @@ def bounds(trades: DataFrame, cal: DataFrame, start_cols: list[str] = (), end_co
     return j.where((F.col("window_dropped_nan_rows") == 0) | (F.col("window_rows") >= 2)).drop("_i0", "_i1")
 
 
-def unfold(trades: DataFrame, days: DataFrame, cols: list[str]) -> DataFrame:
+def unfold(trades: DataFrame, days: DataFrame, cols: list[str], paths: tuple[str, ...] = ()) -> DataFrame:
     """One row per trade and usable day in its window.
 
     Sorted while still narrow: a broadcast join keeps that order, so running sums per trade need no
-    later sort of wide rows.
+    later sort of wide rows. Of each array column in ``paths`` a day gets its own element (``_now``) and the one before (``_before``).
     """
-    each = (trades.withColumn("pos", F.explode(F.sequence("pos0", "pos1")))
-            .sortWithinPartitions("scenario_id", "pos"))
+    day = F.col("pos") - F.col("pos0")
+    each = trades.withColumn("pos", F.explode(F.sequence("pos0", "pos1"))).withColumns(
+        {f"{p}_{when}": F.get(p, (day - back).cast("int")) for p in paths for when, back in (("now", 0), ("before", 1))})
+    each = each.drop(*paths).sortWithinPartitions("scenario_id", "pos")
     return each.join(days.select("exposure_id", "pos", "d", *cols), ["exposure_id", "pos"])
 
 

@@ -2,5 +2,5 @@
 
 import importlib
 
-for _module in ("core", "cleaning", "risk", "trades", "reporting", "volatility", "episodes", "files", "scalars", "grains"):
+for _module in ("core", "cleaning", "risk", "trades", "reporting", "volatility", "episodes", "files", "scalars", "grains", "strategies"):
     importlib.import_module(f"basisflow.queries.{_module}")

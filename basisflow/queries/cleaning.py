@@ -216,10 +216,9 @@ add_cte("pairs", """SELECT *, CASE WHEN r_s IS NOT NULL AND r_f IS NOT NULL THEN
 @query("W17_rolling_corr", "exposure_id:s d:d rho_30:f7 rho_60:f7 rho_120:f7 rho_252:f7",
        "SELECT exposure_id, d, " + ", ".join(_corr_sql(n) for n in (30, 60, 120, 252)) + " FROM pairs", "pairs")
 def _(spark, sf):
-    w = Window.partitionBy("exposure_id").orderBy("pos")
     d = base.days(spark, sf)
     for n in (30, 60, 120, 252):
-        d = returns.rolling_corr(d, "r_s", "r_f", w, n, f"rho_{n}")
+        d = returns.rolling_corr(d, "r_s", "r_f", "exposure_id", "pos", n, f"rho_{n}")
     return d
 
 
@@ -233,8 +232,7 @@ def _(spark, sf):
     FROM (SELECT *, count(x) OVER r AS n, sum(x * x) OVER r AS xx, sum(x * y) OVER r AS xy FROM pairs
           WINDOW r AS (PARTITION BY exposure_id ORDER BY pos ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))""", "pairs")
 def _(spark, sf):
-    w = Window.partitionBy("exposure_id").orderBy("pos")
-    d = returns.rolling_slope(base.days(spark, sf), "r_f", "r_s", w, 60, 30, False, "b")
+    d = returns.rolling_slope(base.days(spark, sf), "r_f", "r_s", "exposure_id", "pos", 60, 30, False, "b")
     return d.withColumn("h", returns.regression_ratio(F.col("b")))
 
 

@@ -14,11 +14,14 @@ from basisflow.queries.sqlbase import add_cte
 W = lambda: Window.partitionBy("series_id").orderBy("d")
 
 
-@query("W24_ewma_volatility", "series_id:s d:d sigma:f9", """
+_EWMA = """
     SELECT series_id, d, sqrt(0.94::DOUBLE ** i * (first_value(r2) OVER w + 0.06 * (sum(r2 * 0.94::DOUBLE ** (-i)) OVER w - first_value(r2) OVER w))) AS sigma
     FROM (SELECT series_id, d, simple ** 2 AS r2, row_number() OVER (PARTITION BY series_id ORDER BY d) - 1 AS i FROM rets WHERE simple IS NOT NULL)
     WINDOW w AS (PARTITION BY series_id ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-    UNION ALL SELECT series_id, d, NULL FROM rets WHERE simple IS NULL""", "rets")
+    UNION ALL SELECT series_id, d, NULL FROM rets WHERE simple IS NULL"""
+
+
+@query("W24_ewma_volatility", "series_id:s d:d sigma:f9", _EWMA, "rets")
 def _(spark, sf):
     r = base.filled(spark, sf).withColumn("r", returns.simple_return(F.col("value"), W()))
     return recursion.per_series(r, "series_id", "d", ["r"], lambda x: {"sigma": np.sqrt(recursion.ewma_variance(x["r"]))}, ["sigma"])
@@ -49,11 +52,14 @@ add_cte("lin", f"""
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS dcc_cov_sf_lag1 FROM momi JOIN seed USING (exposure_id)""")
 
 
-@query("W25_W28_volatility_features", "exposure_id:s d:d " + " ".join(f"{c}:f6" for c in recursion.VOL_COLS), """
+_FEATURES = """
     SELECT l.*, garch_spot_vol_lag1 - garch_fut_vol_lag1 AS garch_vol_spread_lag1, egarch_spot_vol_lag1, egarch_fut_vol_lag1,
       egarch_spot_vol_lag1 - egarch_fut_vol_lag1 AS egarch_vol_spread_lag1,
       greatest(-0.999, least(0.999, dcc_cov_sf_lag1 / sqrt(vs * vf))) AS dcc_corr_sf_lag1, dcc_cov_sf_lag1 / garch_fut_vol_lag1 ** 2 AS dcc_hr_lag1
-    FROM lin l JOIN egp USING (exposure_id, i)""", "lin egp")
+    FROM lin l JOIN egp USING (exposure_id, i)"""
+
+
+@query("W25_W28_volatility_features", "exposure_id:s d:d " + " ".join(f"{c}:f6" for c in recursion.VOL_COLS), _FEATURES, "lin egp")
 def _(spark, sf):
     m = returns.momentum_features(base.calendar(spark, sf))
     return recursion.volatility_features(m)
@@ -93,10 +99,13 @@ _Q = lambda c, p: (f"(0.98::DOUBLE ** k * ({c} + coalesce(sum((0.01 * {c} + 0.01
                    "(PARTITION BY exposure_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))")
 
 
-@query("W29_dynamic_correlation_ratio", "exposure_id:s d:d h:f7", f"""
+_DCC = f"""
     SELECT v.exposure_id, v.d, CASE WHEN rho IS NULL OR z.k IS NULL OR v.pos = 1 THEN 0 ELSE greatest(-3, least(3, z.sigma_s / z.sigma_f * greatest(-0.999, least(0.999, rho)))) END AS h
     FROM vdays v LEFT JOIN (SELECT *, {_Q('s12', 'z1 * z2')} / sqrt({_Q('s11', 'z1 ** 2')} * {_Q('s22', 'z2 ** 2')}) AS rho
-                            FROM zs JOIN smom USING (exposure_id)) z USING (exposure_id, pos)""", "vdays zs smom")
+                            FROM zs JOIN smom USING (exposure_id)) z USING (exposure_id, pos)"""
+
+
+@query("W29_dynamic_correlation_ratio", "exposure_id:s d:d h:f7", _DCC, "vdays zs smom")
 def _(spark, sf):
     return recursion.with_dcc(base.days(spark, sf)).withColumn("h", F.col("h_dcc"))
 
@@ -133,3 +142,21 @@ def _(spark, sf):
 def _(spark, sf):
     r = base.filled(spark, sf).withColumn("r", returns.simple_return(F.col("value"), W()))
     return recursion.per_series(r, "series_id", "d", ["r"], lambda x: {"sigma": recursion.garch_grid_fit(x["r"])}, ["sigma"])
+
+
+# ---- the same recursions over chunks of a series ----
+@query("R_ewma_in_chunks", "series_id:s d:d sigma:f9", _EWMA, "rets")
+def _(spark, sf):
+    r = base.filled(spark, sf).withColumn("r", returns.simple_return(F.col("value"), W()))
+    v = recursion.ewma_in_chunks(r, "series_id", "d", "r", "v", rows=200)
+    return v.withColumn("sigma", F.sqrt("v"))
+
+
+@query("R_features_in_chunks", "exposure_id:s d:d " + " ".join(f"{c}:f6" for c in recursion.VOL_COLS if not c.startswith("egarch")), _FEATURES, "lin egp")
+def _(spark, sf):
+    return recursion.linear_features_in_chunks(returns.momentum_features(base.calendar(spark, sf)), rows=300)
+
+
+@query("R_correlation_in_chunks", "exposure_id:s d:d h:f7", _DCC, "vdays zs smom")
+def _(spark, sf):
+    return recursion.with_dcc(base.days(spark, sf), rows=250).withColumn("h", F.col("h_dcc"))
