@@ -229,16 +229,15 @@ def restrict_to_reference(df: DataFrame, reference: DataFrame) -> DataFrame:
 def common_scenarios(df: DataFrame, bucket: list[str]) -> DataFrame:
     """Trades covered by every strategy of their bucket.
 
-    A bucket with one strategy, or with no common trade, stays as it is. Counting strategies per
-    trade replaces set intersection; strategies without ids do not count.
+    A bucket with one strategy, or with no common trade, stays as it is; strategies without ids do not count. A trade's strategies are gathered
+    in one aggregate and compared with the bucket's number; the rows then meet the full trades, which are placed by the same keys already.
     """
-    seen = df.select(*bucket, "strategy", "scenario_id").distinct()
-    known = F.when(F.col("scenario_id").isNotNull(), F.col("strategy"))
-    facts = seen.groupBy(*bucket).agg(F.count_distinct(known).alias("_need"), (F.count_distinct("strategy") > 1).alias("_many"))
-    per_trade = seen.where("scenario_id IS NOT NULL").groupBy(*bucket, "scenario_id").agg(F.count("*").alias("_n"))
-    full = _join_keys(per_trade, facts, bucket, "inner").where("_n = _need AND _many").select(*bucket, "scenario_id", F.lit(True).alias("_in"))
+    has_id = F.col("scenario_id").isNotNull()
+    facts = df.groupBy(*bucket).agg(F.size(F.collect_set(F.when(has_id, F.col("strategy")))).alias("_need"), F.size(F.collect_set("strategy")).alias("_all"))
+    per_trade = df.where(has_id).groupBy(*bucket, "scenario_id").agg(F.size(F.collect_set("strategy")).alias("_n"))
+    full = _join_keys(per_trade, facts.where("_all > 1"), bucket, "inner").where("_n = _need").select(*bucket, "scenario_id", F.lit(True).alias("_in"))
     tight = full.groupBy(*bucket).agg(F.lit(True).alias("_tight"))
-    flagged = _join_keys(_join_keys(df, full, [*bucket, "scenario_id"]), tight, bucket)
+    flagged = _join_keys(_join_keys(df, tight, bucket), full, [*bucket, "scenario_id"])
     return flagged.where("_tight IS NULL OR _in").drop("_in", "_tight")
 
 

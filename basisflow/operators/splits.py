@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basisflow.plans.intervals import points_in_intervals
+
 
 def _span(df: DataFrame, at: str) -> DataFrame:
     return df.agg(F.min(at).alias("d0"), F.max(at).alias("d1"))
@@ -60,15 +62,8 @@ def segments(windows: DataFrame) -> DataFrame:
 
 
 def assign(df: DataFrame, segs: DataFrame, at: str) -> DataFrame:
-    """Rows in each segment they fall into.
-
-    The segment list is a few rows per year of data; it is turned into one array that every row reads
-    and filters locally, so no range join is planned and no rows are shuffled.
-    """
-    folded = segs.agg(F.collect_list(F.struct("window_id", "segment", "seg_start", "seg_end"))).scalar()
-    x = df.withColumn("_segs", folded)
-    hit = F.filter("_segs", lambda s: (F.col(at) >= s["seg_start"]) & (F.col(at) < s["seg_end"]))
-    return x.withColumn("_s", F.explode(hit)).select(*df.columns, "_s.window_id", "_s.segment", "_s.seg_start", "_s.seg_end")
+    """Rows in each half-open segment they fall into, however many segments there are."""
+    return points_in_intervals(df, at, segs, "seg_start", "seg_end").select(*df.columns, "window_id", "segment", "seg_start", "seg_end")
 
 
 def snap_to_days(windows: DataFrame, days: DataFrame, at: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from basisflow.operators import episodes, metrics, splits
+from basisflow.plans.intervals import points_in_intervals
 from basisflow.plans.quantiles import exact_quantiles
 from basisflow.queries import base
 from basisflow.queries.registry import query
@@ -361,6 +362,16 @@ def _(spark, sf):
     return a.groupBy("window_id", "segment", "exposure_id").agg(F.count("*").alias("n"))
 
 
+@query("J18_interval_join", "exposure_id:s d:d n_open:i volume:i last_end:d", """
+    SELECT exposure_id, d, count(*) AS n_open, sum(volume_bbl) AS volume, max(end_date) AS last_end
+    FROM cal JOIN trades USING (exposure_id) WHERE d >= start_date AND d < end_date GROUP BY 1, 2""", "cal trades")
+def _(spark, sf):
+    """Trades open on each day: as many intervals as trades."""
+    open_trades = base.trades(spark, sf).select("exposure_id", "start_date", "end_date", "volume_bbl")
+    j = points_in_intervals(base.calendar(spark, sf).select("exposure_id", "d"), "d", open_trades, "start_date", "end_date", ("exposure_id",))
+    return j.groupBy("exposure_id", "d").agg(F.count("*").alias("n_open"), F.sum("volume_bbl").alias("volume"), F.max("end_date").alias("last_end"))
+
+
 @query("A5_segment_coverage", "window_id:i segment:s series_id:s coverage:f8 n_rows:i", """
     SELECT window_id, segment, series_id, count(CASE WHEN raw IS NOT NULL THEN 1 END) / count(*) AS coverage, count(*) AS n_rows
     FROM filled JOIN seg ON d >= a AND d < b GROUP BY 1, 2, 3""", "filled seg")
