@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from basisflow.plans.keys import _join_keys
 from basisflow.plans.ordered import sub_buckets
-from basisflow.plans.quantiles import exact_quantiles
+from basisflow.plans.quantiles import exact_quantiles, exact_quantiles_of
 
 EP = ["scenario_id", "strategy"]
 LEAST_NOTIONAL = 1.0
@@ -124,12 +124,12 @@ def policy_evaluation(days: DataFrame, keys: list[str], target: float = 0.0) ->
 
 def versus_naive(eps: DataFrame, keys: list[str]) -> DataFrame:
     """Mean, ES95 and effectiveness of each run against naive, with flags and their count."""
-    es = lambda c: exact_quantiles(eps, keys, c, {"_q": 0.05}, {f"es_{c}": (0.05, "below")}).drop("_q")
+    es = exact_quantiles_of(eps, keys, {"total_pnl": ({}, {"es95": (0.05, "below")}), "naive_pnl": ({}, {"naive_es95": (0.05, "below")})})
     m = eps.groupBy(*keys).agg(
         F.count("*").alias("n_scenarios"), F.avg("total_pnl").alias("mean_pnl"), F.avg("naive_pnl").alias("naive_mean_pnl"),
         F.var_samp("total_pnl").alias("_v"), F.var_samp("naive_pnl").alias("_vn"), F.var_samp("no_hedge_pnl").alias("_v0"),
         F.avg("mean_h").alias("mean_h"), F.avg("turnover_h").alias("turnover_h"))
-    m = _join_keys(_join_keys(m, es("total_pnl"), keys), es("naive_pnl"), keys).withColumnsRenamed({"es_total_pnl": "es95", "es_naive_pnl": "naive_es95"})
+    m = _join_keys(m, es, keys)
     he = lambda v: F.when(F.col("_v0") > 0, 1 - F.col(v) / F.col("_v0"))
     m = m.withColumns({"he": he("_v"), "naive_he": he("_vn")}).drop("_v", "_vn", "_v0")
     pairs = {"mean_pnl": ("mean_pnl", "naive_mean_pnl"), "es95": ("es95", "naive_es95"), "he": ("he", "naive_he")}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basisflow.functions.core import clip, ratio_minus_one
-from basisflow.plans.sliding import correlation, moment_columns, pair_moments, slope_of
+from basisflow.plans.sliding import correlation, pair_moments, slope_of
 
 
 def diff0(x: Column, w) -> Column:
@@ -53,10 +53,18 @@ def running_totals(terms: dict[str, Column], w) -> dict[str, Column]:
     return {k: F.coalesce(F.sum(v).over(run), F.lit(0.0)) for k, v in terms.items()}
 
 
+def rolling_corrs(df: DataFrame, a: str, b: str, key: str, order: str, windows: dict[str, int]) -> DataFrame:
+    """A column per window: Pearson over the last rows, at least max(20, window // 2) complete pairs; NULL where a side is constant."""
+    d = pair_moments(df, key, order, sorted(set(windows.values())), a, b)
+    need = F.greatest(F.lit(20), F.floor(F.col("window") / 2))
+    d = d.select("key", "at", "row", "window", F.when(F.col("m.n") >= need, correlation()).alias("r"))
+    wide = d.groupBy("key", "at").agg(F.any_value("row").alias("row"), *[F.max(F.when(F.col("window") == n, F.col("r"))).alias(c) for c, n in windows.items()])
+    return wide.select("row.*", *windows)
+
+
 def rolling_corr(df: DataFrame, a: str, b: str, key: str, order: str, window: int, out: str) -> DataFrame:
-    """Pearson over the last ``window`` rows, at least max(20, window // 2) complete pairs; NULL where a side is constant."""
-    d = pair_moments(df, key, order, window, a, b, "_m")
-    return d.withColumn(out, F.when(F.col("_m_n") >= max(20, window // 2), correlation("_m"))).drop(*moment_columns("_m"))
+    d = pair_moments(df, key, order, [window], a, b)
+    return d.select("row.*", F.when(F.col("m.n") >= max(20, window // 2), correlation()).alias(out))
 
 
 def slope(n: Column, sx: Column, sy: Column, sxx: Column, sxy: Column, intercept: Column | bool) -> Column:
@@ -71,9 +79,11 @@ def slope(n: Column, sx: Column, sy: Column, sxx: Column, sxy: Column, intercept
 
 def rolling_slope(df: DataFrame, x: str, y: str, key: str, order: str, window: int, min_obs: int,
                   intercept: Column | bool, out: str) -> DataFrame:
-    """Slope over the last ``window`` rows (invalid rows count towards the frame); NULL below min_obs."""
-    d = pair_moments(df, key, order, window, x, y, "_m")
-    return d.withColumn(out, F.when(F.col("_m_n") >= min_obs, slope_of("_m", intercept))).drop(*moment_columns("_m"))
+    """Slope over the last ``window`` rows (invalid rows count towards the frame); NULL below min_obs. ``intercept`` may be a column of ``df``."""
+    kept = df if isinstance(intercept, bool) else df.withColumn("_intercept", intercept)
+    d = pair_moments(kept, key, order, [window], x, y)
+    use = intercept if isinstance(intercept, bool) else F.col("row._intercept")
+    return d.select(*[F.col(f"row.`{c}`") for c in df.columns], F.when(F.col("m.n") >= min_obs, slope_of(use)).alias(out))
 
 
 def regression_ratio(b: Column) -> Column:

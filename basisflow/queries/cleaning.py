@@ -216,10 +216,7 @@ add_cte("pairs", """SELECT *, CASE WHEN r_s IS NOT NULL AND r_f IS NOT NULL THEN
 @query("W17_rolling_corr", "exposure_id:s d:d rho_30:f7 rho_60:f7 rho_120:f7 rho_252:f7",
        "SELECT exposure_id, d, " + ", ".join(_corr_sql(n) for n in (30, 60, 120, 252)) + " FROM pairs", "pairs")
 def _(spark, sf):
-    d = base.days(spark, sf)
-    for n in (30, 60, 120, 252):
-        d = returns.rolling_corr(d, "r_s", "r_f", "exposure_id", "pos", n, f"rho_{n}")
-    return d
+    return returns.rolling_corrs(base.days(spark, sf), "r_s", "r_f", "exposure_id", "pos", {f"rho_{n}": n for n in (30, 60, 120, 252)})
 
 
 @query("W19_rolling_slope", "exposure_id:s d:d h:f7", "SELECT exposure_id, d, h_roll AS h FROM hratio", "hratio")

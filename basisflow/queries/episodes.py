@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from basisflow.operators import episodes, metrics, splits
 from basisflow.plans.intervals import points_in_intervals
-from basisflow.plans.quantiles import exact_quantiles
+from basisflow.plans.quantiles import exact_quantiles, exact_quantiles_of
 from basisflow.queries import base
 from basisflow.queries.registry import query
 from basisflow.queries.sqlbase import add_cte
@@ -150,8 +150,7 @@ def _(spark, sf):
 def _(spark, sf):
     e, k = _eps(spark, sf), ["scenario_kind", "strategy"]
     m = e.groupBy(*k).agg(F.count("*").alias("n"), F.avg("total_pnl").alias("mean_pnl"), F.avg("mdd").alias("mean_mdd"))
-    m = metrics._join_keys(m, exact_quantiles(e, k, "total_pnl", {"median_pnl": 0.5}), k)
-    return metrics._join_keys(m, exact_quantiles(e, k, "turnover_h", {"q95_turnover": 0.95}), k)
+    return metrics._join_keys(m, exact_quantiles_of(e, k, {"total_pnl": ({"median_pnl": 0.5}, {}), "turnover_h": ({"q95_turnover": 0.95}, {})}), k)
 
 
 @query("A21_overall_means", "n:i mean_pnl:g mean_mdd:g mean_turnover_h:g mean_h:g", """

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from basisflow.functions.core import month_key
 from basisflow.operators import scenarios
-from basisflow.plans.quantiles import exact_quantiles
+from basisflow.plans.keys import _join_keys
+from basisflow.plans.quantiles import exact_quantiles, exact_quantiles_of
 from basisflow.operators import metrics
 from basisflow.queries import base
 from basisflow.queries.registry import query
@@ -199,6 +200,7 @@ def _(spark, sf):
 add_cte("kpi", """SELECT p.*, t.company_size, t.company_id, t.start_date, t.horizon_days_target, t.horizon_days_realized, t.data_coverage_flag,
     t.scenario_kind AS dataset FROM physall p JOIN trades t USING (scenario_id)""")
 _TAILS = {"VaR_1": 0.01, "VaR_5": 0.05}
+_MEANS = {"ES_1": (0.01, "below"), "ES_5": (0.05, "below")}
 
 
 def _kpi(spark, sf):
@@ -209,8 +211,7 @@ def _kpi(spark, sf):
 
 
 def _tails(df, keys, extra=None):
-    return exact_quantiles(df, keys, "pnl_physical", {**_TAILS, **(extra or {})},
-                           {"ES_1": (0.01, "below"), "ES_5": (0.05, "below")})
+    return exact_quantiles(df, keys, "pnl_physical", {**_TAILS, **(extra or {})}, _MEANS)
 
 
 def _tail_sql(keys):
@@ -252,16 +253,17 @@ def _(spark, sf):
         F.stddev_samp("return_simple").alias("ret_std"),
         F.min("mdd_abs_usd").alias("mdd_abs_min"),
         F.min("mdd_pct").alias("mdd_pct_min"))
-    for c, named in (("return_simple", {"ret_p05": 0.05, "ret_p50": 0.5, "ret_p95": 0.95}), ("mdd_abs_usd", {"mdd_abs_p95": 0.95})):
-        m = m.join(exact_quantiles(k, ["dataset"], c, named), "dataset")
-    return m.join(_tails(k, ["dataset"], {"pnl_p50": 0.5, "pnl_p95": 0.95, "pnl_p01": 0.01, "pnl_p05": 0.05, "pnl_p99": 0.99}), "dataset")
+    q = exact_quantiles_of(k, ["dataset"], {
+        "return_simple": ({"ret_p05": 0.05, "ret_p50": 0.5, "ret_p95": 0.95}, {}), "mdd_abs_usd": ({"mdd_abs_p95": 0.95}, {}),
+        "pnl_physical": ({**_TAILS, "pnl_p50": 0.5, "pnl_p95": 0.95, "pnl_p01": 0.01, "pnl_p05": 0.05, "pnl_p99": 0.99}, _MEANS)})
+    return _join_keys(m, q, ["dataset"])
 
 
 def _profile(keys, spark, sf):
     k = _kpi(spark, sf).withColumn("month", month_key(F.col("start_date")))
     m = k.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("pnl_physical").alias("pnl_mean"), F.stddev_samp("pnl_physical").alias("pnl_std"),
                              F.avg((F.col("pnl_physical") > 0).cast("double")).alias("hit_ratio"), F.min("mdd_abs_usd").alias("mdd_min"))
-    return m.join(_tails(k, keys), keys)
+    return _join_keys(m, _tails(k, keys), keys)
 
 
 def _profile_sql(keys):
@@ -300,4 +302,4 @@ def _(spark, sf):
     m = long.groupBy("dataset", "metric").agg(
         F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
         metrics.sample_skew(x).alias("skew"), metrics.sample_kurtosis(x).alias("kurtosis"))
-    return m.join(exact_quantiles(long, ["dataset", "metric"], "x", _DQ), ["dataset", "metric"])
+    return _join_keys(m, exact_quantiles(long, ["dataset", "metric"], "x", _DQ), ["dataset", "metric"])
