@@ -5,7 +5,9 @@ has the id ``OTHER`` and is spelled besides: ``log p(OTHER)`` plus the sum of ``
 counts over the spelled words of all documents (add one). So no two words share a probability by accident, and unheard-of
 spellings score low. Every token is masked in turn and predicted from the two on either side (a padding id beyond the ends of the text):
 
-    h = tanh(A[l2] + B[l1] + C[r1] + D[r2] + b)        p(token) = softmax(h K + k)[class] * softmax(h W[class] + w[class])[within]
+    h = tanh(A[l2] + B[l1] + C[r1] + D[r2] + b)        p(token) = softmax(h K + k)[class] * softmax(h W + w over the words of the class)[word]
+
+Classes are runs of ids, ids are ranks, and class sizes grow with the rank: the words that most tokens are share a class with few others, ``OTHER`` with none,
 
 and the score of a document is the sum of ``log p`` over all its tokens. The network is trained in NumPy on every token of all documents:
 their ids are written once, a block of texts in a row. In each round every partition streams its own blocks, masks each token in turn and
@@ -32,16 +34,28 @@ from basisflow.llm.bpe import _ddl
 from basisflow.llm.common import Words, packed_rows, packed_schema, partitions, text_blocks, to_partitions, unpack, without
 from basisflow.plans.lineage import written
 
-CLASSES, WITHIN, WIDTH, ROUNDS = 32, 64, 16, 3
-VOCAB = CLASSES * WITHIN
+CLASSES, VOCAB, WIDTH, ROUNDS = 32, 2048, 16, 3
 OTHER = 0
 PAD = VOCAB
 _STEP, _MOST, _LEARNER, _CHUNKS = 512, 8192, 1 << 20, 16
-_SHAPES = {"context": (4, VOCAB + 1, WIDTH), "b": (WIDTH,), "K": (WIDTH, CLASSES), "k": (CLASSES,),
-           "W": (CLASSES, WIDTH, WITHIN), "w": (CLASSES, WITHIN)}
+_SHAPES = {"context": (4, VOCAB + 1, WIDTH), "b": (WIDTH,), "K": (CLASSES, WIDTH), "k": (CLASSES,), "W": (VOCAB, WIDTH), "w": (VOCAB,)}
 SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
 
 
+def class_bounds(classes: int = CLASSES, vocab: int = VOCAB) -> np.ndarray:
+    """First id of each class and the end: id 0 alone, then sizes that grow by the same factor."""
+    low, high = 1.0, float(vocab)
+    while high - low > 1e-9:  # the factor at which the sizes add up to the vocabulary
+        factor = (low + high) / 2
+        low, high = (low, factor) if sum(factor ** i for i in range(classes - 1)) > vocab - 1 else (factor, high)
+    ends = np.rint(np.cumsum([high ** i for i in range(classes - 1)])).astype(np.int64) + 1
+    return np.r_[0, 1, np.minimum(np.maximum(ends, np.arange(2, classes + 1)), vocab)]
+
+
+BOUNDS = class_bounds()
+_CLASS = np.repeat(np.arange(CLASSES), np.diff(BOUNDS))
+
+
 def views(flat: np.ndarray) -> dict[str, np.ndarray]:
     """The parameter arrays inside one flat vector."""
     out, at = {}, 0
@@ -132,87 +146,113 @@ def masked(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _hidden(p, x):
-    """One column for each row of ``x``."""
+_SAFE = 80.0  # exp of it is a float32
+
+
+def _columns(x: np.ndarray) -> list[np.ndarray]:
+    """Contiguous index columns of rows of ``masked``."""
+    return list(np.ascontiguousarray(x.T).astype(np.intp))
+
+
+def _hidden(p, columns) -> np.ndarray:
+    """One column for each example, and a last row of ones that carries the biases."""
     e = p["context"]
-    h = e[0].take(x[:, 0], axis=0)
-    for column in (1, 2, 3):
-        h += e[column].take(x[:, column], axis=0)
+    h = e[0].take(columns[0], axis=0)
+    for i in (1, 2, 3):
+        h += e[i].take(columns[i], axis=0)
     h += p["b"]
-    return np.tanh(np.ascontiguousarray(h.T))
+    out = np.ones((WIDTH + 1, len(h)), np.float32)
+    np.tanh(h.T, out=out[:WIDTH])
+    return out
 
 
-def _logits(weights, bias, h):
-    z = weights.T @ h
-    z += bias[:, None]
-    z -= z.max(0)
-    return z
+def _layers(p) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Class and word weights with their biases as a last column, and whether no logit can overflow (the hidden values lie in -1..1)."""
+    classes, words = (np.column_stack([p[a], p[b]]).astype(np.float32) for a, b in (("K", "k"), ("W", "w")))
+    return classes, words, max(np.abs(classes).sum(1).max(), np.abs(words).sum(1).max()) < _SAFE
 
 
-def _softmax(z):
-    np.exp(z, out=z)
-    z /= z.sum(0)
-    return z
+def _weights(layer: np.ndarray, h: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray | float]:
+    """exp of the logits, less the largest of each column where they might overflow; and what was taken off."""
+    z = layer @ h
+    most = 0.0 if safe else z.max(0)
+    if not safe:
+        z -= most
+    return np.exp(z, out=z), most
 
 
-def _log_p(z, at):
-    """log softmax(z) of one row number for each column."""
-    return z[at, np.arange(z.shape[1])] - np.log(np.exp(z).sum(0))
+def _by_class(token: np.ndarray) -> Iterator[tuple[slice, slice]]:
+    """Ids of each class of several words, and its run of sorted tokens."""
+    cuts = np.searchsorted(token, BOUNDS)
+    for c in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(BOUNDS) > 1)):
+        yield slice(BOUNDS[c], BOUNDS[c + 1]), slice(cuts[c], cuts[c + 1])
+
+
+def _own(classes: np.ndarray, words: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Weights of each token's class and, unless it is alone there, of the token itself."""
+    out = words.take(token, axis=0)
+    out[(np.diff(BOUNDS) == 1)[_CLASS[token]]] = 0
+    out += classes.take(_CLASS[token], axis=0)
+    return out
 
 
 def log_probabilities(flat: np.ndarray, x: np.ndarray) -> np.ndarray:
     """log p(token) for rows of ``masked``."""
     p, out = views(flat), np.zeros(len(x))
+    classes, words, safe = _layers(p)
     for lo in range(0, len(x), 32 * _STEP):
         part = x[lo:lo + 32 * _STEP]
         order = np.argsort(part[:, 4], kind="stable")
-        part = part[order]
-        kind, inside = part[:, 4] // WITHIN, part[:, 4] % WITHIN
-        h = _hidden(p, part)
-        logp = _log_p(_logits(p["K"], p["k"], h), kind).astype(float)
-        cuts = np.searchsorted(kind, np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            a, b = cuts[c], cuts[c + 1]
-            if a < b:
-                logp[a:b] += _log_p(_logits(p["W"][c], p["w"][c], h[:, a:b]), inside[a:b])
+        columns = _columns(part[order])
+        token, h = columns[4], _hidden(p, columns)
+        # logits of the tokens themselves, less the logarithms of both sums
+        logp = np.einsum("ij,ji->i", _own(classes, words, token), h).astype(float)
+        e, most = _weights(classes, h, safe)
+        logp -= np.log(e.sum(0)) + most
+        for ids, run in _by_class(token):
+            e, most = _weights(words[ids], h[:, run], safe)
+            logp[run] -= np.log(e.sum(0)) + most
         out[lo + order] = logp
     return out
 
 
 def _gradient(p, x) -> np.ndarray:
-    """Mean gradient of -log p over the rows of ``x``, sorted by token."""
+    """Mean gradient of -log p over the rows of ``x``, sorted by token.
+
+    With e the exp of the logits and s their sums, softmax is e / s; the division is made on the narrow side, h / s, and not on e.
+    """
     flat = np.zeros(SIZE, np.float32)
     g, n = views(flat), np.float32(len(x))
-    kind, inside, rows = x[:, 4] // WITHIN, x[:, 4] % WITHIN, np.arange(len(x))
-    h = _hidden(p, x).astype(np.float32)
-    d = _softmax(_logits(p["K"], p["k"], h))
-    d[kind, rows] -= 1
-    d /= n
-    g["K"][...], g["k"][...], dh = h @ d.T, d.sum(1), p["K"] @ d
-    cuts = np.searchsorted(kind, np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        a, b = cuts[c], cuts[c + 1]
-        if a < b:
-            d = _softmax(_logits(p["W"][c], p["w"][c], h[:, a:b]))
-            d[inside[a:b], rows[:b - a]] -= 1
-            d /= n
-            g["W"][c], g["w"][c] = h[:, a:b] @ d.T, d.sum(1)
-            dh[:, a:b] += p["W"][c] @ d
-    dh *= 1 - h * h
+    columns = _columns(x)
+    token, h = columns[4], _hidden(p, columns)
+    classes, words, safe = _layers(p)
+    met = np.stack([np.bincount(token, row, VOCAB) for row in h], axis=1).astype(np.float32)  # sums of h over each token
+    e, _ = _weights(classes, h, safe)
+    r = 1 / e.sum(0)
+    top = e @ (h * r).T - np.add.reduceat(met, BOUNDS[:-1], axis=0)
+    dh = (classes[:, :WIDTH].T @ e) * r
+    for ids, run in _by_class(token):
+        part = h[:, run]
+        e, _ = _weights(words[ids], part, safe)
+        r = 1 / e.sum(0)
+        deep = (e @ (part * r).T - met[ids]) / n
+        g["W"][ids], g["w"][ids] = deep[:, :WIDTH], deep[:, WIDTH]
+        dh[:, run] += (words[ids, :WIDTH].T @ e) * r
+    dh -= _own(classes, words, token)[:, :WIDTH].T
+    dh *= 1 - h[:WIDTH] * h[:WIDTH]
+    dh /= n
+    g["K"][...], g["k"][...] = top[:, :WIDTH] / n, top[:, WIDTH] / n
     g["b"][...] = dh.sum(1)
-    dh = np.ascontiguousarray(dh.T)
-    for column in range(4):
-        order = np.argsort(x[:, column], kind="stable")
-        ids = x[order, column]
-        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        g["context"][column][ids[first]] = np.add.reduceat(dh.take(order, axis=0), first, axis=0)
+    for i in range(4):
+        for j in range(WIDTH):
+            g["context"][i, :, j] = np.bincount(columns[i], dh[j], VOCAB + 1)
     return flat
 
 
 def train_local(flat: np.ndarray, blocks: Iterable[np.ndarray], rate: float, seed: int) -> tuple[np.ndarray, int]:
     """One Adam pass over the examples of all blocks, each in random order; and how many there were."""
     flat, rng, step, n = flat.copy(), np.random.default_rng(seed), 0, 0
-    m, v = np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32)
+    m, v, move = (np.zeros(SIZE, np.float32) for _ in range(3))
     for x in blocks:
         order = rng.permutation(len(x))
         size = min(max(len(x) // 20, _STEP), _MOST)
@@ -220,9 +260,20 @@ def train_local(flat: np.ndarray, blocks: Iterable[np.ndarray], rate: float, see
             step += 1
             part = x[order[lo:lo + size]]
             grad = _gradient(views(flat), part[np.argsort(part[:, 4], kind="stable")])
-            m += 0.1 * (grad - m)
-            v += 0.01 * (grad * grad - v)
-            flat -= rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
+            # Adam, without new arrays
+            np.multiply(grad, np.float32(0.1), out=move)
+            m *= np.float32(0.9)
+            m += move
+            np.square(grad, out=grad)
+            grad *= np.float32(0.01)
+            v *= np.float32(0.99)
+            v += grad
+            np.multiply(v, np.float32(1 / (1 - 0.99 ** step)), out=move)
+            np.sqrt(move, out=move)
+            move += np.float32(1e-8)
+            np.divide(m, move, out=move)
+            move *= np.float32(rate / (1 - 0.9 ** step))
+            flat -= move
         n += len(x)
     return flat, n
 

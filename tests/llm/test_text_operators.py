@@ -142,12 +142,14 @@ def test_lm_log_probabilities_and_gradient_match_plain_loops():
     p = lm_score.views(flat)
     x = np.random.default_rng(1).integers(0, lm_score.VOCAB, (40, 5)).astype(np.uint16)
     x[0, :2] = lm_score.PAD
+    x[3:6, 4] = 0, 1, 2
 
     def one(row, p):
         h = np.tanh(sum(p["context"][c][row[c]].astype(float) for c in range(4)) + p["b"])
-        z, c = h @ p["K"] + p["k"], row[4] // lm_score.WITHIN
-        y = h @ p["W"][c] + p["w"][c]
-        return z[c] - np.log(np.exp(z).sum()) + y[row[4] % lm_score.WITHIN] - np.log(np.exp(y).sum())
+        z, c = p["K"] @ h + p["k"], int(np.searchsorted(lm_score.BOUNDS, row[4], "right")) - 1
+        inside = range(lm_score.BOUNDS[c], lm_score.BOUNDS[c + 1])
+        y = {t: p["W"][t] @ h + p["w"][t] for t in inside}
+        return z[c] - np.log(np.exp(z).sum()) + y[row[4]] - np.log(sum(np.exp(v) for v in y.values()))
 
     assert np.allclose(lm_score.log_probabilities(flat, x), [one(r, p) for r in x], atol=1e-4)
     total = sum(np.exp(one(np.append(x[1, :4], t), p)) for t in range(lm_score.VOCAB))
@@ -158,6 +160,37 @@ def test_lm_log_probabilities_and_gradient_match_plain_loops():
         step[at] = 1e-3
         slope = [-np.mean([one(r, lm_score.views(flat.astype(float) + s * step)) for r in x]) for s in (1, -1)]
         assert abs((slope[0] - slope[1]) / 2e-3 - grad[at]) < 1e-3
+    huge = flat * np.float32(200)  # logits beyond what exp can hold
+    ours = lm_score.log_probabilities(huge, x)
+    assert np.isfinite(ours).all() and np.isfinite(lm_score._gradient(lm_score.views(huge), x[np.argsort(x[:, 4], kind="stable")])).all()
+
+
+def test_lm_classes_grow_with_the_rank():
+    sizes = np.diff(lm_score.BOUNDS)
+    assert lm_score.BOUNDS[0] == 0 and lm_score.BOUNDS[-1] == lm_score.VOCAB and sizes[0] == 1 and (sizes >= 1).all() and (np.diff(sizes) >= -1).all()
+
+
+def test_lm_document_score_equals_the_loop(spark, docs):
+    """Words, ids, network and spelling together."""
+    model = lm_score.train(docs, rounds=1)
+    known = dict(zip(model.words.tolist(), model.ids.tolist(), strict=True))
+    p, pad = lm_score.views(model.flat), lm_score.PAD
+    for r in lm_score.score(docs, model).collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")[:60] if r.n_tokens and r.n_tokens <= 60 else []
+        if not words:
+            continue
+        hashes = [int(lm_score.Words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())])).hash[0]) for w in words]
+        ids, total = [known.get(h, 0) for h in hashes], 0.0
+        for i, t in enumerate(ids):
+            around = [ids[i + k] if 0 <= i + k < len(ids) else pad for k in (-2, -1, 1, 2)]
+            h = np.tanh(sum(p["context"][c][around[c]].astype(float) for c in range(4)) + p["b"])
+            z, c = p["K"] @ h + p["k"], int(np.searchsorted(lm_score.BOUNDS, t, "right")) - 1
+            y = p["W"][lm_score.BOUNDS[c]:lm_score.BOUNDS[c + 1]] @ h + p["w"][lm_score.BOUNDS[c]:lm_score.BOUNDS[c + 1]]
+            total += z[c] - np.log(np.exp(z).sum()) + y[t - lm_score.BOUNDS[c]] - np.log(np.exp(y).sum())
+            if t == 0:
+                letters = [256, *words[i].encode(), 256]
+                total += model.spelling[letters[:-1], letters[1:]].sum()
+        assert r.log_likelihood == pytest.approx(total, rel=1e-4)
 
 
 def test_lm_learns_and_scores_every_row(spark, docs):
