@@ -8,7 +8,8 @@ link counts and a spanning set of links, not the pairs.
 
 Vectors that are null, zero or hold null or non-finite values, and rows without a label, link with nothing. Equal vectors of a
 label are one row of a tile with a multiplicity. Vectors of different lengths never link. Repeated ids: the rows are one
-vector whose links are those of all its rows, and one row comes back. A null id: its rows come back without links.
+vector whose links are those of all its rows, another id counting once however many rows of it are near, and one row comes back.
+Their rows get numbers of their own for the tiles, and tasks also return which classes of equal vectors they meet. A null id: its rows come back without links.
 """
 
 from __future__ import annotations
@@ -77,7 +78,7 @@ def _pack(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("rep")
     x = np.stack(rows["v"].to_list()).astype("<f8")
     return pd.DataFrame({"label": rows["label"].iloc[:1], "dim": [x.shape[1]], "tile": rows["tile"].iloc[:1].to_numpy(),
-                         "reps": [rows["rep"].to_numpy("<i8").tobytes()], "copies": [rows["copies"].to_numpy("<i8").tobytes()],
+                         "reps": [rows["rep"].to_numpy("<i8").tobytes()], "copies": [rows["copies"].to_numpy("<i8").tobytes()], "flags": [rows["flag"].to_numpy(bool).tobytes()],
                          "x": [x.astype("<f4").tobytes() if (x.astype("<f4") == x).all() else x.tobytes()]})
 
 
@@ -90,11 +91,12 @@ def _compare(threshold: float):
         for frame in frames:
             for row in frame.itertuples():
                 ids, copies = np.frombuffer(row.reps_a, "<i8"), np.frombuffer(row.copies_a, "<i8")
+                flags = np.frombuffer(row.flags_a, bool)
                 x, y = _matrix(row.x_a, len(ids), row.dim), None
                 if row.a != row.b:
                     more = np.frombuffer(row.reps_b, "<i8")
                     y, ids = _matrix(row.x_b, len(more), row.dim), np.concatenate([ids, more])
-                    copies = np.concatenate([copies, np.frombuffer(row.copies_b, "<i8")])
+                    copies, flags = np.concatenate([copies, np.frombuffer(row.copies_b, "<i8")]), np.concatenate([flags, np.frombuffer(row.flags_b, bool)])
                 shift = 0 if y is None else len(x)
                 count, low = np.zeros(len(ids), np.int64), np.arange(len(ids))
                 for i, j in tile_links(x, y, threshold):
@@ -102,53 +104,99 @@ def _compare(threshold: float):
                     count += np.bincount(i, weights=copies[j], minlength=len(ids)).astype(np.int64)
                     count += np.bincount(j, weights=copies[i], minlength=len(ids)).astype(np.int64)
                     low = local_components(len(ids), low[i], low[j])[low]
-                some = np.flatnonzero(count)
+                    told = flags[i] | flags[j]
+                    if told.any():
+                        a, b = ids[i[told]], ids[j[told]]
+                        yield pd.DataFrame({"rep": np.r_[a, b], "n": 0, "to": np.r_[b, a], "pair": True})
+                some = np.flatnonzero((count > 0) | (low != np.arange(len(ids))) | np.isin(np.arange(len(ids)), low[low != np.arange(len(ids))]))
                 # the smallest id of each local group, so that the links form a star
                 least = np.full(len(ids), np.iinfo(np.int64).max)
                 np.minimum.at(least, low, ids)
-                yield pd.DataFrame({"rep": ids[some], "n": count[some], "to": least[low[some]]})
+                yield pd.DataFrame({"rep": ids[some], "n": count[some], "to": least[low[some]], "pair": False})
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec_id", vector: str = "embedding",
-                    label: str = "label", tile: int = TILE) -> DataFrame:
-    """One row per vector: key, n_links, component_id, kept. Columns of other names are ignored."""
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("v"), F.col(f"`{label}`").alias("label"))
-    good = rows.where(usable("v") & F.col("label").isNotNull() & F.col("id").isNotNull())
-    member_key = ["label", "v"]
-    classes = good.groupBy(*member_key).agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies"))
+def _found(classes: DataFrame, kind: str, threshold: float, tile: int) -> DataFrame:
+    """(rep, n, to, pair) of classes of equal vectors (label, v, rep, copies, flag): link counts and spanning links, and, as ``pair`` rows in both
+    directions, every link of a flagged class."""
     sized = classes.withColumn("dim", F.size("v"))
     counts = sized.groupBy("label", "dim").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles"))
     counts = written(counts, "tiles")
     placed = sized.join(counts, ["label", "dim"]).withColumn("tile", F.pmod(F.xxhash64("rep", "v"), F.col("tiles")).cast("int"))
-    kind = vectors.schema[label].dataType.simpleString()
     packed = written(placed.groupBy("label", "dim", "tile").applyInPandas(
-        _pack, f"label {kind}, dim int, tile int, reps binary, copies binary, x binary"), "packed")
+        _pack, f"label {kind}, dim int, tile int, reps binary, copies binary, flags binary, x binary"), "packed")
     # every unordered pair of tiles once; which side is a alternates, so that no tile stands on one side more than on the other
     grid = (counts.select("label", "dim", "tiles", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("p"))
             .select("label", "dim", "p", F.explode(F.sequence(F.col("p"), F.col("tiles") - 1)).alias("q")))
     even = (F.col("p") + F.col("q")) % 2 == 0
     grid = grid.select("label", "dim", F.when(even, F.col("p")).otherwise(F.col("q")).alias("a"), F.when(even, F.col("q")).otherwise(F.col("p")).alias("b"))
-    side = lambda s: packed.select("label", "dim", F.col("tile").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("reps", "copies", "x")])
+    side = lambda s: packed.select("label", "dim", F.col("tile").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("reps", "copies", "flags", "x")])
     pairs = grid.join(side("a"), ["label", "dim", "a"]).join(side("b"), ["label", "dim", "b"])
-    found = written(pairs.drop("label").mapInPandas(_compare(threshold), "rep long, n long, to long"), "found")
-    groups = components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")).unionByName(_repeats(good, member_key)))
-    counted = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    of_class = classes.join(counted, "rep", "left").select(*member_key, "rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"))
-    linked = good.join(of_class, member_key).select("id", "rep", "n").distinct().groupBy("id").agg(F.sum("n").alias("n"), F.min("rep").alias("rep"))
-    every = rows.select("id").distinct()
-    out = every.join(linked, "id", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep", "id")
+    return written(pairs.drop("label").mapInPandas(_compare(threshold), "rep long, n long, to long, pair boolean"), "found")
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec_id", vector: str = "embedding",
+                    label: str = "label", tile: int = TILE) -> DataFrame:
+    """One row per vector: key, n_links, component_id, kept. Columns of other names are ignored."""
+    rows = vectors.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("v"), F.col(f"`{label}`").alias("label"))
+    good = rows.where(usable("v") & F.col("label").isNotNull() & F.col("id").isNotNull())
+    kind = vectors.schema[label].dataType.simpleString()
+    different = good.groupBy("id").agg(F.count_distinct(F.xxhash64("label", "v")).alias("n")).where("n > 1").select("id")
+    # written, so that the numbers of these rows stay
+    repeated = written(good.join(different, "id", "left_semi").distinct().withColumn("node", -1 - F.monotonically_increasing_id()), "repeated")
+    if repeated.isEmpty():
+        linked = _links_of_ids(good, kind, threshold, tile)
+    else:
+        single = good.join(different, "id", "left_anti").distinct().withColumn("node", F.col("id"))
+        linked = _links_of_rows(written(single.unionByName(repeated).withColumn("single", F.col("node") == F.col("id")), "numbered"), kind, threshold, tile)
+    out = rows.select("id").distinct().join(linked, "id", "left")
+    component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
                       F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _repeats(good: DataFrame, member_key: list[str]) -> DataFrame:
-    """Links between the representatives of rows that share an id, so that a repeated id is one node."""
-    reps = good.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").drop("n").join(good, "id")
-    classes = good.groupBy(*member_key).agg(F.min("id").alias("rep"))
-    return reps.join(classes, member_key).select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b")
+def _links_of_ids(good: DataFrame, kind: str, threshold: float, tile: int) -> DataFrame:
+    """(id, n, component) where each id has one vector."""
+    member_key = ["label", "v"]
+    classes = good.groupBy(*member_key).agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies"), F.lit(False).alias("flag"))
+    found = _found(classes, kind, threshold, tile)
+    groups = components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")))
+    counted = found.groupBy("rep").agg(F.sum("n").alias("n"))
+    of_class = classes.join(counted, "rep", "left").select(*member_key, "rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"))
+    linked = good.join(of_class, member_key).select("id", "rep", "n").distinct()
+    return linked.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
+
+
+def _links_of_rows(rows: DataFrame, kind: str, threshold: float, tile: int) -> DataFrame:
+    """(id, n, component) where ids may have several rows (id, v, label, node, single); ``node`` tells the rows apart.
+
+    Ids with one row are counted per class in the tiles. Ids with several are counted by sets: which of them have a row in a class or a linked one.
+    """
+    member_key = ["label", "v"]
+    classes = written(rows.groupBy(*member_key).agg(F.min("node").alias("rep"), F.count(F.when(F.col("single"), 1)).alias("copies"),
+                                                    F.max(~F.col("single")).alias("flag")), "classes")
+    found = _found(classes, kind, threshold, tile)
+    spanning = found.where("not pair")
+    members = rows.select("id", *member_key, "single").join(classes.select(*member_key, "rep"), member_key).select("id", "single", "rep")
+    several = members.where("not single").select("id", "rep").distinct()
+    hub = several.groupBy("id").agg(F.min("rep").alias("hub"))
+    same_id = several.join(hub, "id").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    groups = components(spanning.select(F.col("rep").alias("a"), F.col("to").alias("b")).unionByName(same_id)).withColumnRenamed("node", "rep")
+    counted = spanning.groupBy("rep").agg(F.sum("n").alias("n"))
+    near = found.where("pair").select("rep", "to").unionByName(classes.where("flag").select("rep", F.col("rep").alias("to"))).distinct()
+    # ids with several rows that a class meets
+    met = near.join(several.withColumnRenamed("rep", "to"), "to").select("rep", F.col("id").alias("other")).distinct()
+    n_met = met.groupBy("rep").agg(F.count("*").alias("met"))
+    of_class = classes.join(counted, "rep", "left").join(n_met, "rep", "left").select(
+        "rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1 + F.coalesce("met", F.lit(0))).alias("n"))
+    of_single = members.where("single").join(of_class, "rep").select("id", "n")
+    reached = several.join(near, "rep").select("id", "to").distinct()
+    ones = reached.join(classes.select(F.col("rep").alias("to"), "copies"), "to").groupBy("id").agg(F.sum("copies").alias("ones"))
+    others = several.join(met, "rep").select("id", "other").distinct().groupBy("id").agg(F.count("*").alias("others"))
+    of_several = ones.join(others, "id").select("id", (F.col("ones") + F.col("others") - 1).alias("n"))
+    placed = members.select("id", "rep").join(groups, "rep", "left").select("id", F.coalesce("component", "rep").alias("group")).distinct()
+    least = placed.groupBy("group").agg(F.min("id").alias("component"))
+    return of_single.unionByName(of_several).join(placed.join(least, "group").select("id", "component"), "id")
 
 
 def oracle(name: str = "embeddings", threshold: float = 0.93) -> str:

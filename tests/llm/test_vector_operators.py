@@ -47,6 +47,26 @@ def test_embedding_dedup_is_exact(spark, tile):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tile", [2048, 7])
+def test_embedding_dedup_of_repeated_ids(spark, tile):
+    """Ids with several different rows: another id counts once, and components end at the smallest id."""
+    data = [(1, [1.0, 0.0], 1), (1, [1.0, 0.05], 1), (2, [1.0, 0.02], 1), (9, [0.0, 1.0], 1), (9, [1.0, 0.01], 1), (9, [0.0, 1.0], 2), (4, [0.01, 1.0], 1),
+            (5, [0.0, 1.0], 2), (3, [0.0, 1.0], 2), (7, [-1.0, 0.0], 1), (7, [-1.0, 0.0], 2), (6, [-1.0, 0.001], 2), (8, [-1.0, -0.001], 2), (8, [-1.0, -0.001], 2), (11, [3.0, 3.0], 1)]
+    rng = np.random.default_rng(8)
+    data += [(int(i), (np.array(c) + rng.normal(size=2) * 0.1).tolist(), 3) for i in rng.integers(20, 60, 120) for c in [rng.choice([-1.0, 0.0, 1.0], 2) * 3 + 0.01]]
+    near = lambda v, w: v[1] == w[1] and np.dot(v[0], w[0]) / np.linalg.norm(v[0]) / np.linalg.norm(w[0]) >= 0.93
+    of = {}
+    for i, v, c in data:
+        of.setdefault(i, []).append((v, c))
+    links = [(a, b) for a in of for b in of if a < b and any(near(v, w) for v in of[a] for w in of[b])]
+    want = groups(set(of), links)
+    out = embed_dedup.near_duplicates(spark.createDataFrame(data, SCHEMA).repartition(3), tile=tile).collect()
+    assert len(out) == len(of)
+    for r in out:
+        assert (r.vec_id, r.n_links) == (r.vec_id, sum(r.vec_id in x for x in links))
+        assert (r.component_id, r.kept) == (want[r.vec_id], r.vec_id == want[r.vec_id])
+
+
 def test_int8_bound_is_rigorous():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 24)) * 10.0 ** rng.integers(-12, 12, (300, 1))
