@@ -71,7 +71,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     repeated = repeated_chunks(single)
     marks = (single.select("key", "digest").join(repeated.withColumnRenamed("digest", "_digest"), F.col("digest") == F.col("_digest"))
              .where("key > first or key is null").groupBy("key").agg(F.collect_set("digest").alias("_marks")))
-    joined = kept.join(marks.withColumnRenamed("key", "_key"), F.col(f"`{key}`").eqNullSafe(F.col("_key")), "left")
+    # the row travels in one struct: no column of it can clash with a name used here
+    rows = kept.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("row"), docs[key].alias("key"), docs[text].alias("text"))
+    joined = rows.join(marks.withColumnRenamed("key", "_key"), F.col("key").eqNullSafe(F.col("_key")), "left")
 
     def judged(chunks: Column) -> Column:
         bodies = F.transform(chunks, lambda c: c["body"])
@@ -80,11 +82,11 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
             ((c["n_lines"] > 1) & (F.coalesce(F.array_contains("_marks", F.xxhash64(c["body"])), F.lit(False))
                                    | (twice & (F.array_position(b, c["body"]) <= i)))).alias("gone")))))
 
-    marked = joined.withColumn("_c", _let(chunk_array(text, window, divisor), judged))
+    marked = joined.select("row", _let(chunk_array("text", window, divisor), judged).alias("_c"))
     count = lambda chunks: F.coalesce(F.aggregate(chunks, F.lit(0), lambda a, c: a + c["n_lines"]), F.lit(0)).cast("long")
     gone, stay = F.filter("_c", lambda c: c["gone"]), F.filter("_c", lambda c: ~c["gone"])
     lean = F.array_join(F.transform(stay, lambda c: c["body"]), "\n")
-    columns = [lean.alias(c) if c == text else F.col(f"`{c}`") for c in kept.columns]
+    columns = [lean.alias(c) if c == text else F.col(f"row.`{c}`") for c in kept.columns]
     size = lambda x: F.when(x.isNull(), 0).otherwise(F.size(x)).cast("long")
     return marked.select(*columns, count(F.col("_c")).alias("n_lines"), count(gone).alias("n_removed_lines"),
                          size(F.col("_c")).alias("n_chunks"), size(gone).alias("n_removed_chunks"))

@@ -105,9 +105,10 @@ def mix(measured: DataFrame, targets: dict[str, dict[str, float]], keep: float =
     rows = without(measured, "keep_probability", "kept")
     # one row per combination of target levels: its size does not depend on the documents
     rates = F.broadcast(cell_rates(rows, targets, keep=keep))
-    marked = rows.withColumns({f"_l{i}": _level(c, targets[c]) for i, c in enumerate(targets)})
+    # the row travels in one struct: no column of it can clash with a name used here
+    marked = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), *[_level(c, targets[c]).alias(f"_l{i}") for i, c in enumerate(targets)])
     joined = marked.join(rates, [f"_l{i}" for i in range(len(targets))], "left")
-    return joined.select(*[f"`{c}`" for c in rows.columns], F.col("_keep").alias("keep_probability"), (F.col("draw") < F.col("_keep")).alias("kept"))
+    return joined.select("row.*", F.col("_keep").alias("keep_probability"), (F.col("row.draw") < F.col("_keep")).alias("kept"))
 
 
 def sample(docs: DataFrame, targets: dict[str, dict[str, float]], key: str = "doc_id", text: str = "text", seed: int = 0, keep: float = KEEP,

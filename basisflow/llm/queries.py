@@ -86,10 +86,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_nearest_neighbours")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    index = ann.build(vectors)
-    if index is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return ann.search(index, vectors.where("vec_id % 20 = 0"))
+    return ann.search_all(ann.build_all(vectors), vectors.where("vec_id % 20 = 0"))
 
 
 @query("op11_conversation_trie", prefix_trie.oracle())

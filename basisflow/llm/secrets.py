@@ -192,20 +192,20 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id",
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     queries = {k: q for k, q in queries.items() if q}
     kept = without(docs, "found")
-    columns = [F.col(f"`{c}`") for c in kept.columns]
+    # the input row travels in one struct: no column of it can clash with a name used here
+    rows = kept.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("row"), docs[key].alias("key"), F.coalesce(docs[text], F.lit("")).alias("body"))
     if queries:
         grams = sorted({g for q in queries.values() for c in q for g in c})
-        near = candidates(build_index(docs, grams, key, text), queries)
-        kept = kept.join(near.withColumnsRenamed({"key": "_key", "kinds": "_kinds"}), F.col(f"`{key}`") == F.col("_key"), "left")
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+        near = candidates(build_index(rows.select("key", "body"), grams, "key", "body"), queries)
+        rows = rows.join(near.withColumnRenamed("key", "near_key"), F.col("key") == F.col("near_key"), "left")
     parts = []
     for i, r in enumerate(rules):
-        spans = _spans(body, r, i)
+        spans = _spans(F.col("body"), r, i)
         if r.kind in queries:
-            may = F.col(f"`{key}`").isNull() | F.array_contains(F.col("_kinds"), r.kind)
+            may = F.col("key").isNull() | F.array_contains("kinds", r.kind)
             spans = F.when(may, spans).otherwise(F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>"))
         parts.append(spans)
-    return kept.select(*columns, F.array_sort(F.concat(*parts)).alias("found"))
+    return rows.select("row", F.array_sort(F.concat(*parts)).alias("found")).select("row.*", "found")
 
 
 def summary(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

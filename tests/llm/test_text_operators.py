@@ -414,3 +414,20 @@ def test_empty_tables_and_clashing_columns(spark, docs):
         assert operator(empty(spark)).count() == 0
     wide = docs.withColumn("n_lines", F.lit("x")).withColumn("component_id", F.lit("y")).withColumn("found", F.lit("z")).withColumn("_odd name", F.lit(1))
     assert line_dedup.dedup(wide).count() == secrets.scan(wide).count() == ngram_join.join(wide).count() == docs.count()
+
+
+def test_columns_named_like_inner_ones_pass_through(spark, docs):
+    names = ["_c", "_key", "_marks", "_kinds", "_keep", "_natural", "_raked", "_l0", "row", "key", "body", "text_", "kinds", "near_key", "gone"]
+    wide = docs
+    for n in names:
+        wide = wide.withColumn(n, F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))))
+    want = Counter((r.doc_id, *[r[n] for n in names]) for r in wide.collect())
+    for out in (line_dedup.dedup(wide), secrets.scan(wide)):
+        assert Counter((r.doc_id, *[r[n] for n in names]) for r in out.select("doc_id", *names).collect()) == want
+    targets = {"source": {f"src{i}": 0.25 for i in range(4)}}
+    mixed = mixing.mix(mixing.measure(wide), targets)
+    assert Counter((r.doc_id, *[r[n] for n in names]) for r in mixed.select("doc_id", *names).collect()) == want
+    plain, kept = (mixing.sample(d, targets).select("doc_id", "text").collect() for d in (docs, wide))
+    assert Counter(plain) == Counter(kept)
+    texts = lambda d: Counter((r.doc_id, r.text, r.n_removed_lines) for r in line_dedup.dedup(d).collect())
+    assert texts(wide) == texts(docs)

@@ -108,6 +108,18 @@ def test_nearest_neighbours_recall_and_scores(spark):
         assert all(abs(exact[v] - s) < 1e-9 for v, s in near)
 
 
+def test_each_length_of_vectors_has_an_index(spark):
+    rng = np.random.default_rng(4)
+    data = [(i, rng.normal(size=(3, 5)[i % 7 == 0]).tolist(), 0) for i in range(200)] + [(220, [1.0], 0), (240, None, 0)]
+    df = spark.createDataFrame(data, SCHEMA).repartition(3)
+    out = ann.search_all(ann.build_all(df), df.where("vec_id % 20 = 0"), k=6).collect()
+    asked = {i: np.array(v) for i, v, _ in data if i % 20 == 0 and v}
+    want = {(q, v) for q, x in asked.items() for v in sorted((i for i, w, _ in data if w and i != q and len(w) == len(x)),
+                                                              key=lambda i: (-float(x @ np.array(data[i][1])), i))[:6]}
+    assert {(r.query_id, r.vec_id) for r in out} == want and 220 not in {r.query_id for r in out}
+    assert ann.search_all(ann.build_all(df.limit(0)), df).count() == 0
+
+
 def test_queries_in_tiny_leaves_find_k(spark):
     df = spark.createDataFrame([r for r in vectors(600) if r[1] and len(r[1]) == 16], SCHEMA)
     index = ann.build(df, leaf_rows=8)
