@@ -226,7 +226,9 @@ def _gradient(p, x) -> np.ndarray:
     columns = _columns(x)
     token, h = columns[4], _hidden(p, columns)
     classes, words, safe = _layers(p)
-    met = np.stack([np.bincount(token, row, VOCAB) for row in h], axis=1).astype(np.float32)  # sums of h over each token
+    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    met = np.zeros((VOCAB, WIDTH + 1), np.float32)  # sums of h over each token
+    met[token[first]] = np.add.reduceat(h, first, axis=1).T
     e, _ = _weights(classes, h, safe)
     r = 1 / e.sum(0)
     top = e @ (h * r).T - np.add.reduceat(met, BOUNDS[:-1], axis=0)
@@ -243,9 +245,12 @@ def _gradient(p, x) -> np.ndarray:
     dh /= n
     g["K"][...], g["k"][...] = top[:, :WIDTH] / n, top[:, WIDTH] / n
     g["b"][...] = dh.sum(1)
+    rows = np.ascontiguousarray(dh.T)
     for i in range(4):
-        for j in range(WIDTH):
-            g["context"][i, :, j] = np.bincount(columns[i], dh[j], VOCAB + 1)
+        order = np.argsort(x[:, i], kind="stable")
+        ids = columns[i].take(order)
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        g["context"][i, ids[first]] = np.add.reduceat(rows.take(order, axis=0), first, axis=0)
     return flat
 
 
