@@ -6,6 +6,8 @@ episode at a time.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,6 +105,18 @@ def episode_summary(log: DataFrame, keys: list[str]) -> DataFrame:
         F.avg((F.col("net_pnl") > F.col("spot_pnl") + naive_fut).cast("double")).alias("win_vs_naive"))
 
 
+def action_statistics(log: DataFrame, keys: list[str], action: str) -> DataFrame:
+    """Per episode: how often each action was taken, as a JSON map in the order of the actions, how many different ones, and the share of the most frequent.
+
+    Steps are counted per action on the map side; what comes together for an episode is one number per action.
+    """
+    counts = log.where(F.col(action).isNotNull()).groupBy(*keys, F.col(action).alias("_a")).agg(F.count("*").alias("_n"))
+    per = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_a", "_n"))).alias("_c"), F.sum("_n").alias("_t"), F.max("_n").alias("_top"))
+    pairs = F.transform("_c", lambda c: F.concat(F.lit('"'), c["_a"].cast("string"), F.lit('": '), c["_n"].cast("string")))
+    text = F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
+    return per.select(*keys, text.alias("action_counts"), F.size("_c").alias("n_actions"), (F.col("_top") / F.col("_t")).alias("top_share"))
+
+
 def policy_evaluation(days: DataFrame, keys: list[str], target: float = 0.0) -> DataFrame:
     """Fast evaluation with contract-correct futures P&L: daily return mean, variance, VaR and ES of losses.
 
@@ -206,9 +220,33 @@ def first_full_year(trades: DataFrame, n: int, seed: str, key: str = "exposure_i
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(h, "scenario_id"))).where(F.col("_rn") <= n).drop("_rn")
 
 
+def _first_of(df: DataFrame, digits: Column, n: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows ordered by ``digits`` (few distinct values): those surely among the first n, and those of the value where n falls, with ``_left``, how many of
+    them belong. Counts per value settle it; the table of counts has as many rows as there are values."""
+    d = df.withColumn("_range", digits)
+    counts = d.groupBy("_range").agg(F.count("*").alias("_m"))
+    upto = F.sum("_m").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.select("_range", (upto - F.col("_m")).alias("_before"), upto.alias("_upto"))
+    sure = d.join(placed.where(F.col("_upto") <= n).select("_range"), "_range", "left_semi").drop("_range")
+    edge = placed.where((F.col("_before") < n) & (F.col("_upto") > n)).select("_range", (F.lit(n) - F.col("_before")).alias("_left"))
+    return sure, d.join(edge, "_range").drop("_range")
+
+
 def seeded_sample(df: DataFrame, n: int, seed: str, name: str) -> DataFrame:
-    """n rows in hash order: the same rows for the same seed, whatever the partitioning."""
-    return df.orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col(name).cast("string")).cast("binary")), name).limit(n)
+    """n rows in hash order: the same rows for the same seed, whatever the partitioning.
+
+    The first four digits of the hash tell for all rows but those of one range whether they are among the first n, four more for all but about one row in
+    four billion; only those are ordered. n may be any share of the table.
+    """
+    hashed = df.withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), F.col(name).cast("string")).cast("binary")))
+    sure, edge = _first_of(hashed, F.substring("_h", 1, 4), n)
+    left = edge.select("_left").limit(1).collect()
+    parts = [sure]
+    if left:
+        more, rest = _first_of(edge.drop("_left"), F.substring("_h", 5, 4), left[0]["_left"])
+        last = F.row_number().over(Window.partitionBy(F.substring("_h", 1, 8)).orderBy("_h", name))
+        parts += [more, rest.withColumn("_rn", last).where(F.col("_rn") <= F.col("_left")).drop("_rn", "_left")]
+    return reduce(DataFrame.unionByName, parts).drop("_h")
 
 
 def numbered(df: DataFrame, coarse: str, fine: list[str], out: str = "position") -> DataFrame:

@@ -11,6 +11,8 @@ from basisflow.operators.metrics import average_rank
 from basisflow.plans.lineage import cut_lineage
 
 MIN_PAIRS = 30
+#: features whose pairs are few enough to be rows
+FEW = 40
 
 
 def feature_pairs(long: DataFrame, key: str = "series_id", value: str = "value") -> DataFrame:
@@ -36,12 +38,15 @@ def pearson(pairs: DataFrame, min_pairs: int = MIN_PAIRS) -> DataFrame:
 
 
 def pearson_panel(long: DataFrame, key: str = "series_id", value: str = "value", min_pairs: int = MIN_PAIRS) -> DataFrame:
-    """The same correlations straight from the long panel, without a row for each pair and day.
+    """The same correlations straight from the long panel.
 
+    Up to ``FEW`` features the pairs of each day are unfolded and summed by built-in aggregates on the map side. With more, no row is made for each pair and day:
     Every batch of days is a matrix (days x features, mean-centred, holes as zero); products of it and of its mask give the sums of all
     pairs at once, and only these partial sums, one row per pair and batch, are shuffled.
     """
     x = long.where(F.col(value).isNotNull()).select(F.col(key).cast("string").alias("f"), "d", F.col(value).cast("double").alias("v"))
+    if x.select("f").distinct().limit(FEW + 1).count() <= FEW:
+        return pearson(feature_pairs(x, "f", "v"), min_pairs)
     means = x.groupBy("f").agg(F.avg("v").alias("m"))
     days = x.join(means, "f").groupBy("d").agg(F.collect_list(F.struct("f", (F.col("v") - F.col("m")).alias("v"))).alias("fs")).select("fs")
     sums = days.mapInArrow(_pair_sums, "feature_i string, feature_j string, n bigint, sx double, sy double, sxx double, syy double, sxy double")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basisflow.functions.core import null_text
+from basisflow.operators.metrics import average_rank
 from basisflow.plans.keys import _join_keys
 from basisflow.plans.ordered import keep_first, keep_last
 
@@ -33,6 +34,14 @@ COST_COLUMNS = ("cost_trade_total", "cost_sum", "cost_total", "cost", "cost_trad
 FREQUENCIES = ("DAILY", "WEEKLY", "MONTHLY", "QUARTERLY")
 ROLL_WORDS = ("1", "1.0", "true", "t", "yes", "y", "roll")
 NOROLL_WORDS = ("0", "0.0", "false", "f", "no", "n", "noroll", "no-roll")
+NUMBER = r"([-+0-9.eE]+)"
+# patterns of a run folder's name, and the settings their groups give; one pattern's settings are found together or not at all
+RUN_FOLDER = (
+    (r"_T(\d+)_", ("timesteps",)),
+    (f"hmin{NUMBER}_hmax{NUMBER}_dh{NUMBER}_", ("h_min", "h_max", "delta_h")),
+    (f"wLPM{NUMBER}_wVOL{NUMBER}_wCOST{NUMBER}_tau{NUMBER}", ("w_lpm", "w_volatility", "w_cost", "lpm_target")),
+)
+CONFIG_KEY = ("w_lpm", "w_volatility", "w_cost", "delta_h", "gamma", "timesteps", "lpm_target")
 PATH_ASSETS = (("OPEC", "OPEC_BASKET"), ("BRENT", "BRENT_SPOT"), ("WTI", "WTI_SPOT"))
 # ---- end of fixed values ----
 
@@ -150,6 +159,35 @@ def run_key() -> Column:
     return F.concat_ws("|", "exposure_id", "scenario_kind", "strategy", F.concat(F.lit("w"), w), "mode", "roll")
 
 
+def run_folder_settings(df: DataFrame, name: str) -> DataFrame:
+    """Settings of a run as read from its folder's name, where a column of ``df`` does not state them already; NULL if neither does.
+
+    The last part of a path is the folder's name. Steps are whole numbers; what a pattern finds but no number can be read from is NULL.
+    """
+    folder = F.element_at(F.split(F.regexp_replace(F.col(name), "/+$", ""), "/"), -1)
+    out = {}
+    for pattern, settings in RUN_FOLDER:
+        for i, c in enumerate(settings, 1):
+            found = F.regexp_extract(folder, pattern, i).try_cast("bigint" if c == "timesteps" else "double")
+            out[c] = F.coalesce(F.col(c).try_cast("double"), found) if c in df.columns else found
+    if "gamma" not in df.columns:
+        out["gamma"] = F.lit(None).cast("double")
+    return df.withColumns(out)
+
+
+def rank_runs(summary: DataFrame, order: list[str | Column]) -> DataFrame:
+    """Runs against naive, ranked: the last row of each configuration by ``order``, ``rank_score`` (four average ranks added up), ``position`` (more flags first,
+    then the smaller score) and ``flagged``, whether any flag is set. Configurations are the same if their numbers agree to ten digits.
+
+    A row is a run, so there are as many as configurations were tried.
+    """
+    rounded = {f"_k_{c}": F.round(F.col(c).cast("double"), 10) if c != "timesteps" else F.col(c).cast("double").cast("bigint") for c in CONFIG_KEY}
+    last = keep_last(summary.withColumns(rounded), list(rounded), order).drop(*rounded)
+    score = sum((average_rank(c, [], descending=True) for c in ("diff_mean_pnl", "diff_es95", "diff_he")), average_rank("turnover_h", []))
+    ranked = last.withColumn("rank_score", score).withColumn("flagged", F.col("flags_total") > 0)
+    return ranked.withColumn("position", F.row_number().over(Window.orderBy(F.desc("flags_total"), F.asc_nulls_last("rank_score"), *CONFIG_KEY)))
+
+
 def config_key(floats: list[str], ints: list[str]) -> Column:
     """Grid point identity: floats to ten digits, whole step counts."""
     return F.concat_ws("|", *[F.format_string("%.10f", F.col(c).cast("double")) for c in floats],

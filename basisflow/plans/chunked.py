@@ -82,7 +82,7 @@ def in_chunks(df: DataFrame, key: str, order: str, recursion: Recursion, start:
     wide = df.select(key, order, *recursion.inputs)
     wide = wide.withColumn("_at", F.unix_date(order) if types[order] == "date" else F.col(order))
     # written, since a recomputed quantile could cut elsewhere
-    cut = written(sub_buckets(wide, [key], "_at", "_chunk", max(2, -(-longest // rows))).drop("_at"), "chunks")
+    cut = written(sub_buckets(wide, [key], "_at", "_chunk", max(2, -(-longest // rows)), least=0).drop("_at"), "chunks")
 
     def summarise(group: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         _, x = _ordered(pdf, order, recursion.inputs)

@@ -55,3 +55,14 @@ def listing(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
         f = files.next()
         found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
     return sorted(found)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file with this text, in place of what was there, through the file system that serves the path."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()

@@ -28,15 +28,21 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> Dat
     return _pick(df, keys, order, last=False)
 
 
-def sub_buckets(df: DataFrame, groups: list[str], order: str, out: str = "_b", cuts: int = 64) -> DataFrame:
+def sub_buckets(df: DataFrame, groups: list[str], order: str, out: str = "_b", cuts: int = 64, least: int = 100_000) -> DataFrame:
     """Bucket numbers that rise with ``order`` inside each group, so that a large group can be ordered piece by piece.
 
-    Cut points are approximate quantiles of the order column, of its first seven bytes if it is text. Equal values share a bucket.
+    Cut points are approximate quantiles of the order column, of its first seven bytes if it is text. Equal values share a bucket. Groups of at most
+    ``least`` rows stay whole.
     """
+    large = df.groupBy(*groups).agg(F.count("*").alias("_rows")).where(F.col("_rows") > least).drop("_rows")
+    if least and large.isEmpty():
+        return df.withColumn(out, F.lit(0))
     if dict(df.dtypes)[order] == "string":
         at = F.conv(F.rpad(F.hex(F.substring(F.col(order).cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("double")
     else:
         at = F.col(order).cast("double")
     d = df.withColumn("_at", F.coalesce(at, F.lit(float("-inf"))))
-    points = d.groupBy(*groups).agg(F.array_distinct(F.percentile_approx("_at", [i / cuts for i in range(1, cuts)], 1000)).alias("_points"))
-    return _join_keys(d, points, groups).withColumn(out, F.size(F.filter("_points", lambda p: p < F.col("_at")))).drop("_at", "_points")
+    inside = _join_keys(d, large.withColumn("_large", F.lit(True)), groups, "inner") if least else d
+    points = inside.groupBy(*groups).agg(F.array_distinct(F.percentile_approx("_at", [i / cuts for i in range(1, cuts)], 1000)).alias("_points"))
+    below = F.coalesce(F.size(F.filter("_points", lambda p: p < F.col("_at"))), F.lit(0))
+    return _join_keys(d, points, groups).withColumn(out, F.when(F.col("_points").isNull(), 0).otherwise(below)).drop("_at", "_points")

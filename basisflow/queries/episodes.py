@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from basisflow.operators import episodes, metrics, splits
+from basisflow.operators import episodes, metrics, report, splits
 from basisflow.plans.intervals import points_in_intervals
 from basisflow.plans.quantiles import exact_quantiles, exact_quantiles_of
 from basisflow.queries import base
@@ -212,6 +212,55 @@ def _(spark, sf):
     return m.withColumn("rank_score", r("a", [], True) + r("b", [], True) + r("c", [], True) + r("t", []))
 
 
+# runs with the settings in their folder's name; every third configuration was run twice, the later row with other figures
+add_cte("runs", """
+    SELECT *, 'runs/x/exp_T' || t || '_s1_hmin0.0_hmax' || hx || '_dh0.25_wLPM' || wl || '_wVOL0.5_wCOST' || wc || '_tau' || tau || '/' AS run_dir FROM (
+      SELECT v.*, attempt, CASE WHEN exposure_id = 'N' THEN 100000 ELSE 200000 END AS t, CASE WHEN strategy = 'naive' THEN '1.5' ELSE '2.0' END AS hx,
+             CASE strategy WHEN 'nohedge' THEN '1' WHEN 'naive' THEN '1.0' WHEN 'ols_static' THEN '2e0' ELSE '0.5' END AS wl,
+             CASE WHEN exposure_id < '3' THEN '0.1' ELSE '1E-1' END AS wc, length(exposure_id) || '.5' AS tau
+      FROM vsn v, (SELECT unnest([0, 1]) AS attempt) WHERE attempt = 0 OR strategy = 'ols_roll')""")
+
+
+def _runs(spark, sf):
+    m = _vsn(spark, sf).withColumn("attempt", F.explode(F.when(F.col("strategy") == "ols_roll", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    e, s = F.col("exposure_id"), F.col("strategy")
+    name = F.concat(F.lit("runs/x/exp_T"), F.when(e == "N", "100000").otherwise("200000"), F.lit("_s1_hmin0.0_hmax"), F.when(s == "naive", "1.5").otherwise("2.0"),
+                    F.lit("_dh0.25_wLPM"), F.when(s == "nohedge", "1").when(s == "naive", "1.0").when(s == "ols_static", "2e0").otherwise("0.5"),
+                    F.lit("_wVOL0.5_wCOST"), F.when(e < "3", "0.1").otherwise("1E-1"), F.lit("_tau"), F.length(e).cast("string"), F.lit(".5/"))
+    return report.run_folder_settings(m.withColumn("run_dir", name), "run_dir")
+
+
+@query("P16_run_folder", "exposure_id:s strategy:s attempt:i timesteps:i h_min:f6 h_max:f6 delta_h:f6 w_lpm:f6 w_volatility:f6 w_cost:f6 lpm_target:f6 gamma:f6", """
+    SELECT exposure_id, strategy, attempt, t AS timesteps, 0.0 AS h_min, CAST(hx AS DOUBLE) AS h_max, 0.25 AS delta_h, CAST(wl AS DOUBLE) AS w_lpm, 0.5 AS w_volatility,
+           CAST(wc AS DOUBLE) AS w_cost, CAST(tau AS DOUBLE) AS lpm_target, NULL AS gamma FROM runs""", "runs")
+def _(spark, sf):
+    return _runs(spark, sf)
+
+
+def _score(c, d=""):
+    return f"rank() OVER (ORDER BY {c} {d}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
+
+
+@query("A23_run_summary", "w_lpm:f6 lpm_target:f6 timesteps:i exposure_id:s strategy:s flags_total:i rank_score:f2 position:i flagged:i", f"""
+    WITH k AS (SELECT *, CAST(wl AS DOUBLE) AS w_lpm, CAST(wc AS DOUBLE) AS w_cost, CAST(tau AS DOUBLE) AS lpm_target FROM runs),
+    l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY w_lpm, w_cost, lpm_target, t ORDER BY exposure_id DESC, strategy DESC, attempt DESC) AS rn FROM k) WHERE rn = 1),
+    r AS (SELECT *, {_score('diff_mean_pnl', 'DESC')} + {_score('diff_es95', 'DESC')} + {_score('diff_he', 'DESC')} + {_score('turnover_h')} AS rank_score FROM l)
+    SELECT w_lpm, lpm_target, t AS timesteps, exposure_id, strategy, flags_total, rank_score, CAST(flags_total > 0 AS INT) AS flagged,
+           row_number() OVER (ORDER BY flags_total DESC, rank_score, w_lpm, 0.5, w_cost, 0.25, t, lpm_target) AS position FROM r""", "runs")
+def _(spark, sf):
+    return report.rank_runs(_runs(spark, sf), ["exposure_id", "strategy", "attempt"])
+
+
+@query("A9_episode_actions", "scenario_id:s strategy:s action_counts:s n_actions:i top_share:f8", """
+    WITH a AS (SELECT scenario_id, strategy, CAST(sign(round(h_t - h_prev, 6)) AS INT) AS a FROM tdays),
+    c AS (SELECT scenario_id, strategy, a, count(*) AS n FROM a GROUP BY 1, 2, 3)
+    SELECT scenario_id, strategy, '{' || string_agg('"' || a || '": ' || n, ', ' ORDER BY a) || '}' AS action_counts, count(*) AS n_actions, max(n) / sum(n) AS top_share
+    FROM c GROUP BY 1, 2""", "tdays")
+def _(spark, sf):
+    log = base.step_log(spark, sf).withColumn("action", F.signum(F.round(F.col("h_t") - F.col("h_prev"), 6)).cast("int"))
+    return episodes.action_statistics(log, ["scenario_id", "strategy"], "action")
+
+
 add_cte("ev", """SELECT *, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k, (value - 60) * 1000 AS pnl FROM events""")
 add_cte("trial", """
     SELECT m.*, e.unique_actions, e.entropy, CASE WHEN unique_actions > 1 THEN e.entropy / ln(unique_actions) ELSE 0 END AS entropy_norm

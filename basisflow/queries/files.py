@@ -84,6 +84,31 @@ def _(spark, sf):
         F.count_if(F.col("source_file").contains("scenario_kind=")).alias("from_bucket"))
 
 
+@query("S8_committed_parts", "part:s exposure_id:s n:i net:f4", """
+    SELECT strategy AS part, exposure_id, count(*) AS n, sum(net_pnl_total) AS net FROM results WHERE NOT (strategy = 'naive' AND exposure_id < '3') GROUP BY 1, 2""", "results")
+def _(spark, sf):
+    """One part per strategy; one is written twice, the second time with fewer buckets, and one writer dies before its note."""
+    path, r = _folder(spark, "parts"), base.results(spark, sf)
+    sinks.write_part(r.where("strategy = 'naive'"), path, "naive")
+    for s in ("nohedge", "ols_static", "ols_roll"):
+        sinks.write_part(r.where(F.col("strategy") == s), path, s)
+    sinks.write_part(r.where("strategy = 'naive' AND exposure_id >= '3'"), path, "naive")
+    r.where("strategy = 'ols_roll'").limit(5).write.parquet(f"{path}/part=ols_roll/run=unfinished")
+    return readers.read_parts(spark, path).groupBy("part", "exposure_id").agg(F.count("*").alias("n"), F.sum("net_pnl_total").alias("net"))
+
+
+@query("S1_mixed_encodings", "series_id:s label:s n:i total:f4", """
+    SELECT series_id, 'Köln ' || series_id AS label, count(*) AS n, sum(price) AS total FROM panel GROUP BY 1""", "panel")
+def _(spark, sf):
+    """A folder of CSV files, some UTF-8 and some latin-1, all read right."""
+    path = _folder(spark, "mixed.csv")
+    p = base.panel(spark, sf).select("series_id", F.concat(F.lit("Köln "), "series_id").alias("label"), "price")
+    p.where("series_id < '3'").write.option("header", True).csv(path)
+    p.where("series_id >= '3'").write.mode("append").option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    t = readers.read_table(spark, path)
+    return t.groupBy("series_id", "label").agg(F.count("*").alias("n"), F.sum(F.col("price").cast("double")).alias("total"))
+
+
 @query("S9_window_union", "window_id:s split:s n:i turnover:f4", """
     SELECT strategy AS window_id, 'test' AS split, count(*) AS n, sum(CASE WHEN strategy = 'naive' THEN 0 ELSE turnover_contracts END) AS turnover
     FROM results GROUP BY 1""", "results")

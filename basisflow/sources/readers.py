@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from basisflow.functions.core import null_text, to_day
 from basisflow.operators.report import exposure_of, oracle_kind, strategy_name, window_of
-from basisflow.plans.lineage import listing
+from basisflow.plans.lineage import listing, written
 from basisflow.plans.ordered import keep_first, keep_last
 
 # ---- fixed values: file and column names in use ----
@@ -57,15 +57,30 @@ def date_column(columns: list[str]) -> str:
     raise ValueError(f"no date column among {columns}")
 
 
+def _decoded(name: str) -> str:
+    """A header read byte by byte, as UTF-8 if it is that."""
+    raw = name.encode("latin-1")
+    try:
+        return raw.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        return raw.removeprefix(b"\xef\xbb\xbf").decode("latin-1")
+
+
 def _csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with header as text columns; falls back to latin-1 when UTF-8 leaves broken characters."""
-    read = lambda enc: spark.read.option("header", True).option("encoding", enc).csv(path)
-    df = read("UTF-8")
-    lines = spark.read.text(path).select(F.col("value").cast("binary").alias("raw"))
-    # bytes that are no UTF-8, not the sign that stands for them: a valid file may hold that sign
-    if not lines.where(~F.is_valid_utf8("raw")).isEmpty():
-        df = read("ISO-8859-1")
-    return df.withColumnsRenamed({c: c.lstrip("﻿").replace("ï»¿", "") for c in df.columns})
+    """CSV with header as text columns; each file is UTF-8 (with or without its mark) if all of it is, else latin-1.
+
+    The text is parsed once, one character per byte, which both encodings allow since separators, quotes and line ends are ASCII, and kept as
+    Parquet with the file of each row. Whether a file is valid UTF-8 is then an aggregate per file, and its columns are read anew from their bytes.
+    """
+    text = spark.read.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    names = [_decoded(c) for c in text.columns]
+    columns = [F.col(f"`{c}`") for c in text.columns]
+    raw = written(text.select(F.col("_metadata.file_path").alias("file"), F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).alias("row")), "csv")
+    latin = lambda c: F.encode(c, "ISO-8859-1")
+    cells = [F.col(f"row.c{i}") for i in range(len(names))]
+    valid = raw.groupBy("file").agg(F.bool_and(F.is_valid_utf8(latin(F.concat_ws("\n", *cells)))).alias("utf8"))
+    both = raw.join(valid.withColumnRenamed("file", "_file"), F.col("file") == F.col("_file"))
+    return both.select(*[F.when(F.col("utf8"), F.decode(latin(c), "UTF-8")).otherwise(c).alias(n) for c, n in zip(cells, names, strict=True)])
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -159,6 +174,20 @@ def read_results(spark: SparkSession, paths: list[str], text: tuple[str, ...] =
     return df.withColumn("source_file", F.col("_metadata.file_path"))
 
 
+def read_parts(spark: SparkSession, path: str) -> DataFrame:
+    """The committed runs of ``sinks.write_part``: one run of each part, with the part's name as ``part``."""
+    notes = [f for f, size, _ in listing(spark, f"{path}/_commits") if size]
+    if not notes:
+        raise FileNotFoundError(f"no committed part under {path}")
+    # one short note per part
+    told = spark.read.option("wholetext", True).text(notes).select(F.col("_metadata.file_name").alias("part"), F.trim("value").alias("run")).collect()
+    folders = [f"{path}/part={r.part}/run={r.run}" for r in told]
+    found = spark.read.option("basePath", path).option("mergeSchema", True).parquet(*folders)
+    texts = ("exposure_id", "scenario_kind", "part", "run")
+    schema = StructType([StructField(f.name, StringType()) if f.name in texts else f for f in found.schema.fields])
+    return spark.read.schema(schema).option("basePath", path).parquet(*folders).drop("run")
+
+
 def union_windows(spark: SparkSession, parts: dict[str, str], defaults: dict[str, object]) -> DataFrame:
     """Per-window outputs as one table; columns a part lacks take their default."""
     out = None

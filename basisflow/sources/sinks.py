@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from basisflow.plans.lineage import put_text
 from basisflow.sources.readers import read_results
 
 
@@ -31,9 +33,23 @@ def append_results(df: DataFrame, path: str) -> None:
     _by_bucket(align_columns(df, read_results(df.sparkSession, [path]).drop("source_file")), path, "append")
 
 
+def write_part(df: DataFrame, path: str, part: str) -> None:
+    """Add a part (a window, a run, a day) to a result table; the same part written again takes the place of the first.
+
+    Rows go to a folder of their own, and only then a note names that folder as the part's run. A writer that dies leaves the part as it was; a
+    retry writes a new folder; readers (``readers.read_parts``) follow the notes and see each part once and whole.
+    """
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", part) or part.startswith(("_", ".")):
+        raise ValueError(f"part name {part!r}: letters, digits, '_', '.' and '-' only, the first a letter or digit")
+    run = uuid.uuid4().hex
+    _by_bucket(df, f"{path}/part={part}/run={run}", "errorifexists")
+    put_text(df.sparkSession, f"{path}/_commits/{part}", run)
+
+
 def write_report_csv(df: DataFrame, path: str, order: list[str]) -> None:
-    """A small report table as one ordered CSV."""
-    df.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A report table as CSV files in order: rows are dealt by ranges of the order columns, so part files follow each other and no task sorts them all;
+    a small report ends up in one file."""
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("header", True).csv(path)
 
 
 def safe_names(columns: list[str], keep: str = "Date") -> dict[str, str]:
