@@ -268,15 +268,18 @@ def common_scenarios(df: DataFrame, bucket: list[str]) -> DataFrame:
     """Trades covered by every strategy of their bucket.
 
     A bucket with one strategy, or with no common trade, stays as it is; strategies without ids do not count. A trade's strategies are gathered
-    in one aggregate and compared with the bucket's number; the rows then meet the full trades, which are placed by the same keys already.
+    in one narrow aggregate, which tells the buckets that have a common trade, and once more in the only exchange of the rows themselves.
     """
     has_id = F.col("scenario_id").isNotNull()
     facts = df.groupBy(*bucket).agg(F.size(F.collect_set(F.when(has_id, F.col("strategy")))).alias("_need"), F.size(F.collect_set("strategy")).alias("_all"))
     per_trade = df.where(has_id).groupBy(*bucket, "scenario_id").agg(F.size(F.collect_set("strategy")).alias("_n"))
-    full = _join_keys(per_trade, facts.where("_all > 1"), bucket, "inner").where("_n = _need").select(*bucket, "scenario_id", F.lit(True).alias("_in"))
-    tight = full.groupBy(*bucket).agg(F.lit(True).alias("_tight"))
-    flagged = _join_keys(_join_keys(df, tight, bucket), full, [*bucket, "scenario_id"])
-    return flagged.where("_tight IS NULL OR _in").drop("_in", "_tight")
+    tight = _join_keys(per_trade, facts.where("_all > 1"), bucket, "inner").where("_n = _need").groupBy(*bucket).agg(F.max("_need").alias("_full"))
+    # rows without an id are spread, they are no trade
+    salt = F.when(~has_id, F.pmod(F.monotonically_increasing_id(), F.lit(4096)))
+    same_trade = Window.partitionBy(*bucket, "scenario_id", "_salt")
+    counted = df.withColumn("_salt", salt).withColumn("_n", F.size(F.collect_set("strategy").over(same_trade))).drop("_salt")
+    flagged = _join_keys(counted, tight, bucket)
+    return flagged.where(F.col("_full").isNull() | (has_id & (F.col("_n") == F.col("_full")))).drop("_n", "_full")
 
 
 def run_grid(exposures: DataFrame, kinds: list[str], windowed: dict[str, list[int]], plain: list[str]) -> DataFrame:
