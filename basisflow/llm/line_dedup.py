@@ -72,8 +72,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     marks = (single.select("key", "digest").join(repeated.withColumnRenamed("digest", "_digest"), F.col("digest") == F.col("_digest"))
              .where("key > first or key is null").groupBy("key").agg(F.collect_set("digest").alias("_marks")))
     # the row travels in one struct: no column of it can clash with a name used here
-    rows = kept.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("row"), docs[key].alias("key"), docs[text].alias("text"))
-    joined = rows.join(marks.withColumnRenamed("key", "_key"), F.col("key").eqNullSafe(F.col("_key")), "left")
+    rows = kept.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("row"), docs[key].alias("key"))
+    joined = rows.join(marks.withColumnRenamed("key", "_key"), F.col("key").eqNullSafe(F.col("_key")), "left").select("row", "_marks", F.col("row")[text].alias("text"))
 
     def judged(chunks: Column) -> Column:
         bodies = F.transform(chunks, lambda c: c["body"])

@@ -193,11 +193,13 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id",
     queries = {k: q for k, q in queries.items() if q}
     kept = without(docs, "found")
     # the input row travels in one struct: no column of it can clash with a name used here
-    rows = kept.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("row"), docs[key].alias("key"), F.coalesce(docs[text], F.lit("")).alias("body"))
+    rows = kept.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("row"), docs[key].alias("key"))
+    body = F.coalesce(F.col("row")[text], F.lit("")).alias("body")
     if queries:
         grams = sorted({g for q in queries.values() for c in q for g in c})
-        near = candidates(build_index(rows.select("key", "body"), grams, "key", "body"), queries)
+        near = candidates(build_index(rows.select("key", body), grams, "key", "body"), queries)
         rows = rows.join(near.withColumnRenamed("key", "near_key"), F.col("key") == F.col("near_key"), "left")
+    rows = rows.select("*", body)
     parts = []
     for i, r in enumerate(rules):
         spans = _spans(F.col("body"), r, i)
