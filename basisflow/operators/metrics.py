@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basisflow.plans.keys import _join_keys
+from basisflow.plans.lineage import written
 from basisflow.plans.ordered import sub_buckets
 from basisflow.plans.quantiles import exact_quantiles, quantile_table
 
@@ -126,7 +127,12 @@ def group_metrics(df: DataFrame, keys: list[str], alpha: float = 0.95, tau: floa
 
 
 def add_effectiveness(m: DataFrame, bench_keys: list[str], fallback_keys: list[str] | None = None) -> DataFrame:
-    """Variance of the unhedged strategy in the same bucket, its fallback average, and effectiveness."""
+    """Variance of the unhedged strategy in the same bucket, its fallback average, and effectiveness.
+
+    The metric rows, one per group, are written first: a second evaluation may add up a variance in another order, and the unhedged
+    strategy would then differ from itself in the last digit.
+    """
+    m = written(m, "metrics")
     parts = ("net", "gross", "spot")
     no = m.where(F.lower("strategy").isin(*NO_HEDGE))
     base = no.groupBy(*bench_keys).agg(*[F.avg(f"var_{p}").alias(f"var_unhedged_{p}") for p in parts])
