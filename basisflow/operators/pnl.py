@@ -164,15 +164,13 @@ def summaries(rows: DataFrame, strategies: list[Strategy], keys: list[str], cfg:
         n, np_ = c("n"), c("np")
         aggs += [
             F.sum(c("fut")).alias(f"{s.name}__a"), F.sum(c("ct")).alias(f"{s.name}__b"),
-            F.sum(c("cr")).alias(f"{s.name}__c"),
+            F.sum(c("cr")).alias(f"{s.name}__c"), F.sum(c("net")).alias(f"{s.name}__d"),
             F.sum(F.abs(n - np_)).cast("double").alias(f"{s.name}__e"),
             F.sum(F.abs(c("h") - c("hp"))).alias(f"{s.name}__f"),
             F.sum(F.when(F.col("roll") != 0, 2.0 * F.abs(n)).otherwise(0.0)).alias(f"{s.name}__g"),
             F.max(F.abs(n)).alias(f"{s.name}__i"),
             F.min(c("eq") - c("pk")).alias(f"{s.name}__j")]
     flat = rows.groupBy("scenario_id", *[k for k in keys if k != "scenario_id"]).agg(*aggs)
-    flat = flat.withColumns({f"{s.name}__d": F.col("spot_pnl_total") + F.col(f"{s.name}__a")
-                             - F.col(f"{s.name}__b") - F.col(f"{s.name}__c") for s in strategies})
     out = _stack(flat, [*keys, "n_days", "spot_pnl_total"], strategies, {
         "a": "fut_pnl_total", "b": "cost_trade_total", "c": "cost_roll_total", "d": "net_pnl_total",
         "e": "turnover_contracts", "f": "turnover_h", "g": "roll_contracts", "i": "max_abs_contracts",

@@ -2,10 +2,13 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from basisflow.operators import metrics
+from basisflow.queries import base
 
+SF = "/root/testdata/sf0.001"
 
 
 def test_the_unhedged_strategy_never_differs_from_itself(spark):
@@ -15,3 +18,12 @@ def test_the_unhedged_strategy_never_differs_from_itself(spark):
     m = m.withColumns({f"var_{p}": noisy() for p in ("net", "gross", "spot")})
     got = {r.strategy: r for r in metrics.add_effectiveness(m, ["exposure_id"], ["exposure_id"]).collect()}
     assert got["nohedge"].he_net_vs_nohedge == got["nohedge"].he_gross_vs_nohedge == got["nohedge"].he_spot_vs_nohedge == 0.0
+
+
+def test_net_total_is_the_sum_of_the_days_in_order(spark):
+    """To the last digit: distinct values are counted."""
+    daily = {}
+    for r in base.daily(spark, SF).select("scenario_id", "strategy", "pos", "net_pnl").orderBy("scenario_id", "strategy", "pos").collect():
+        daily[r.scenario_id, r.strategy] = daily.get((r.scenario_id, r.strategy), 0.0) + r.net_pnl
+    got = {(r.scenario_id, r.strategy): r.net_pnl_total for r in base.results_plan(spark, SF).select("scenario_id", "strategy", "net_pnl_total").collect()}
+    assert got == daily and len(got) > 1000
