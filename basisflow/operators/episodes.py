@@ -72,18 +72,23 @@ def rolling_risk(log: DataFrame, r: str, window: int = 20, target: float = 0.0,
         "step_lpm": short if order <= 1 else F.pow(short, F.lit(order))})
 
 
-def path_signals(log: DataFrame, pnl: str, n: int, z_of: str, z_rows: int = 253) -> DataFrame:
+def zscore(x: str, keys=EP, rows: int = 253) -> Column:
+    """Distance from the mean of the last ``rows`` days of the episode in their deviations."""
+    z = _w(keys).rowsBetween(-(rows - 1), 0)
+    return (F.col(x) - F.avg(x).over(z)) / F.greatest(F.stddev_pop(x).over(z), F.lit(1e-12))
+
+
+def path_signals(log: DataFrame, pnl: str, n: int, z_of: str | None, z_rows: int = 253) -> DataFrame:
     """Last n losses in a row, recent sum, convex rise of the cumulative P&L (its last n - 1 steps are
-    gains and the latest is at least their mean), and a z-score."""
+    gains and the latest is at least their mean), and a z-score, unless the log has it already."""
     w = _w()
     f = w.rowsBetween(-(n - 1), 0)
     enough = F.count(pnl).over(f) >= n
     g = w.rowsBetween(-(n - 2), 0)
-    z = w.rowsBetween(-(z_rows - 1), 0)
+    signals = {"zscore": zscore(z_of, rows=z_rows)} if z_of else {}
     return log.withColumns({
-        "all_negative": (enough & (F.max(pnl).over(f) < 0)).cast("int"), "recent_sum": F.sum(pnl).over(f),
-        "convex_rise": F.coalesce((enough & (F.min(pnl).over(g) > 0) & (F.col(pnl) >= F.avg(pnl).over(g))), F.lit(False)).cast("int"),
-        "zscore": (F.col(z_of) - F.avg(z_of).over(z)) / F.greatest(F.stddev_pop(z_of).over(z), F.lit(1e-12))})
+        **signals, "all_negative": (enough & (F.max(pnl).over(f) < 0)).cast("int"), "recent_sum": F.sum(pnl).over(f),
+        "convex_rise": F.coalesce((enough & (F.min(pnl).over(g) > 0) & (F.col(pnl) >= F.avg(pnl).over(g))), F.lit(False)).cast("int")})
 
 
 def episode_summary(log: DataFrame, keys: list[str]) -> DataFrame:

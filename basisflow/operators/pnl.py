@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from basisflow.functions.core import clip, half_away, half_even
 from basisflow.operators import paths
 from basisflow.operators.hedge import Strategy
-from basisflow.operators.windows import bounds, unfold
+from basisflow.operators.windows import bounds, by_scenario, unfold
 
 
 @dataclass(frozen=True)
@@ -89,8 +89,7 @@ def trade_days(trades: DataFrame, cal: DataFrame, days: DataFrame, strategies: l
         days = s.prepare(days)
     cols, _, _ = _plan_columns(strategies, cfg)
     b = _placed(trades, cal, days, strategies, cfg)
-    # a fixed count: each narrow partition unfolds to many times its size
-    b = b.repartition(int(b.sparkSession.conf.get("spark.sql.shuffle.partitions")), "scenario_id")
+    b = by_scenario(b)
     seen = [s for s in strategies if getattr(s, "paths", None)]
     if seen:
         b = paths.with_paths(b, days, seen)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basisflow.functions.core import month_key, short_sha1, uniform_int
-from basisflow.operators.windows import bounds, realise_end, unfold
+from basisflow.operators.windows import bounds, by_scenario, realise_end, unfold
 from basisflow.plans.lineage import written
 
 # ---- fixed values ----
@@ -123,7 +123,7 @@ def price_ends(trades: DataFrame, cal: DataFrame) -> DataFrame:
 def physical_path(trades: DataFrame, cal: DataFrame, days: DataFrame) -> DataFrame:
     """High, low, drawdown, adverse excursion and missed upside over the holding window."""
     b = bounds(trades, cal).select("scenario_id", "exposure_id", "volume_bbl", "pos0", "pos1")
-    b = b.repartition(int(b.sparkSession.conf.get("spark.sql.shuffle.partitions")), "scenario_id")
+    b = by_scenario(b)
     rows = unfold(b, days, ["spot"])
     w = Window.partitionBy("scenario_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("peak", F.max("spot").over(w))

@@ -14,6 +14,7 @@ from basisflow.operators.returns import diff0
 
 MIN_REALIZED = 15
 HISTORY_ROWS = 2520
+DAYS_A_TASK = 250_000
 
 
 def market_calendar(uni: DataFrame, series: DataFrame) -> DataFrame:
@@ -79,17 +80,27 @@ def bounds(trades: DataFrame, cal: DataFrame, start_cols: list[str] = (), end_co
     return j.where((F.col("window_dropped_nan_rows") == 0) | (F.col("window_rows") >= 2)).drop("_i0", "_i1")
 
 
+def by_scenario(trades: DataFrame, most: int | None = None) -> DataFrame:
+    """Narrow trade rows with pos0 and pos1, hashed by scenario into as many tasks as keep each at about ``most`` unfolded days.
+
+    A task sorts the days of its trades, once more for every strategy where these are stacked: it should hold them in memory whatever the size of the table.
+    """
+    n = trades.agg(F.sum(F.col("pos1") - F.col("pos0") + 1)).first()[0] or 0
+    least = int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return trades.repartition(max(least, -(-n // (most or DAYS_A_TASK))), "scenario_id")
+
+
 def unfold(trades: DataFrame, days: DataFrame, cols: list[str], paths: tuple[str, ...] = ()) -> DataFrame:
     """One row per trade and usable day in its window.
 
-    Sorted while still narrow: a broadcast join keeps that order, so running sums per trade need no
-    later sort of wide rows. Of each array column in ``paths`` a day gets its own element (``_now``) and the one before (``_before``).
+    Sorted as soon as a trade has its days, before the columns of the strategies widen the rows (a sort below the join would be dropped by Catalyst), so
+    running sums per trade need no later sort. Of each array column in ``paths`` a day gets its own element (``_now``) and the one before (``_before``).
     """
     day = F.col("pos") - F.col("pos0")
     each = trades.withColumn("pos", F.explode(F.sequence("pos0", "pos1"))).withColumns(
         {f"{p}_{when}": F.get(p, (day - back).cast("int")) for p in paths for when, back in (("now", 0), ("before", 1))})
-    each = each.drop(*paths).sortWithinPartitions("scenario_id", "pos")
-    return each.join(days.select("exposure_id", "pos", "d", *cols), ["exposure_id", "pos"])
+    rows = each.drop(*paths).join(days.select("exposure_id", "pos", "d", *cols), ["exposure_id", "pos"])
+    return rows.sortWithinPartitions("scenario_id", "pos")
 
 
 def history_bounds(trades: DataFrame, rows: int = HISTORY_ROWS) -> DataFrame:

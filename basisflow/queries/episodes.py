@@ -65,7 +65,8 @@ def _(spark, sf):
       WINDOW f AS ({_EP} ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), g AS ({_EP} ORDER BY pos ROWS BETWEEN 1 PRECEDING AND CURRENT ROW),
              z AS ({_EP} ORDER BY pos ROWS BETWEEN 252 PRECEDING AND CURRENT ROW)) GROUP BY 1, 2""", "slog")
 def _(spark, sf):
-    r = episodes.path_signals(base.step_log(spark, sf), "net_pnl", 3, "spot")
+    log = base.step_log(spark, sf, {"zscore": episodes.zscore("spot", ["scenario_id"])})
+    r = episodes.path_signals(log, "net_pnl", 3, None)
     return r.groupBy("scenario_id", "strategy").agg(F.sum("all_negative").alias("n_negative"), F.sum("convex_rise").alias("n_convex"),
                                                      F.max_by("recent_sum", "pos").alias("recent_last"), F.max("zscore").alias("z_max"))
 

@@ -2,10 +2,9 @@
 
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
-from basisflow.operators import metrics
+from basisflow.operators import metrics, windows
 from basisflow.queries import base
 
 SF = "/root/testdata/sf0.001"
@@ -27,3 +26,20 @@ def test_net_total_is_the_sum_of_the_days_in_order(spark):
         daily[r.scenario_id, r.strategy] = daily.get((r.scenario_id, r.strategy), 0.0) + r.net_pnl
     got = {(r.scenario_id, r.strategy): r.net_pnl_total for r in base.results_plan(spark, SF).select("scenario_id", "strategy", "net_pnl_total").collect()}
     assert got == daily and len(got) > 1000
+
+
+def test_tasks_stay_small_however_many_trades(spark):
+    """Ten times the trade days, ten times the tasks; few of them still fill the tasks there are."""
+    t = spark.range(1000).select(F.col("id").cast("string").alias("scenario_id"), F.lit(1).alias("pos0"), F.lit(30).alias("pos1"))
+    assert windows.by_scenario(t, 1000).rdd.getNumPartitions() == 30
+    assert windows.by_scenario(t.union(t), 1000).rdd.getNumPartitions() == 60
+    assert windows.by_scenario(t).rdd.getNumPartitions() == 8
+    assert windows.by_scenario(t.where("false")).rdd.getNumPartitions() == 8
+
+
+def test_days_are_sorted_before_strategies_widen_them(spark):
+    """One sort in the plan of the result table, on rows without strategy columns; the windows need no other."""
+    plan = base.results_plan(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    at = [i for i, line in enumerate(lines) if "Sort [" in line]
+    assert len(at) == 1 and "BroadcastHashJoin" in "".join(lines[at[0] + 1:at[0] + 3])
