@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basisflow.operators import pnl
+from basisflow.operators.hedge import Strategy
 from basisflow.plans.keys import _join_keys
 from basisflow.plans.ordered import sub_buckets
 from basisflow.plans.quantiles import exact_quantiles, exact_quantiles_of
@@ -78,6 +80,38 @@ def zscore(x: str, keys=EP, rows: int = 253) -> Column:
     return (F.col(x) - F.avg(x).over(z)) / F.greatest(F.stddev_pop(x).over(z), F.lit(1e-12))
 
 
+def zscore_peaks(trades: DataFrame, days: DataFrame, x: str, rows: int = 253) -> DataFrame:
+    """Largest z-score of a trade so far, for each start (exposure_id, pos0) that trades have: an array by days since the start.
+
+    Trades that start together share their days, so the rows are bounded by the calendar and the longest trade, not by the number of trades.
+    """
+    starts = trades.groupBy("exposure_id", "pos0").agg(F.max("pos1").alias("pos1"))
+    each = starts.withColumn("pos", F.explode(F.sequence("pos0", "pos1"))).join(days.select("exposure_id", "pos", x), ["exposure_id", "pos"])
+    key = ["exposure_id", "pos0"]
+    each = each.withColumn("_z", zscore(x, key, rows)).withColumn("_top", F.max("_z").over(_upto(_w(key))))
+    z = F.transform(F.array_sort(F.collect_list(F.struct("pos", "_top"))), lambda r: r["_top"])
+    return each.groupBy(*key).agg(z.alias("z_peaks"))
+
+
+def signals_of(rows: DataFrame, columns: dict[str, str], n: int, keys: list[str]) -> DataFrame:
+    """``path_signals`` of several P&L columns side by side, as ``<name>__all_negative``, ``<name>__recent_sum`` and ``<name>__convex_rise``.
+
+    The last n values are looked up once, in the order of the trade; no frame is gone through again for each row.
+    """
+    w = _w(keys)
+    rows = rows.withColumns({f"{name}__lag{i}": F.lag(p, i).over(w) for name, p in columns.items() for i in range(1, n)})
+    out = {}
+    for name, p in columns.items():
+        last = [F.col(p), *[F.col(f"{name}__lag{i}") for i in range(1, n)]]
+        some = lambda cs: reduce(lambda a, b: a + b, [c.isNotNull().cast("int") for c in cs])
+        total = lambda cs: F.when(some(cs) > 0, reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0.0)) for c in reversed(cs)]))
+        of = lambda f, cs: f(*cs) if len(cs) > 1 else cs[0]
+        enough, gains = some(last) >= n, last[:n - 1]
+        out |= {f"{name}__all_negative": (enough & (of(F.greatest, last) < 0)).cast("int"), f"{name}__recent_sum": total(last),
+                f"{name}__convex_rise": F.coalesce(enough & (of(F.least, gains) > 0) & (F.col(p) >= total(gains) / some(gains)), F.lit(False)).cast("int")}
+    return rows.withColumns(out).drop(*[f"{name}__lag{i}" for name in columns for i in range(1, n)])
+
+
 def path_signals(log: DataFrame, pnl: str, n: int, z_of: str | None, z_rows: int = 253) -> DataFrame:
     """Last n losses in a row, recent sum, convex rise of the cumulative P&L (its last n - 1 steps are
     gains and the latest is at least their mean), and a z-score, unless the log has it already."""
@@ -91,23 +125,44 @@ def path_signals(log: DataFrame, pnl: str, n: int, z_of: str | None, z_rows: int
         "convex_rise": F.coalesce((enough & (F.min(pnl).over(g) > 0) & (F.col(pnl) >= F.avg(pnl).over(g))), F.lit(False)).cast("int")})
 
 
+def _own_totals(c) -> dict[str, Column]:
+    """What an episode summary adds up per strategy; ``c`` gives the column of a name."""
+    h, dh, dn = c("h_t"), F.abs(c("h_t") - c("h_prev")), F.abs(c("n_t") - c("n_prev"))
+    return {
+        "total_pnl": F.sum(c("net_pnl")), "futures_pnl": F.sum(c("fut_pnl")), "decision_cost": F.sum(c("cost_trade")), "roll_cost": F.sum(c("cost_roll")),
+        "mean_h": F.avg(h), "max_h": F.max(h), "min_h": F.min(h), "h_std": F.stddev_pop(h), "h_abs_mean": F.avg(F.abs(h)),
+        "h_nonzero_share": F.avg((h != 0).cast("double")), "turnover_h": F.sum(dh), "turnover_contracts": F.sum(dn).cast("double"),
+        "final_equity": F.max_by(c("equity"), F.col("pos")), "mdd": F.min(c("equity") - c("peak")),
+        "win_vs_naive": F.avg((c("net_pnl") > F.col("spot_pnl") + _naive_fut()).cast("double"))}
+
+
+def _naive_fut() -> Column:
+    return -F.rint(F.col("volume_bbl") / 1000) * F.col("pnl_1c")
+
+
+def _shared_totals() -> dict[str, Column]:
+    """What is the same for all strategies."""
+    return {"steps": F.count("*"), "physical_pnl": F.sum("spot_pnl"), "roll_days": F.sum("roll_flag"), "no_hedge_pnl": F.sum("spot_pnl"),
+            "naive_fut_pnl": F.sum(_naive_fut()), "naive_pnl": F.sum(F.col("spot_pnl") + _naive_fut())}
+
+
 def episode_summary(log: DataFrame, keys: list[str]) -> DataFrame:
     """One row per episode with its unhedged and naive benchmarks, in a single aggregate.
 
     Episodes sum on the map side; the last equity is taken by position, so no order is assumed.
     """
-    s = lambda c, o: F.sum(c).alias(o)
-    naive = -F.rint(F.col("volume_bbl") / 1000)
-    h, dh, dn = F.col("h_t"), F.abs(F.col("h_t") - F.col("h_prev")), F.abs(F.col("n_t") - F.col("n_prev"))
-    naive_fut = naive * F.col("pnl_1c")
-    return log.groupBy(*keys).agg(
-        F.count("*").alias("steps"), s("net_pnl", "total_pnl"), s("spot_pnl", "physical_pnl"), s("fut_pnl", "futures_pnl"),
-        s("cost_trade", "decision_cost"), s("cost_roll", "roll_cost"), F.avg(h).alias("mean_h"), F.max(h).alias("max_h"), F.min(h).alias("min_h"),
-        F.stddev_pop(h).alias("h_std"), F.avg(F.abs(h)).alias("h_abs_mean"), F.avg((h != 0).cast("double")).alias("h_nonzero_share"),
-        F.sum(dh).alias("turnover_h"), F.sum(dn).cast("double").alias("turnover_contracts"), F.sum("roll_flag").alias("roll_days"),
-        F.max_by("equity", "pos").alias("final_equity"), F.min(F.col("equity") - F.col("peak")).alias("mdd"),
-        s("spot_pnl", "no_hedge_pnl"), F.sum(naive_fut).alias("naive_fut_pnl"), F.sum(F.col("spot_pnl") + naive_fut).alias("naive_pnl"),
-        F.avg((F.col("net_pnl") > F.col("spot_pnl") + naive_fut).cast("double")).alias("win_vs_naive"))
+    return log.groupBy(*keys).agg(*[v.alias(k) for k, v in (_shared_totals() | _own_totals(F.col)).items()])
+
+
+def episode_summaries(rows: DataFrame, keys: list[str], strategies: list[Strategy]) -> DataFrame:
+    """``episode_summary`` of side-by-side trade days: summed per trade first, so that trades and not days are stacked.
+
+    ``keys`` are columns of a trade; a row has them and ``strategy``.
+    """
+    rows = pnl.equity(rows, strategies)
+    own = [v.alias(f"{s.name}__{k}") for s in strategies for k, v in _own_totals(pnl.side(s)).items()]
+    flat = rows.groupBy(*keys).agg(*[v.alias(k) for k, v in _shared_totals().items()], *own)
+    return pnl.stack(flat, [*keys, *_shared_totals()], strategies, {k: k for k in _own_totals(F.col)})
 
 
 def action_statistics(log: DataFrame, keys: list[str], action: str) -> DataFrame:

@@ -125,27 +125,36 @@ def trade_days(trades: DataFrame, cal: DataFrame, days: DataFrame, strategies: l
                              - F.col(f"{s.name}__ct") - F.col(f"{s.name}__cr") for s in strategies})
 
 
-def _equity(rows: DataFrame, strategies: list[Strategy]) -> DataFrame:
+def equity(rows: DataFrame, strategies: list[Strategy]) -> DataFrame:
+    """Running net P&L and its peak per trade, side by side."""
     w = Window.partitionBy("scenario_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({f"{s.name}__eq": F.sum(f"{s.name}__net").over(w) for s in strategies})
     return rows.withColumns({f"{s.name}__pk": F.max(f"{s.name}__eq").over(w) for s in strategies})
 
 
-def _stack(df: DataFrame, keep: list[str], strategies: list[Strategy], fields: dict[str, str]) -> DataFrame:
+def stack(df: DataFrame, keep: list[str], strategies: list[Strategy], fields: dict[str, str]) -> DataFrame:
     """Side-by-side strategy columns to one row per strategy."""
     each = [F.struct(F.lit(s.name).alias("strategy"),
                      *[F.col(f"{s.name}__{src}").alias(out) for src, out in fields.items()]) for s in strategies]
     return df.select(*keep, F.explode(F.array(*each)).alias("_s")).select(*keep, "_s.*")
 
 
+#: daily columns of a strategy, side by side (``<strategy>__<key>``) and stacked
+DAILY = {"h": "h_t", "hp": "h_prev", "n": "n_t", "np": "n_prev", "fut": "fut_pnl", "ct": "cost_trade", "cr": "cost_roll", "net": "net_pnl", "eq": "equity", "pk": "peak"}
+
+
+def side(strategy: Strategy):
+    """Column of a strategy in side-by-side rows by the name it has once stacked; columns that all strategies share keep theirs."""
+    own = {out: f"{strategy.name}__{src}" for src, out in DAILY.items()}
+    return lambda name: F.col(own.get(name, name))
+
+
 def daily_paths(rows: DataFrame, strategies: list[Strategy], keep: list[str] = ()) -> DataFrame:
     """Daily path per trade and strategy."""
-    rows = _equity(rows, strategies)
+    rows = equity(rows, strategies)
     base = ["scenario_id", "exposure_id", "pos", "pos0", "d", "spot", "fut", "d_spot", "d_fut", "volume_bbl",
             "roll_flag", "spot_pnl", *keep]
-    out = _stack(rows, base, strategies, {
-        "h": "h_t", "hp": "h_prev", "n": "n_t", "np": "n_prev", "fut": "fut_pnl", "ct": "cost_trade",
-        "cr": "cost_roll", "net": "net_pnl", "eq": "equity", "pk": "peak"})
+    out = stack(rows, base, strategies, DAILY)
     return out.withColumns({
         "turnover_contracts": F.abs(F.col("n_t") - F.col("n_prev")).cast("double"),
         "turnover_h": F.abs(F.col("h_t") - F.col("h_prev"))})
@@ -156,7 +165,7 @@ def summaries(rows: DataFrame, strategies: list[Strategy], keys: list[str], cfg:
 
     ``keys`` are trade columns, constant per scenario; grouping by them too keeps the placement.
     """
-    rows = _equity(rows, strategies)
+    rows = equity(rows, strategies)
     aggs: list[Column] = [F.count("*").alias("n_days"), F.sum("spot_pnl").alias("spot_pnl_total")]
     for s in strategies:
         c = lambda x: F.col(f"{s.name}__{x}")
@@ -170,7 +179,7 @@ def summaries(rows: DataFrame, strategies: list[Strategy], keys: list[str], cfg:
             F.max(F.abs(n)).alias(f"{s.name}__i"),
             F.min(c("eq") - c("pk")).alias(f"{s.name}__j")]
     flat = rows.groupBy("scenario_id", *[k for k in keys if k != "scenario_id"]).agg(*aggs)
-    out = _stack(flat, [*keys, "n_days", "spot_pnl_total"], strategies, {
+    out = stack(flat, [*keys, "n_days", "spot_pnl_total"], strategies, {
         "a": "fut_pnl_total", "b": "cost_trade_total", "c": "cost_roll_total", "d": "net_pnl_total",
         "e": "turnover_contracts", "f": "turnover_h", "g": "roll_contracts", "i": "max_abs_contracts",
         "j": "mdd_equity"})

@@ -103,17 +103,22 @@ def daily(spark, sf_dir, cfg=pnl.PnlConfig()):
     return pnl.daily_paths(trade_days(spark, sf_dir, cfg), STRATEGIES)
 
 
-def step_log(spark, sf_dir, more=None):
+def steps(spark, sf_dir):
+    """Trade days, strategies side by side, with the contract-correct P&L of a contract, nothing on the first day."""
+    first = F.col("pos") == F.col("pos0")
+    return trade_days(spark, sf_dir).withColumn("pnl_1c", F.when(first, 0.0).otherwise(F.coalesce("pnl_1c", F.lit(0.0))))
+
+
+def step_log(spark, sf_dir):
     """Daily rows of every trade and strategy with the notional of the day before, 1 at least: the step log of the episode analytics.
 
-    What is the same for all strategies is computed before they are stacked, on rows that lie in the order of their trade; ``more`` names further such columns.
+    What is the same for all strategies is computed before they are stacked, on rows that lie in the order of their trade.
     """
-    rows = trade_days(spark, sf_dir)
-    first, w = F.col("pos") == F.col("pos0"), Window.partitionBy("scenario_id").orderBy("pos")
-    rows = rows.withColumns({"pnl_1c": F.when(first, 0.0).otherwise(F.coalesce("pnl_1c", F.lit(0.0))),
-                             "notional": F.greatest(F.abs((F.col("spot") - F.coalesce("d_spot", F.lit(0.0))) * F.col("volume_bbl")), F.lit(1.0))})
-    rows = rows.withColumns({"notional0": F.first("notional").over(w), **(more or {})})
-    return pnl.daily_paths(rows, STRATEGIES, ["pnl_1c", "scenario_kind", "notional", "notional0", *(more or {})])
+    w = Window.partitionBy("scenario_id").orderBy("pos")
+    rows = steps(spark, sf_dir).withColumn(
+        "notional", F.greatest(F.abs((F.col("spot") - F.coalesce("d_spot", F.lit(0.0))) * F.col("volume_bbl")), F.lit(1.0)))
+    rows = rows.withColumn("notional0", F.first("notional").over(w))
+    return pnl.daily_paths(rows, STRATEGIES, ["pnl_1c", "scenario_kind", "notional", "notional0"])
 
 
 def results_plan(spark, sf_dir, cfg=pnl.PnlConfig()):

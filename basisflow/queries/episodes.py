@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from basisflow.operators import episodes, metrics, report, splits
+from basisflow.operators import episodes, metrics, pnl, report, splits, windows
 from basisflow.plans.intervals import points_in_intervals
+from basisflow.plans.lineage import written
 from basisflow.plans.quantiles import exact_quantiles, exact_quantiles_of
 from basisflow.queries import base
 from basisflow.queries.registry import query
@@ -65,10 +66,15 @@ def _(spark, sf):
       WINDOW f AS ({_EP} ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), g AS ({_EP} ORDER BY pos ROWS BETWEEN 1 PRECEDING AND CURRENT ROW),
              z AS ({_EP} ORDER BY pos ROWS BETWEEN 252 PRECEDING AND CURRENT ROW)) GROUP BY 1, 2""", "slog")
 def _(spark, sf):
-    log = base.step_log(spark, sf, {"zscore": episodes.zscore("spot", ["scenario_id"])})
-    r = episodes.path_signals(log, "net_pnl", 3, None)
-    return r.groupBy("scenario_id", "strategy").agg(F.sum("all_negative").alias("n_negative"), F.sum("convex_rise").alias("n_convex"),
-                                                     F.max_by("recent_sum", "pos").alias("recent_last"), F.max("zscore").alias("z_max"))
+    names = [s.name for s in base.STRATEGIES]
+    z = episodes.zscore_peaks(windows.bounds(base.trades(spark, sf), base.calendar(spark, sf)), base.days(spark, sf), "spot")
+    z = written(z, "zscores")  # Spark broadcasts it or not by its true size
+    r = episodes.signals_of(base.trade_days(spark, sf), {s: f"{s}__net" for s in names}, 3, ["scenario_id"])
+    flat = r.groupBy("scenario_id", "exposure_id", "pos0", "pos1").agg(*[a.alias(f"{s}__{k}") for s in names for k, a in (
+        ("n_negative", F.sum(f"{s}__all_negative")), ("n_convex", F.sum(f"{s}__convex_rise")), ("recent_last", F.max_by(f"{s}__recent_sum", "pos")))])
+    flat = flat.join(z, ["exposure_id", "pos0"]).withColumn("z_max", F.get("z_peaks", (F.col("pos1") - F.col("pos0")).cast("int")))
+    out = pnl.stack(flat, ["scenario_id", "z_max"], base.STRATEGIES, {k: k for k in ("n_negative", "n_convex", "recent_last")})
+    return out.select("scenario_id", "strategy", "n_negative", "n_convex", "recent_last", "z_max")
 
 
 _EK = ["scenario_id", "scenario_kind", "exposure_id", "strategy"]

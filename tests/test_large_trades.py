@@ -4,8 +4,11 @@ import random
 
 from pyspark.sql import functions as F
 
-from basisflow.operators import metrics, windows
+import pytest
+
+from basisflow.operators import episodes, metrics, windows
 from basisflow.queries import base
+from basisflow.queries.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,3 +46,43 @@ def test_days_are_sorted_before_strategies_widen_them(spark):
     lines = plan.splitlines()
     at = [i for i, line in enumerate(lines) if "Sort [" in line]
     assert len(at) == 1 and "BroadcastHashJoin" in "".join(lines[at[0] + 1:at[0] + 3])
+
+
+def sorts(df):
+    """Sort operators of a plan, from the top."""
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Sort [" in line]
+
+
+def test_path_signals_sort_no_stacked_rows(spark):
+    """Trade days are sorted once, not once more for each strategy: the only sort is that of the narrow days."""
+    found = sorts(QUERIES["W40_path_signals"](spark, SF))
+    assert len(found) == 1 and "strategy" not in found[0]
+
+
+@pytest.mark.parametrize("n", [2, 3, 5])
+def test_signals_side_by_side_are_those_of_stacked_rows(spark, n):
+    rng = random.Random(n)
+    rows = [(f"t{t}", pos, *[None if rng.random() < 0.1 else round(rng.uniform(-1, 1.5), 3) for _ in "ab"]) for t in range(40) for pos in range(1 + t % 12)]
+    wide = spark.createDataFrame(rows, "scenario_id string, pos long, a__net double, b__net double")
+    made = ("all_negative", "recent_sum", "convex_rise")
+    got = {(r.scenario_id, s, r.pos): tuple(r[f"{s}__{k}"] for k in made)
+           for r in episodes.signals_of(wide, {"a": "a__net", "b": "b__net"}, n, ["scenario_id"]).collect() for s in "ab"}
+    long = wide.select("scenario_id", "pos", F.expr("stack(2, 'a', a__net, 'b', b__net) AS (strategy, p)"))
+    same = lambda x: (x[0] or 0, None if x[1] is None else round(x[1], 9), x[2])
+    want = {(r.scenario_id, r.strategy, r.pos): tuple(r[k] for k in made) for r in episodes.path_signals(long, "p", n, None).collect()}
+    assert {k: same(v) for k, v in got.items()} == {k: same(v) for k, v in want.items()} and len(got) > 300
+
+
+def test_largest_zscore_so_far_by_start(spark):
+    """Against a loop; two trades that start together and a window shorter than the longer one."""
+    x = [3.0, 5.0, 4.0, 9.0, 1.0, 7.0, 7.5, 2.0]
+    days = spark.createDataFrame([("e", i + 1, v) for i, v in enumerate(x)], "exposure_id string, pos long, spot double")
+    trades = spark.createDataFrame([("e", 1, 7), ("e", 1, 3), ("e", 4, 4)], "exposure_id string, pos0 long, pos1 long")
+    got = {r.pos0: r.z_peaks for r in episodes.zscore_peaks(trades, days, "spot", 4).collect()}
+
+    def z(values):
+        mean = sum(values) / len(values)
+        return (values[-1] - mean) / max((sum((v - mean) ** 2 for v in values) / len(values)) ** 0.5, 1e-12)
+    for first, last in ((1, 7), (4, 4)):
+        each = [z(x[max(first - 1, i - 3):i + 1]) for i in range(first - 1, last)]
+        assert got[first] == pytest.approx([max(each[:i + 1]) for i in range(len(each))])
