@@ -86,3 +86,15 @@ def test_largest_zscore_so_far_by_start(spark):
     for first, last in ((1, 7), (4, 4)):
         each = [z(x[max(first - 1, i - 3):i + 1]) for i in range(first - 1, last)]
         assert got[first] == pytest.approx([max(each[:i + 1]) for i in range(len(each))])
+
+
+def test_episodes_sum_before_they_are_stacked(spark):
+    """Trades and not days are stacked: the rows that meet the strategies are already one for each trade. Same rows as from the stacked step log."""
+    keys = ["scenario_id", "scenario_kind", "exposure_id"]
+    wide = episodes.episode_summaries(base.steps(spark, SF), keys, base.STRATEGIES)
+    for df in (wide, QUERIES["A21_overall_means"](spark, SF)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.index("explode(array(") < plan.rindex("HashAggregate") and len(sorts(df)) == 1
+    long = episodes.episode_summary(base.step_log(spark, SF), [*keys, "strategy"])
+    rows = lambda df: sorted(tuple(v if v is None or isinstance(v, str) else round(float(v), 6) for v in r) for r in df.select(*long.columns).collect())
+    assert rows(wide) == rows(long)
