@@ -56,6 +56,23 @@ def uniform_int(lo: int, hi: int, *parts: Column) -> Column:
     return (uniform_bits(*parts) % F.lit(hi - lo + 1) + F.lit(lo)).cast("long")
 
 
+def hex_number(text: Column, digits: int) -> Column:
+    """Hex digits as a whole number, in the same order. Numbers, unlike texts, let a hash aggregate find extremes without a sort."""
+    part = lambda at, n: F.conv(F.substring(text, at, n), 16, 10).cast("long").cast("decimal(20,0)")
+    low = digits - 15
+    return part(1, digits) if low <= 0 else (part(1, 15) * F.lit(16 ** low) + part(16, low)).cast("decimal(38,0)")
+
+
+def hex_text(number: Column, digits: int) -> Column:
+    """The lower-case hex digits of ``hex_number``."""
+    part = lambda x, n: F.lower(F.lpad(F.hex(x.cast("long")), n, "0"))
+    low = digits - 15
+    if low <= 0:
+        return part(number, digits)
+    rest = number % F.lit(16 ** low)
+    return F.concat(part((number - rest) / F.lit(16 ** low), 15), part(rest, low))
+
+
 def to_day(c: Column) -> Column:
     """Calendar day of a date text or timestamp; NULL when it cannot be read."""
     return F.to_date(F.try_to_timestamp(c.cast("string")))

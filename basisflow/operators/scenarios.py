@@ -19,6 +19,7 @@ HORIZON, VOLUME = (20, 40), (500_000, 1_500_000)
 TRADES_PER_MONTH = {"SMALL": (1, 3), "MEDIUM": (4, 8), "LARGE": (9, 15)}
 CANDIDATES_PER_DAY = 10
 MONTHLY_BOUNDS = (3, 10)
+MONTHS_A_TASK = 100_000  # months of companies, each of up to 15 trades
 # ---- end of fixed values ----
 
 
@@ -83,31 +84,34 @@ def company_trades(companies: DataFrame, starts: DataFrame, days: DataFrame, see
 
     A company (company_id, company_size, exposure_id) meets the short list of valid days of each month
     by equi-join on its exposure and picks its days by hash order inside that list, so the number of
-    companies only adds rows, never group size. The outer explode keeps Catalyst from computing the
-    pick a second time as a filter; a pick is never empty.
+    companies only adds rows, never group size. Texts of dates, which the hashes need, are made once in the calendar. The outer explode
+    keeps Catalyst from computing the pick a second time as a filter; a pick is never empty.
     """
     months = starts.groupBy("exposure_id", month_key(F.col("d")).alias("month")).agg(
-        F.array_sort(F.collect_list("d")).alias("days"))
+        F.array_sort(F.collect_list("d")).cast("array<string>").alias("days"))
     months = written(months, "month_days")  # Spark broadcasts it or not by its true size
-    parts = int(companies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = months.groupBy("exposure_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    parts = max(int(companies.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-companies.count() * each // MONTHS_A_TASK))
     t = companies.repartition(parts, "company_id").join(months, "exposure_id")
     pick = F.lit(None).cast("long")
     for size, (lo, hi) in TRADES_PER_MONTH.items():
         pick = F.when(F.col("company_size") == size,
                       uniform_int(lo, hi, F.lit(seed), F.col("company_id"), F.col("month"), F.lit("N"))).otherwise(pick)
-    # one digest per company and month holds four hex digits for each of up to 31 days
-    text = lambda n: F.sha2(F.concat_ws("|", F.lit(seed), F.col("company_id"), F.col("month"), F.lit(n)).cast("binary"), 256)
-    t = t.withColumn("digest", F.concat(text("1"), text("2")))
     t = t.where(F.size("days") <= F.when(F.size("days") > 32, F.raise_error(F.lit("a month with over 32 days: its digest has no draw for all"))).otherwise(32))
-    ordered = F.array_sort(F.transform("days", lambda d, i: F.struct(F.substring(F.col("digest"), i * 4 + 1, 4).alias("h"), d.alias("d"))))
+    # one digest per company and month holds four hex digits for each of up to 31 days; as a variable of the outer lambda it is computed once, not for each day
+    text = lambda n: F.sha2(F.concat_ws("|", F.lit(seed), F.col("company_id"), F.col("month"), F.lit(n)).cast("binary"), 256)
+    draws = F.get(F.transform(F.array(F.concat(text("1"), text("2"))), lambda g: F.transform("days", lambda d, i: F.substring(g, i * 4 + 1, 4))), 0)
+    ordered = F.sort_array(F.arrays_zip(draws.alias("h"), F.col("days")))  # by the digits, then by the date
     t = t.withColumn("chosen", F.slice(ordered, F.lit(1), F.least(pick, F.size("days")).cast("int")))
     t = t.select("exposure_id", "company_id", "company_size", "month", F.explode_outer("chosen").alias("c"))
-    t = t.select("exposure_id", "company_id", "company_size", "month", F.col("c.d").alias("start_date"))
-    k = [F.lit(seed), F.col("company_id"), F.col("start_date")]
-    t = t.withColumns({"horizon_days_target": uniform_int(*HORIZON, *k, F.lit("H")).cast("int"),
+    t = t.select("exposure_id", "company_id", "company_size", "month", F.col("c.days").alias("start_text"))
+    k = [F.lit(seed), F.col("company_id"), F.col("start_text")]
+    t = t.withColumns({"start_date": F.col("start_text").cast("date"), "horizon_days_target": uniform_int(*HORIZON, *k, F.lit("H")).cast("int"),
                        "volume_bbl": uniform_int(*VOLUME, *k, F.lit("Q"))})
-    ok = realise_end(t, days).where(F.col("data_coverage_flag") != "REJECTED")
-    return with_ids(ok, "company", company=True)
+    named = written(days.withColumn("end_text", F.col("trade_d").cast("string")), "day_texts")
+    ok = realise_end(t, named, more=("end_text",)).where(F.col("data_coverage_flag") != "REJECTED")
+    sid = scenario_id(F.col("exposure_id"), F.lit("company"), F.col("start_text"), F.col("end_text"), F.col("volume_bbl"), F.col("company_id"))
+    return ok.withColumns({"scenario_kind": F.lit("company"), "scenario_id": sid}).drop("start_text", "end_text")
 
 
 def price_ends(trades: DataFrame, cal: DataFrame) -> DataFrame:

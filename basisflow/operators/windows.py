@@ -52,10 +52,10 @@ def day_map(cal: DataFrame, key: str = "exposure_id") -> DataFrame:
         "trade_d", F.last("trade_d", ignorenulls=True).over(w))
 
 
-def realise_end(trades: DataFrame, days: DataFrame, min_days: int = MIN_REALIZED) -> DataFrame:
-    """End date and coverage flag of trades asked for as (start_date, horizon_days_target)."""
+def realise_end(trades: DataFrame, days: DataFrame, min_days: int = MIN_REALIZED, more: tuple[str, ...] = ()) -> DataFrame:
+    """End date and coverage flag of trades asked for as (start_date, horizon_days_target); ``more`` names further columns of the day map to take along."""
     t = trades.withColumn("_target", F.date_add("start_date", F.col("horizon_days_target")))
-    m = days.select("exposure_id", F.col("cal_d").alias("_target"), F.col("trade_d").alias("_end"))
+    m = days.select("exposure_id", F.col("cal_d").alias("_target"), F.col("trade_d").alias("_end"), *more)
     j = t.join(m, ["exposure_id", "_target"], "left")
     realised = F.datediff(F.coalesce("_end", "_target"), "start_date")
     return j.withColumns({

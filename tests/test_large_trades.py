@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 import pytest
 
-from basisflow.operators import episodes, metrics, windows
+from basisflow.functions.core import hex_number, hex_text
+from basisflow.operators import episodes, metrics, scenarios, windows
 from basisflow.queries import base
 from basisflow.queries.registry import QUERIES
 
@@ -98,3 +99,30 @@ def test_episodes_sum_before_they_are_stacked(spark):
     long = episodes.episode_summary(base.step_log(spark, SF), [*keys, "strategy"])
     rows = lambda df: sorted(tuple(v if v is None or isinstance(v, str) else round(float(v), 6) for v in r) for r in df.select(*long.columns).collect())
     assert rows(wide) == rows(long)
+
+
+def test_company_trades_are_summed_without_a_sort(spark):
+    """One row per trade is neither sorted nor exchanged, and the two digests of a company's month are not computed once more for each day."""
+    df = QUERIES["G2_company_trades"](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not sorts(df) and "SortAggregate" not in plan
+    assert "transform(array(concat(sha2(" in plan
+
+
+def test_company_trades_take_more_tasks_for_more_companies(spark, monkeypatch):
+    monkeypatch.setattr(scenarios, "MONTHS_A_TASK", 10)
+    day = spark.sql("SELECT 'e' AS exposure_id, explode(sequence(DATE'2020-01-01', DATE'2020-12-31')) AS d")
+    firms = spark.range(100).select(F.concat(F.lit("C"), "id").alias("company_id"), F.lit("SMALL").alias("company_size"), F.lit("e").alias("exposure_id"))
+    t = scenarios.company_trades(firms, day, windows.day_map(day), "s")
+    assert "hashpartitioning(company_id" in t._jdf.queryExecution().executedPlan().toString() and t.rdd.getNumPartitions() == 120
+    assert t.groupBy("company_id", "month").agg(F.count("*").alias("n"), F.count_distinct("start_date").alias("k")).where("n <> k OR n > 3").isEmpty()
+
+
+def test_hex_numbers_keep_order_and_digits(spark):
+    rng = random.Random(3)
+    texts = ["0" * 20, "f" * 20, "8" + "0" * 19, "0" * 19 + "1", "00000000000000f00000", *["".join(rng.choice("0123456789abcdef") for _ in range(20)) for _ in range(200)]]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("n", hex_number(F.col("t"), 20))
+    rows = df.withColumn("back", hex_text(F.col("n"), 20)).collect()
+    assert all(r.t == r.back for r in rows) and [r.t for r in sorted(rows, key=lambda r: r.n)] == sorted(texts)
+    short = spark.createDataFrame([("00ff",)], "t string").select(hex_text(hex_number(F.col("t"), 4), 4).alias("b")).first().b
+    assert short == "00ff"
