@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from math import prod
 from typing import Any
 
 import numpy as np
@@ -39,7 +40,7 @@ OTHER = 0
 PAD = VOCAB
 _STEP, _MOST, _LEARNER, _CHUNKS = 512, 8192, 1 << 20, 16
 _SHAPES = {"context": (4, VOCAB + 1, WIDTH), "b": (WIDTH,), "K": (CLASSES, WIDTH), "k": (CLASSES,), "W": (VOCAB, WIDTH), "w": (VOCAB,)}
-SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
+SIZE = sum(prod(s) for s in _SHAPES.values())
 
 
 def class_bounds(classes: int = CLASSES, vocab: int = VOCAB) -> np.ndarray:
@@ -60,7 +61,7 @@ def views(flat: np.ndarray) -> dict[str, np.ndarray]:
     """The parameter arrays inside one flat vector."""
     out, at = {}, 0
     for name, shape in _SHAPES.items():
-        n = int(np.prod(shape))
+        n = prod(shape)
         out[name] = flat[at:at + n].reshape(shape)
         at += n
     return out
@@ -146,7 +147,11 @@ def masked(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-_SAFE = 80.0  # exp of it is a float32
+_SAFE = 60.0  # exp of it, and sums of such over a tile, are float32
+_TILE = 4096  # examples whose logits stay near a core
+_PIECE = 1 << 14  # parameters whose Adam state does
+_ALONE = np.diff(BOUNDS)[_CLASS] == 1
+_PAIRS = np.arange((VOCAB + 1) * WIDTH // 2).reshape(VOCAB + 1, WIDTH // 2)  # places of an id's row, in complex numbers
 
 
 def _columns(x: np.ndarray) -> list[np.ndarray]:
@@ -154,31 +159,68 @@ def _columns(x: np.ndarray) -> list[np.ndarray]:
     return list(np.ascontiguousarray(x.T).astype(np.intp))
 
 
-def _hidden(p, columns) -> np.ndarray:
-    """One column for each example, and a last row of ones that carries the biases."""
-    e = p["context"]
-    h = e[0].take(columns[0], axis=0)
+@dataclass
+class _Layer:
+    """Weights of one softmax. Where no logit can overflow the bias is a factor: exp(w h + b) = exp(b) exp(w h).
+    Otherwise the factor is 1, and the bias is in the exponent, less the largest of each example."""
+    weights: np.ndarray
+    bias: np.ndarray
+    safe: bool
+
+    def __post_init__(self):
+        self.factor = np.exp(self.bias) if self.safe else np.ones_like(self.bias)
+        self.scaled = self.weights * self.factor[:, None]
+
+    def exp(self, ids: slice, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+        """exp of the logits but for the factor, one column for each example; their sums with it; and what was taken off the logits."""
+        z, most = self.weights[ids] @ rows.T, 0.0
+        if not self.safe:
+            z += self.bias[ids][:, None]
+            most = z.max(0)
+            z -= most
+        np.exp(z, out=z)
+        return z, self.factor[ids] @ z, most
+
+    def add(self, ids: slice, rows: np.ndarray, toward: np.ndarray, g: np.ndarray, g_bias: np.ndarray) -> None:
+        """Adds the sums of softmax times ``rows`` and of softmax to ``g`` and ``g_bias``, but for the factor, and its mean weights to ``toward``."""
+        e, s, _ = self.exp(ids, rows)
+        e *= np.divide(1, s, out=s)
+        g[ids] += e @ rows
+        g_bias[ids] += e.sum(1)
+        toward += e.T @ self.scaled[ids]
+
+
+_ALL = slice(None)
+
+
+def _layers(p) -> tuple[_Layer, _Layer, np.ndarray, np.ndarray]:
+    """Classes and words; and for each id the weights and the bias of its class plus, unless it is alone there, its own."""
+    ones = np.ones(WIDTH, np.float32)
+    safe = max((np.abs(p[a]) @ ones + np.abs(p[b])).max() for a, b in (("K", "k"), ("W", "w"))) < _SAFE  # the hidden values lie in -1..1
+    own, bias = p["W"].copy(), p["w"].copy()
+    own[_ALONE], bias[_ALONE] = 0, 0
+    own += p["K"].take(_CLASS, axis=0)
+    bias += p["k"].take(_CLASS)
+    return _Layer(p["K"], p["k"], safe), _Layer(p["W"], p["w"], safe), own, bias
+
+
+def _hidden(tables: list[np.ndarray], columns: list[np.ndarray], out: np.ndarray) -> np.ndarray:
+    """One row for each example: tanh(x) = 1 - 2 / (exp(2 x) + 1)."""
+    tables[0].take(columns[0], axis=0, out=out, mode="clip")  # the other modes would buffer
     for i in (1, 2, 3):
-        h += e[i].take(columns[i], axis=0)
-    h += p["b"]
-    out = np.ones((WIDTH + 1, len(h)), np.float32)
-    np.tanh(h.T, out=out[:WIDTH])
+        out += tables[i].take(columns[i], axis=0)
+    out += out
+    with np.errstate(over="ignore"):
+        np.exp(out, out=out)
+    out += np.float32(1)
+    np.divide(np.float32(-2), out, out=out)
+    out += np.float32(1)
     return out
 
 
-def _layers(p) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Class and word weights with their biases as a last column, and whether no logit can overflow (the hidden values lie in -1..1)."""
-    classes, words = (np.column_stack([p[a], p[b]]).astype(np.float32) for a, b in (("K", "k"), ("W", "w")))
-    return classes, words, max(np.abs(classes).sum(1).max(), np.abs(words).sum(1).max()) < _SAFE
-
-
-def _weights(layer: np.ndarray, h: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray | float]:
-    """exp of the logits, less the largest of each column where they might overflow; and what was taken off."""
-    z = layer @ h
-    most = 0.0 if safe else z.max(0)
-    if not safe:
-        z -= most
-    return np.exp(z, out=z), most
+def _tables(p) -> list[np.ndarray]:
+    """Context rows by place, with the bias in the first."""
+    return [p["context"][0] + p["b"], *p["context"][1:]]
 
 
 def _by_class(token: np.ndarray) -> Iterator[tuple[slice, slice]]:
@@ -188,101 +230,101 @@ def _by_class(token: np.ndarray) -> Iterator[tuple[slice, slice]]:
         yield slice(BOUNDS[c], BOUNDS[c + 1]), slice(cuts[c], cuts[c + 1])
 
 
-def _own(classes: np.ndarray, words: np.ndarray, token: np.ndarray) -> np.ndarray:
-    """Weights of each token's class and, unless it is alone there, of the token itself."""
-    out = words.take(token, axis=0)
-    out[(np.diff(BOUNDS) == 1)[_CLASS[token]]] = 0
-    out += classes.take(_CLASS[token], axis=0)
-    return out
-
-
 def log_probabilities(flat: np.ndarray, x: np.ndarray) -> np.ndarray:
     """log p(token) for rows of ``masked``."""
     p, out = views(flat), np.zeros(len(x))
-    classes, words, safe = _layers(p)
-    for lo in range(0, len(x), 32 * _STEP):
-        part = x[lo:lo + 32 * _STEP]
-        order = np.argsort(part[:, 4], kind="stable")
-        columns = _columns(part[order])
-        token, h = columns[4], _hidden(p, columns)
+    classes, words, own, bias = _layers(p)
+    tables, order = _tables(p), np.argsort(x[:, 4], kind="stable")
+    for lo in range(0, len(x), _TILE):
+        part = order[lo:lo + _TILE]
+        columns = _columns(x.take(part, axis=0))
+        token, h = columns[4], _hidden(tables, columns, np.empty((len(part), WIDTH), np.float32))
         # logits of the tokens themselves, less the logarithms of both sums
-        logp = np.einsum("ij,ji->i", _own(classes, words, token), h).astype(float)
-        e, most = _weights(classes, h, safe)
-        logp -= np.log(e.sum(0)) + most
+        logp = (np.einsum("ij,ij->i", own.take(token, axis=0), h) + bias.take(token)).astype(float)
+        _, s, most = classes.exp(_ALL, h)
+        logp -= np.log(s) + most
         for ids, run in _by_class(token):
-            e, most = _weights(words[ids], h[:, run], safe)
-            logp[run] -= np.log(e.sum(0)) + most
-        out[lo + order] = logp
+            _, s, most = words.exp(ids, h[run])
+            logp[run] -= np.log(s) + most
+        out[part] = logp
     return out
 
 
-def _gradient(p, x) -> np.ndarray:
-    """Mean gradient of -log p over the rows of ``x``, sorted by token.
+def _add_rows(total: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+    """``total[id] += row``. Half of the tokens are ``OTHER``, so its rows are summed by a product; of the rest, two numbers are added at a time."""
+    rest = ids != OTHER
+    total[OTHER] += (~rest).astype(np.float32) @ rows
+    at = np.flatnonzero(rest)
+    np.add.at(total.reshape(-1).view(np.complex64), _PAIRS.take(ids.take(at), axis=0).reshape(-1), rows.take(at, axis=0).reshape(-1).view(np.complex64))
 
-    With e the exp of the logits and s their sums, softmax is e / s; the division is made on the narrow side, h / s, and not on e.
-    """
+
+def _gradient(p, x) -> np.ndarray:
+    """Mean gradient of -log p over the rows of ``x``, sorted by token."""
     flat = np.zeros(SIZE, np.float32)
-    g, n = views(flat), np.float32(len(x))
-    columns = _columns(x)
-    token, h = columns[4], _hidden(p, columns)
-    classes, words, safe = _layers(p)
-    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-    met = np.zeros((VOCAB, WIDTH + 1), np.float32)  # sums of h over each token
-    met[token[first]] = np.add.reduceat(h, first, axis=1).T
-    e, _ = _weights(classes, h, safe)
-    r = 1 / e.sum(0)
-    top = e @ (h * r).T - np.add.reduceat(met, BOUNDS[:-1], axis=0)
-    dh = (classes[:, :WIDTH].T @ e) * r
-    for ids, run in _by_class(token):
-        part = h[:, run]
-        e, _ = _weights(words[ids], part, safe)
-        r = 1 / e.sum(0)
-        deep = (e @ (part * r).T - met[ids]) / n
-        g["W"][ids], g["w"][ids] = deep[:, :WIDTH], deep[:, WIDTH]
-        dh[:, run] += (words[ids, :WIDTH].T @ e) * r
-    dh -= _own(classes, words, token)[:, :WIDTH].T
-    dh *= 1 - h[:WIDTH] * h[:WIDTH]
-    dh /= n
-    g["K"][...], g["k"][...] = top[:, :WIDTH] / n, top[:, WIDTH] / n
-    g["b"][...] = dh.sum(1)
-    rows = np.ascontiguousarray(dh.T)
+    g, tables, (classes, words, own, _) = views(flat), _tables(p), _layers(p)
+    columns, rows, slopes = _columns(x), np.empty((len(x), WIDTH), np.float32), np.empty((len(x), WIDTH), np.float32)
+    for lo in range(0, len(x), _TILE):
+        tile = slice(lo, lo + _TILE)
+        near, h, d = [c[tile] for c in columns], rows[tile], slopes[tile]
+        _hidden(tables, near, h)
+        np.negative(own.take(near[4], axis=0), out=d)
+        classes.add(_ALL, h, d, g["K"], g["k"])
+        for ids, run in _by_class(near[4]):
+            words.add(ids, h[run], d[run], g["W"], g["w"])
+        d *= 1 - h * h
+        g["b"] += np.ones(len(d), np.float32) @ d
     for i in range(4):
-        order = np.argsort(x[:, i], kind="stable")
-        ids = columns[i].take(order)
-        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        g["context"][i, ids[first]] = np.add.reduceat(rows.take(order, axis=0), first, axis=0)
+        _add_rows(g["context"][i], columns[i], slopes)
+    met = np.zeros((len(_CLASS), WIDTH), np.float32)  # sums of h over each token
+    _add_rows(met, columns[4], rows)
+    n = np.bincount(columns[4], minlength=len(_CLASS))
+    for layer, name, h, seen in ((classes, "k", np.add.reduceat(met, BOUNDS[:-1], axis=0), np.add.reduceat(n, BOUNDS[:-1])), (words, "w", met, n)):
+        g[name.upper()][...] = g[name.upper()] * layer.factor[:, None] - h
+        g[name][...] = g[name] * layer.factor - seen
+    g["W"][_ALONE], g["w"][_ALONE] = 0, 0
+    flat /= np.float32(len(x))
     return flat
 
 
 def train_local(flat: np.ndarray, blocks: Iterable[np.ndarray], rate: float, seed: int) -> tuple[np.ndarray, int]:
     """One Adam pass over the examples of all blocks, each in random order; and how many there were."""
     flat, rng, step, n = flat.copy(), np.random.default_rng(seed), 0, 0
-    m, v, move = (np.zeros(SIZE, np.float32) for _ in range(3))
+    m, v = np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32)
     for x in blocks:
-        order = rng.permutation(len(x))
+        order, token = rng.permutation(len(x)), np.ascontiguousarray(x[:, 4])
         size = min(max(len(x) // 20, _STEP), _MOST)
         for lo in range(0, len(x), size):
             step += 1
-            part = x[order[lo:lo + size]]
-            grad = _gradient(views(flat), part[np.argsort(part[:, 4], kind="stable")])
-            # Adam, without new arrays
-            np.multiply(grad, np.float32(0.1), out=move)
-            m *= np.float32(0.9)
-            m += move
-            np.square(grad, out=grad)
-            grad *= np.float32(0.01)
-            v *= np.float32(0.99)
-            v += grad
-            np.multiply(v, np.float32(1 / (1 - 0.99 ** step)), out=move)
-            np.sqrt(move, out=move)
-            move += np.float32(1e-8)
-            np.divide(m, move, out=move)
-            move *= np.float32(rate / (1 - 0.9 ** step))
-            flat -= move
+            part = order[lo:lo + size]
+            grad = _gradient(views(flat), x.take(part[np.argsort(token.take(part), kind="stable")], axis=0))
+            _adam(flat, m, v, grad, rate, step)
         n += len(x)
     return flat, n
 
 
+def _adam(flat: np.ndarray, m: np.ndarray, v: np.ndarray, grad: np.ndarray, rate: float, step: int) -> None:
+    """One step in place, piece by piece and without new arrays; ``grad`` is used up.
+
+    0.1 of the gradient is its share of m, and squared its share of v; the correction of v is taken out of the root.
+    """
+    root = np.sqrt(1 - 0.99 ** step)
+    floor, pace = np.float32(1e-8 * root), np.float32(rate * root / (1 - 0.9 ** step))
+    for lo in range(0, SIZE, _PIECE):
+        piece = slice(lo, lo + _PIECE)
+        own, first, second, move = flat[piece], m[piece], v[piece], grad[piece]
+        move *= np.float32(0.1)
+        first *= np.float32(0.9)
+        first += move
+        np.square(move, out=move)
+        second *= np.float32(0.99)
+        second += move
+        np.sqrt(second, out=move)
+        move += floor
+        np.divide(first, move, out=move)
+        move *= pace
+        own -= move
+
+
 def tokens(docs: DataFrame, known: np.ndarray, ids: np.ndarray, text: str = "text") -> DataFrame:
     """Ids of all tokens of all documents: n, ids and lengths of the texts of a block, chunk -1; and chunks of counts of spelled byte pairs."""
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -245,6 +246,71 @@ def test_lm_garbage_and_shuffled_text_score_below_clean_text(spark, monkeypatch)
     assert mean[0] > mean[1] + 0.5 and mean[1] > mean[2] > mean[3] + 5
 
 
+def _examples_of_two_tiles():
+    x = np.random.default_rng(2).integers(0, lm_score.VOCAB, (lm_score._TILE + 900, 5)).astype(np.uint16)
+    x[np.random.default_rng(3).random(x.shape) < 0.5] = lm_score.OTHER
+    x[:50, :2] = lm_score.PAD
+    return x[np.argsort(x[:, 4], kind="stable")]
+
+
+@pytest.mark.parametrize("size", [1, 30])  # 30: some logits are beyond what exp can hold
+def test_lm_gradient_over_tiles_matches_whole_matrices(size):
+    flat, x = lm_score.initial(4) * np.float32(size), _examples_of_two_tiles()
+    p = {k: v.astype(float) for k, v in lm_score.views(flat).items()}
+    assert lm_score._layers(lm_score.views(flat))[0].safe == (size == 1)
+    total = np.zeros(lm_score.SIZE)
+    g = lm_score.views(total)
+    h = np.tanh(sum(p["context"][i][x[:, i]] for i in range(4)) + p["b"])
+    own = np.searchsorted(lm_score.BOUNDS, x[:, 4], "right") - 1
+
+    def softmax(z, answer):
+        e = np.exp(z - z.max(1, keepdims=True))
+        e /= e.sum(1, keepdims=True)
+        e[np.arange(len(e)), answer] -= 1
+        return e
+
+    e = softmax(h @ p["K"].T + p["k"], own)
+    g["K"][...], g["k"][...], d = e.T @ h, e.sum(0), e @ p["K"]
+    for c in range(lm_score.CLASSES):
+        ids, run = slice(*lm_score.BOUNDS[c:c + 2]), own == c
+        e = softmax(h[run] @ p["W"][ids].T + p["w"][ids], x[run, 4] - lm_score.BOUNDS[c])
+        g["W"][ids], g["w"][ids] = e.T @ h[run], e.sum(0)
+        d[run] += e @ p["W"][ids]
+    d *= 1 - h * h
+    g["b"][...] = d.sum(0)
+    for i in range(4):
+        np.add.at(g["context"][i], x[:, i], d)
+    total /= len(x)
+    ours = lm_score.views(lm_score._gradient(lm_score.views(flat), x))
+    for name, plain in g.items():
+        assert np.abs(ours[name] - plain).max() < 1e-4 * np.abs(plain).max() + 1e-9, name
+
+
+def test_lm_adam_step_is_the_published_one():
+    rng = np.random.default_rng(5)
+    flat = lm_score.initial(5)
+    m, v, plain, mean, square = np.zeros_like(flat), np.zeros_like(flat), flat.astype(float), 0, 0
+    for step in range(1, 6):
+        grad = rng.normal(0, 0.01, lm_score.SIZE).astype(np.float32)
+        grad[::3] = 0
+        mean, square = 0.9 * mean + 0.1 * grad.astype(float), 0.99 * square + 0.01 * grad.astype(float) ** 2
+        plain = plain - 0.02 * (mean / (1 - 0.9 ** step)) / (np.sqrt(square / (1 - 0.99 ** step)) + 1e-8)
+        lm_score._adam(flat, m, v, grad, 0.02, step)
+        assert np.allclose(flat, plain, atol=1e-5)
+
+
+def test_lm_step_never_holds_all_logits():
+    """Weights of all classes for each example would alone be 4 * CLASSES bytes more."""
+    p, x = lm_score.views(lm_score.initial()), np.tile(_examples_of_two_tiles(), (8, 1))
+    x, peaks = x[np.argsort(x[:, 4], kind="stable")], []
+    for part in (x[::2], x):
+        tracemalloc.start()
+        lm_score._gradient(p, part)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert (peaks[1] - peaks[0]) / (len(x) - len(x[::2])) < 340
+
+
 # secrets
 
 def plain_spans(text):
