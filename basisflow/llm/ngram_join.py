@@ -15,7 +15,8 @@ Groups of copies are not expanded: neighbours within a cell and the cell's first
 trees then look only for pairs that join different components. Members that have such pairs are put into clusters of pairs that may link;
 each set goes to its cluster once, and the links that join components come back: a few rows for a member, never all pairs. A cell or
 cluster with more than ``CELL`` members is cut into blocks, and every
-pair of blocks is a task of its own, so no task grows with a token's frequency.
+pair of blocks is a task of its own, so no task grows with a token's frequency. Python gets ``BATCH_ROWS`` rows at a time, and what is made
+of them is sent on in pieces of about ``PIECE`` bytes: a row has a point for each of its cells, many times what came in.
 
 Null, empty or blank text: an empty set, linked with nothing. Rows that share a key are one document linked by any of its texts. A
 null key: the row comes back without links.
@@ -30,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basisflow.llm.common import Words, mix, packed_rows, packed_schema, partitions, text_blocks, to_partitions, unpack
+from basisflow.llm.common import Words, mix, packed_rows, packed_schema, partitions, small_batches, text_blocks, to_partitions, unpack
 from basisflow.llm.graph import components, local_components
 from basisflow.plans.lineage import written
 
 WORDS, CELL, LEAF, FAN, GROUPS, PER_GROUP = 5, 4096, 32, 8, 32, 4
 _odd = np.random.default_rng(77).integers(0, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 _BYTES = 4 << 20  # counts compared at a time
+BATCH_ROWS, PIECE = 1000, 8 << 20
 Share = tuple[int, int]  # threshold as a fraction, numerator and denominator
 
 
@@ -180,18 +182,27 @@ def _signatures(words: int):
 
 def _postings(words: int, share: Share, n_parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, tokens, owner, size = set(), [], [], 0
+
+        def packed():
+            every = np.concatenate(tokens)
+            return packed_rows((mix(every) % np.uint64(n_parts)).astype(np.int64), n_parts, every, np.concatenate(owner))
+
         for batch in batches:
-            ids, seen, tokens, owner = batch.column("id").to_numpy(), set(), [], []
+            ids = batch.column("id").to_numpy()
             for lo, _, data, starts in text_blocks(batch.column("text")):
                 for r, s in enumerate(ngram_sets(data, starts, words)):
                     name = digest(s)
                     if len(s) and name not in seen:
                         seen.add(name)
-                        tokens.append(s[:len(s) - -(-len(s) * share[0] // share[1]) + 1])
+                        tokens.append(s[:len(s) - -(-len(s) * share[0] // share[1]) + 1].copy())
                         owner.append(np.full(len(tokens[-1]), ids[lo + r]))
-            if tokens:
-                tokens, owner = np.concatenate(tokens), np.concatenate(owner)
-                yield packed_rows((mix(tokens) % np.uint64(n_parts)).astype(np.int64), n_parts, tokens, owner)
+                        size += 2 * tokens[-1].nbytes
+                if size >= PIECE:
+                    yield packed()
+                    seen, tokens, owner, size = set(), [], [], 0
+        if tokens:
+            yield packed()
     return run
 
 
@@ -226,26 +237,35 @@ def _cells(n_parts: int):
         for batch in batches:
             lists = batch.column("cells")
             inner, bounds = lists.flatten(), np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
-            row = np.repeat(np.arange(len(batch)), np.diff(bounds))
-            ids = batch.column("id").to_numpy()
-            at, cell, side = _block_pairs(ids[row], inner.field("members").to_numpy(), inner.field("token").to_numpy().view(np.uint64))
-            row = row[at]
-            n = batch.column("n").to_numpy()[row]
-            part = (cell % np.uint64(n_parts)).astype(np.int64)
+            owner = np.repeat(np.arange(len(batch)), np.diff(bounds))
+            ids, component, n = (batch.column(c).to_numpy() for c in ("id", "component", "n"))
+            members, token = inner.field("members").to_numpy(), inner.field("token").to_numpy().view(np.uint64)
             points = np.array(batch.column("point").to_pylist(), object)
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(n_parts + 1))
-            lines = []
-            for p in np.flatnonzero(np.diff(cuts)):
-                o = order[cuts[p]:cuts[p + 1]]
-                fields = (cell[o], ids[row[o]], batch.column("component").to_numpy()[row[o]], n[o].astype(np.int64), side[o])
-                lines.append((p, *[f.tobytes() for f in fields], b"".join(points[row[o]])))
-            if lines:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*lines, strict=True))],
-                                                 ["part", *[f"c{k}" for k in range(6)]])
+            weight = np.cumsum(-(-members // CELL) * np.array([len(p) + 33 for p in points])[owner])
+            begin = 0
+            while begin < len(owner):
+                # one member of a cell at least
+                end = max(begin + 1, int(np.searchsorted(weight, (weight[begin - 1] if begin else 0) + PIECE, "right")))
+                row = owner[begin:end]
+                at, cell, side = _block_pairs(ids[row], members[begin:end], token[begin:end])
+                row, begin = row[at], end
+                part = (cell % np.uint64(n_parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                cuts = np.searchsorted(part[order], np.arange(n_parts + 1))
+                lines = []
+                for p in np.flatnonzero(np.diff(cuts)):
+                    o = order[cuts[p]:cuts[p + 1]]
+                    fields = (cell[o], ids[row[o]], component[row[o]], n[row[o]].astype(np.int64), side[o])
+                    lines.append((p, *[f.tobytes() for f in fields], b"".join(points[row[o]])))
+                yield _packed_fields(lines)
     return run
 
 
+def _packed_fields(lines: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*lines, strict=True))],
+                                      ["part", *[f"c{k}" for k in range(6)]])
+
+
 def _cells_of(cell: np.ndarray, *then: np.ndarray) -> Iterator[np.ndarray]:
     """Positions of each cell with two members at least."""
     order = np.lexsort([*then, cell])
@@ -295,15 +315,18 @@ def _with_sets(words: int, n_parts: int):
         for batch in batches:
             ids, component = batch.column("id").to_numpy(), batch.column("component").to_numpy()
             at, cell, side = _block_pairs(ids, batch.column("members").to_numpy(), batch.column("cluster").to_numpy().view(np.uint64))
-            bounds, lines = np.searchsorted(at, np.arange(len(ids) + 1)), []
+            bounds, lines, size = np.searchsorted(at, np.arange(len(ids) + 1)), [], 0
             for lo, _, data, starts in text_blocks(batch.column("text")):
                 for r, tokens in enumerate(ngram_sets(data, starts, words), lo):
                     for k in range(bounds[r], bounds[r + 1]):
                         fields = cell[k:k + 1], ids[r:r + 1], component[r:r + 1], np.array([len(tokens)]), side[k:k + 1], tokens
                         lines.append((int(cell[k] % np.uint64(n_parts)), *[f.tobytes() for f in fields]))
+                        size += tokens.nbytes
+                        if size >= PIECE:
+                            yield _packed_fields(lines)
+                            lines, size = [], 0
             if lines:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*lines, strict=True))],
-                                                 ["part", *[f"c{k}" for k in range(6)]])
+                yield _packed_fields(lines)
     return run
 
 
@@ -388,6 +411,11 @@ def _verified(words: int, share: Share):
 
 def join(docs: DataFrame, words: int = WORDS, share: Share = (80, 100), key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: key, n_shingles, component_id (the smallest key reachable over links, itself included). Keys are whole numbers."""
+    with small_batches(docs.sparkSession, BATCH_ROWS):  # what comes back has no Python stage left to run: it joins written tables
+        return _join(docs, words, share, key, text)
+
+
+def _join(docs: DataFrame, words: int, share: Share, key: str, text: str) -> DataFrame:
     spark, n_parts = docs.sparkSession, partitions(docs.sparkSession)
     every = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     rows = every.where("id is not null")

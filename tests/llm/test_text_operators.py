@@ -118,6 +118,48 @@ def test_ngram_join_large_cells_in_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in ngram_join.join(documents(spark, data)).collect()} == want
 
 
+def test_ngram_join_sends_points_in_bounded_pieces(monkeypatch):
+    """2,000 members of 300 cells each, one of them in blocks, make 40 MB of points: all of them, never at once."""
+    monkeypatch.setattr(ngram_join, "CELL", 64)
+    rng = np.random.default_rng(3)
+    n, per = 2000, 300
+    token, members = rng.integers(0, 2**62, n * per), np.full(n * per, 9)
+    token[::per], members[::per] = 7, 130
+    cells = pa.ListArray.from_arrays(pa.array(np.arange(0, n * per + 1, per, dtype=np.int32)), pa.StructArray.from_arrays([pa.array(token), pa.array(members)], ["token", "members"]))
+    points = [bytes([i % 251] * 32) for i in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(np.full(n, 20)), pa.array(points, pa.binary()), cells, pa.array(np.arange(n) // 2)], ["id", "n", "point", "cells", "component"])
+    sent, largest = Counter(), 0
+    for piece in ngram_join._cells(12)(iter([batch])):
+        largest = max(largest, piece.nbytes)
+        for row in piece.to_pylist():
+            cell, ids, component = (np.frombuffer(row[f"c{k}"], kind) for k, kind in enumerate(("<u8", "<i8", "<i8")))
+            assert (cell % 12 == row["part"]).all() and (component == ids // 2).all() and set(np.frombuffer(row["c3"], "<i8")) == {20}
+            assert row["c5"] == b"".join(points[i] for i in ids)
+            sent.update(zip(cell.tolist(), ids.tolist(), np.frombuffer(row["c4"], "u1").tolist(), strict=True))
+    at, cell, side = ngram_join._block_pairs(np.repeat(np.arange(n), per), members, token.view(np.uint64))
+    assert sent == Counter(zip(cell.tolist(), (at // per).tolist(), side.tolist(), strict=True))
+    assert largest < 10 << 20
+
+
+def test_ngram_join_packs_postings_over_batches():
+    texts = [" ".join(f"w{i}x{k}" for k in range(30)) for i in range(400)] + ["w0x0 " * 9] * 2
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(texts))), pa.array(texts)], ["id", "text"])
+    run = ngram_join._postings(5, (80, 100), 7)
+    whole, small = list(run(iter([batch]))), list(run(batch.slice(lo, 10) for lo in range(0, len(batch), 10)))
+    assert len(whole) == len(small) == 1 and whole[0].equals(small[0])
+
+
+def test_ngram_join_gives_python_small_batches(spark, monkeypatch):
+    """Every table of the join is written with small batches; afterwards the session has its own setting again."""
+    name, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", [], ngram_join.written
+    before = spark.conf.get(name)
+    monkeypatch.setattr(ngram_join, "written", lambda df, table: (seen.append(int(spark.conf.get(name))), write(df, table))[1])
+    out = ngram_join.join(documents(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, None)]))
+    assert spark.conf.get(name) == before and seen and max(seen) <= 1000
+    assert {r.doc_id: r.component_id for r in out.collect()} == {1: 1, 2: 1, 3: 3}
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_count_tree_finds_all_pairs_that_may_link():
     rng = np.random.default_rng(5)
     pool = rng.integers(0, 2**63, 3000, dtype=np.uint64)
