@@ -473,6 +473,28 @@ def test_suffix_dedup_is_exact(spark):
     assert suffix_dedup.dedup(empty(spark)).count() == 0
 
 
+def test_suffix_dedup_settles_whole_copies_before_anything_is_sent(spark):
+    """Copies of a whole text send no anchors. Equal and null keys, short texts, and texts that only share a part."""
+    rng = random.Random(9)
+    body = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    a, b, short = body(400), body(300), body(49)
+    data = [(i, a) for i in (7, 3, 3, 9, None, None)] + [(i, short) for i in (1, 2)] + [(5, b), (4, a[100:200] + b), (3, b), (6, a[:60]), (8, None), (10, "")]
+    df = documents(spark, data)
+    null = (1 << 63) - 1
+    got = sorted((r.id, r.begin, r.end) for r in suffix_dedup.copies(suffix_dedup._keyed(df, "doc_id", "text")).collect())
+    assert got == [(5, 0, 300), (7, 0, 400), (9, 0, 400), (null, 0, 400), (null, 0, 400)]
+    gone = Counter((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.dedup(df).collect())
+    assert gone == Counter({(3, 400, 0): 2, (7, 400, 400): 1, (9, 400, 400): 1, (None, 400, 400): 2, (1, 49, 0): 1, (2, 49, 0): 1, (5, 300, 300): 1, (4, 400, 400): 1,
+                            (3, 300, 0): 1, (6, 60, 60): 1, (8, 0, 0): 1, (10, 0, 0): 1})
+
+
+def test_anchors_of_segments_are_those_of_their_documents():
+    """They are not sent along."""
+    data = np.frombuffer(random.Random(2).randbytes(3000), np.uint8) % 7
+    anchor, first, _, _ = suffix_dedup.anchor_runs(data, np.array([0, 1000, 1049, 3000]))
+    assert (suffix_dedup.first_anchors(data, first) == anchor).all() and len(anchor) > 100
+
+
 def test_suffix_order_is_the_order_of_the_strings():
     data = np.frombuffer(b"abracadabra" * 30, np.uint8)
     at, ids = np.arange(len(data) - 49), np.arange(len(data) - 49) % 7
