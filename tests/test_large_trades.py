@@ -1,11 +1,14 @@
 """Trade tables of many rows: sums taken once and in order, tasks that stay small."""
 
+import hashlib
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import pytest
 
+from basisflow.functions import digest
 from basisflow.functions.core import hex_number, hex_text
 from basisflow.operators import episodes, metrics, scenarios, windows
 from basisflow.queries import base, grains
@@ -118,6 +121,32 @@ def test_company_trades_take_more_tasks_for_more_companies(spark, monkeypatch):
     assert t.groupBy("company_id", "month").agg(F.count("*").alias("n"), F.count_distinct("start_date").alias("k")).where("n <> k OR n > 3").isEmpty()
 
 
+def test_company_totals_are_sums_of_company_trades(spark):
+    """No row per trade leaves a task's batch. Ids of several lengths, a company listed twice, one of no known size, one without an id, an exposure without days."""
+    days = spark.sql("SELECT explode(array('e', '4-NOT SPECIFIED')) AS exposure_id, explode(sequence(DATE'2020-01-01', DATE'2020-12-31')) AS d").where("exposure_id = 'e' OR day(d) % 3 > 0")
+    sizes = [*scenarios.TRADES_PER_MONTH, "OTHER"]
+    firms = [("C" + str(7 ** k), sizes[k % 4], ("e", "4-NOT SPECIFIED")[k % 2]) for k in range(9)] + [("C1", "SMALL", "e")] * 2 + [("C5", "LARGE", "none"), (None, "MEDIUM", "e"), ("", "SMALL", "e")]
+    firms = spark.createDataFrame(firms, "company_id string, company_size string, exposure_id string")
+    ends = windows.day_map(days)
+    keys = ["company_id", "company_size", "exposure_id"]
+    want = scenarios.company_trades(firms, days, ends, "s").groupBy(*keys).agg(
+        F.count("*").alias("n_trades"), F.count_distinct("month").alias("n_months"), F.sum("volume_bbl").alias("volume"),
+        F.sum("horizon_days_target").alias("horizon"), F.min("scenario_id").alias("first_id"), F.max("scenario_id").alias("last_id"))
+    got = scenarios.company_totals(firms, days, ends, "s")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "explode" not in plan and "md5(" not in plan and "sha1(" not in plan
+    rows = lambda df: sorted(map(tuple, df.select(want.columns).collect()), key=repr)
+    assert rows(got) == rows(want) and len(rows(got)) == 11
+
+
+def test_digests_of_many_texts():
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(0, 256, (7, size)).astype(np.uint8) for size in (30, 0, 55, 64, 119, 56, 120, 30)]
+    raw = [row.tobytes() for t in texts for row in t]
+    for words, name in ((digest.md5_words(*texts), "md5"), (digest.sha1_words(*texts), "sha1")):
+        assert ["".join(f"{x:08x}" for x in column) for column in words.T] == [hashlib.new(name, x).hexdigest() for x in raw]
+
+
 def test_hex_numbers_keep_order_and_digits(spark):
     rng = random.Random(3)
     texts = ["0" * 20, "f" * 20, "8" + "0" * 19, "0" * 19 + "1", "00000000000000f00000", *["".join(rng.choice("0123456789abcdef") for _ in range(20)) for _ in range(200)]]
